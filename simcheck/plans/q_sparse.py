@@ -1 +1,141 @@
-"""Registered queries."""
+"""Registered queries: word counts, dictionary, TF-IDF, stop words."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from simcheck import params as P
+from simcheck.operators import sentences as S
+from simcheck.operators import sparse as SP
+from simcheck.plans import sql as Q
+from simcheck.plans.catalog import register
+from simcheck.sources.tables import load
+
+KEYS = ["doc_id", "sentence_index"]
+
+
+def _cs(spark, sf_dir):
+    return S.corpus_sentences(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _tok(spark, sf_dir):
+    return SP.tokens(_cs(spark, sf_dir), KEYS)
+
+
+_CS = f"cs AS ({Q.kept_sentences('documents', 'doc_id')})"
+_TOK = ("tok AS (SELECT doc_id, sentence_index, unnest(t)::VARCHAR AS token, "
+        "unnest(range(len(t)))::INTEGER AS token_index FROM ("
+        "SELECT doc_id, sentence_index, list_filter(string_split(lower(sentence), ' '), "
+        "lambda x: x <> '') AS t FROM cs))")
+_VOCAB = "vocab AS (SELECT token, count(*) AS cnt FROM tok GROUP BY token HAVING count(*) > 1)"
+_BOW = ("bow AS (SELECT doc_id, sentence_index, token, count(*) AS tf FROM tok "
+        "WHERE token IN (SELECT token FROM vocab) GROUP BY doc_id, sentence_index, token)")
+_TFIDF = ("idf AS (SELECT token, log2((SELECT count(*) FROM cs)::DOUBLE / count(*)) AS idf "
+          "FROM bow GROUP BY token), "
+          "tw AS (SELECT b.doc_id, b.sentence_index, b.token, b.tf * i.idf AS w FROM bow b "
+          "JOIN idf i ON i.token = b.token WHERE b.tf * i.idf <> 0), "
+          "tfidf AS (SELECT doc_id, sentence_index, token, "
+          "w / sqrt(sum(w * w) OVER (PARTITION BY doc_id, sentence_index)) AS weight FROM tw)")
+
+
+@register("word_counts", sql=(
+    f"WITH {_CS} SELECT word, count(*) - 1 AS cnt FROM ("
+    "SELECT unnest(string_split(sentence, ' ')) AS word FROM cs) GROUP BY word"))
+def word_counts(spark, sf_dir):
+    """Word -> occurrences - 1 over all corpus sentences (ordered by count)."""
+    return SP.word_counts(_cs(spark, sf_dir)).orderBy(F.col("cnt").desc(), "word")
+
+
+@register("token_min_count", sql=f"WITH {_CS}, {_TOK}, {_VOCAB} SELECT token, cnt FROM vocab")
+def token_min_count(spark, sf_dir):
+    """Tokens seen more than once."""
+    return SP.frequent_tokens(_tok(spark, sf_dir))
+
+
+def _bow(spark, sf_dir):
+    tok = _tok(spark, sf_dir)
+    return SP.bag_of_words(tok, KEYS, SP.frequent_tokens(tok))
+
+
+@register("bag_of_words", sql=f"WITH {_CS}, {_TOK}, {_VOCAB}, {_BOW} SELECT * FROM bow")
+def bag_of_words(spark, sf_dir):
+    """(sentence, token, tf) over the filtered dictionary."""
+    return _bow(spark, sf_dir)
+
+
+def _tfidf(spark, sf_dir):
+    bow = _bow(spark, sf_dir)
+    n = _cs(spark, sf_dir).count()
+    return SP.tfidf(bow, KEYS, SP.idf(bow, n)), SP.idf(bow, n)
+
+
+@register("tfidf_weights", sql=(
+    f"WITH {_CS}, {_TOK}, {_VOCAB}, {_BOW}, {_TFIDF} "
+    "SELECT doc_id, sentence_index, token, round(weight, 6) AS weight FROM tfidf"))
+def tfidf_weights(spark, sf_dir):
+    """Tf * log2(N/df), L2-normalised per sentence."""
+    w, _ = _tfidf(spark, sf_dir)
+    return w.withColumn("weight", F.round("weight", 6))
+
+
+_STOP_SQL = (f"stop AS (SELECT token, count(*) AS cnt FROM tok GROUP BY token "
+             f"ORDER BY cnt DESC, token LIMIT {P.STOPWORDS_LDA})")
+
+
+@register("stopword_list", sql=(
+    f"WITH {_CS}, {_TOK}, {_STOP_SQL} "
+    "SELECT token, cnt, row_number() OVER (ORDER BY cnt DESC, token)::INTEGER AS rank FROM stop"))
+def stopword_list(spark, sf_dir):
+    """T5: the 40 most frequent tokens."""
+    return SP.stopwords(_tok(spark, sf_dir), P.STOPWORDS_LDA)
+
+
+@register("remove_stopwords", sql=(
+    f"WITH {_CS}, {_TOK}, {_STOP_SQL} SELECT doc_id, sentence_index, token_index, token FROM tok "
+    "WHERE token NOT IN (SELECT token FROM stop)"))
+def remove_stopwords(spark, sf_dir):
+    """Tokens minus the top-40 list (broadcast anti-join; the list has 40 rows)."""
+    tok = _tok(spark, sf_dir)
+    stop = SP.stopwords(tok, P.STOPWORDS_LDA).select("token")
+    return tok.join(F.broadcast(stop), "token", "left_anti").select(
+        "doc_id", "sentence_index", "token_index", "token")
+
+
+_QTOK = ("qs AS (" + Q.kept_sentences("benchmark", "item_id", "q_index") + "), "
+         "qtok AS (SELECT item_id, q_index, unnest(string_split(lower(sentence), ' ')) AS token FROM qs), "
+         "qbow AS (SELECT item_id, q_index, token, count(*) AS tf FROM qtok "
+         "WHERE token IN (SELECT token FROM vocab) GROUP BY item_id, q_index, token), "
+         "qw0 AS (SELECT q.item_id, q.q_index, q.token, q.tf * i.idf AS w FROM qbow q "
+         "JOIN idf i ON i.token = q.token WHERE q.tf * i.idf <> 0), "
+         "qw AS (SELECT item_id, q_index, token, w / sqrt(sum(w * w) OVER (PARTITION BY item_id, q_index)) AS weight FROM qw0)")
+
+
+@register("tfidf_top1", sql=(
+    f"WITH {_CS}, {_TOK}, {_VOCAB}, {_BOW}, {_TFIDF}, {_QTOK}, "
+    "sc AS (SELECT q.item_id, q.q_index, c.doc_id, c.sentence_index, round(sum(q.weight * c.weight), 6) AS score "
+    "FROM qw q JOIN tfidf c ON c.token = q.token GROUP BY q.item_id, q.q_index, c.doc_id, c.sentence_index), "
+    "rk AS (SELECT *, row_number() OVER (PARTITION BY item_id, q_index ORDER BY score DESC, doc_id, sentence_index) AS rn FROM sc) "
+    f"SELECT item_id, q_index, doc_id, sentence_index, score FROM rk WHERE rn = 1 AND score >= {P.MATCH_THRESHOLD}"))
+def tfidf_top1(spark, sf_dir):
+    """TF-IDF cosine top-1 of every submitted sentence, kept when >= 0.9.
+
+    Inverted-index join on ``token``: the (small, size-checked) query side is
+    broadcast, the corpus weights stream past it; a partial sum per
+    (query, corpus sentence) is followed by a top-1 window that Spark
+    pre-limits before its shuffle.
+    """
+    cw, idf = _tfidf(spark, sf_dir)
+    vocab = SP.frequent_tokens(_tok(spark, sf_dir)).select("token")
+    qs = S.query_sentences(load(spark, sf_dir, "benchmark"))
+    qtok = SP.tokens(qs, ["item_id", "q_index"])
+    qbow = SP.bag_of_words(qtok, ["item_id", "q_index"], vocab)
+    qw = SP.tfidf(qbow, ["item_id", "q_index"], idf).withColumnRenamed("weight", "qw")
+    from simcheck.operators.guards import broadcast_if_small
+    qw = broadcast_if_small(qw, row_bytes=64)
+    sc = (cw.join(qw, "token")
+          .groupBy("item_id", "q_index", "doc_id", "sentence_index")
+          .agg(F.round(F.sum(F.col("qw") * F.col("weight")), 6).alias("score"))
+          .where(F.col("score") >= P.MATCH_THRESHOLD))
+    w = Window.partitionBy("item_id", "q_index").orderBy(F.col("score").desc(), "doc_id", "sentence_index")
+    return sc.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
