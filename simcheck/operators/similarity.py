@@ -204,8 +204,11 @@ def similar_pairs(sentences: DataFrame, doc_col: str, idx_col: str, threshold: f
     s = s.withColumn("__b", F.pmod(F.xxhash64("doc", "idx"), F.lit(nb)))
     left = (s.withColumn("__j", F.explode(F.sequence(F.col("__b"), F.lit(nb - 1))))
             .select(F.col("__b").alias("__pi"), F.col("__j").alias("__pj"), "doc", "idx", "__vec"))
+    # distinct names on the right: a self-cogroup must not share attribute ids
     right = (s.withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__b"))))
-             .select(F.col("__i").alias("__pi"), F.col("__b").alias("__pj"), "doc", "idx", "__vec"))
+             .select(F.col("__i").alias("__ri"), F.col("__b").alias("__rj"),
+                     F.col("doc").alias("rdoc"), F.col("idx").alias("ridx"),
+                     F.col("__vec").alias("__rvec")))
     schema = T.StructType([
         T.StructField("doc_a", sentences.schema[doc_col].dataType),
         T.StructField("idx_a", sentences.schema[idx_col].dataType),
@@ -220,12 +223,12 @@ def similar_pairs(sentences: DataFrame, doc_col: str, idx_col: str, threshold: f
             return pd.DataFrame(columns=cols)
         pi, pj = int(key[0]), int(key[1])
         L = _matrix(lpdf["__vec"])
-        R = _matrix(rpdf["__vec"])
+        R = _matrix(rpdf["__rvec"])
         Ln = L / np.maximum(np.linalg.norm(L, axis=1, keepdims=True), 1e-300)
         Rn = R / np.maximum(np.linalg.norm(R, axis=1, keepdims=True), 1e-300)
         L32, R32 = Ln.astype(np.float32), Rn.astype(np.float32)
         ld, li = lpdf["doc"].to_numpy(), lpdf["idx"].to_numpy()
-        rd, ri = rpdf["doc"].to_numpy(), rpdf["idx"].to_numpy()
+        rd, ri = rpdf["rdoc"].to_numpy(), rpdf["ridx"].to_numpy()
         outs = []
         chunk = max(1, MAX_MATRIX_ENTRIES // max(1, len(rpdf)))
         for s0 in range(0, len(lpdf), chunk):
@@ -256,5 +259,56 @@ def similar_pairs(sentences: DataFrame, doc_col: str, idx_col: str, threshold: f
             return pd.DataFrame(columns=cols)
         return pd.concat(outs, ignore_index=True)
 
-    return (left.groupBy("__pi", "__pj").cogroup(right.groupBy("__pi", "__pj"))
+    return (left.groupBy("__pi", "__pj").cogroup(right.groupBy("__ri", "__rj"))
             .applyInPandas(kernel, schema))
+
+
+def best_per_group(queries: DataFrame, corpus: DataFrame, q_keys: list[str], group_col: str,
+                   order_col: str, threshold: float, vec: str = "vec",
+                   guard_bytes: int = P.BROADCAST_GUARD_BYTES) -> DataFrame:
+    """Per (query row, corpus group): best score >= threshold and its first arg-max.
+
+    J10/A11: the column max over one document's sentences and the lowest
+    ``order_col`` reaching it.  Broadcast kernel (query side size-checked);
+    each corpus batch reduces its own candidates, then a group-by with a
+    partial ``max(struct)`` merges batches.  Returns
+    ``q_keys + [group_col, score, arg]``.
+    """
+    q = queries.select(*q_keys, F.col(vec).alias("__vec"))
+    c = corpus.select(group_col, order_col, F.col(vec).alias("__vec"))
+    _, qbytes = _side_bytes(q, "__vec")
+    if qbytes > guard_bytes:
+        raise ValueError("query side above the broadcast guard; use nearest(strategy='blocked')")
+    spark = q.sparkSession
+    qpdf = q.toPandas()
+    qm = _matrix(qpdf["__vec"])
+    bq = spark.sparkContext.broadcast((qpdf.drop(columns=["__vec"]), qm))
+    schema = T.StructType([queries.schema[x] for x in q_keys] + [
+        corpus.schema[group_col],
+        T.StructField("score", T.DoubleType()),
+        T.StructField("arg", corpus.schema[order_col].dataType)])
+    cols = schema.fieldNames()
+
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        qmeta, qmat = bq.value
+        chunk = max(1, MAX_MATRIX_ENTRIES // max(1, len(qmeta)))
+        for pdf in batches:
+            for s0 in range(0, len(pdf), chunk):
+                part = pdf.iloc[s0:s0 + chunk]
+                sc = _cos(qmat, _matrix(part["__vec"]))
+                qi, ci = np.nonzero(sc >= threshold)
+                if len(qi) == 0:
+                    continue
+                res = {k: qmeta[k].to_numpy()[qi] for k in q_keys}
+                res[group_col] = part[group_col].to_numpy()[ci]
+                res["score"] = sc[qi, ci]
+                res["arg"] = part[order_col].to_numpy()[ci]
+                df = pd.DataFrame(res).sort_values(["score", "arg"], ascending=[False, True],
+                                                   kind="stable")
+                yield df.drop_duplicates([*q_keys, group_col])[cols]
+
+    partial = c.mapInPandas(kernel, schema)
+    best = F.max(F.struct(F.col("score"), (-F.col("arg")).alias("neg"))).alias("b")
+    return (partial.groupBy(*q_keys, group_col).agg(best)
+            .select(*q_keys, group_col, F.col("b.score").alias("score"),
+                    (-F.col("b.neg")).cast(corpus.schema[order_col].dataType).alias("arg")))

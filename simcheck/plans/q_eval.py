@@ -1 +1,113 @@
-"""Registered queries."""
+"""Registered queries: evaluation-set construction."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from simcheck import params as P
+from simcheck.functions import text as TX
+from simcheck.functions.ordering import global_row_number, ntile_from_position
+from simcheck.operators import pages as PG
+from simcheck.operators import sentences as S
+from simcheck.plans import sql as Q
+from simcheck.plans.catalog import register
+from simcheck.sources.tables import load
+
+SEED = "42"
+# X5 sizes: in-corpus sentences per evaluation document = int(avg * share / 100 / 2)
+SAMPLE_PER_DOC = int(P.EVAL_AVG_SENTENCES * 90 / 100 / 2)
+
+
+def _cs(spark, sf_dir):
+    return S.corpus_sentences(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def seeds(cs):
+    """Paraphrase seeds: distinct corpus sentences that pass the P7 filter."""
+    return cs.where(TX.is_clean_sentence("sentence", P.NOISE_SEEDS, True)).select("sentence").distinct()
+
+
+_CS = f"WITH cs AS ({Q.kept_sentences('documents', 'doc_id')}) "
+_SEEDS_SQL = (f", seeds AS (SELECT DISTINCT sentence FROM cs WHERE {Q.space_pieces('sentence')} > "
+              f"{P.NOISE_MIN_PIECES} AND NOT {Q.contains_any('sentence', P.NOISE_SEEDS)} "
+              "AND NOT regexp_matches(sentence, '[0-9]')) ")
+
+
+@register("distinct_sentences", sql=_CS + "SELECT DISTINCT sentence FROM cs")
+def distinct_sentences(spark, sf_dir):
+    """The distinct union of sentences over all documents."""
+    return _cs(spark, sf_dir).select("sentence").distinct()
+
+
+@register("exclude_seeds", sql=_CS + _SEEDS_SQL + (
+    "SELECT doc_id, sentence_index, sentence FROM cs WHERE sentence NOT IN (SELECT sentence FROM seeds)"))
+def exclude_seeds(spark, sf_dir):
+    """Corpus sentences minus the seeds (anti-join keeps duplicates, unlike EXCEPT)."""
+    cs = _cs(spark, sf_dir)
+    return cs.join(seeds(cs), "sentence", "left_anti").select("doc_id", "sentence_index", "sentence")
+
+
+@register("split_parts", sql=_CS + _SEEDS_SQL + (
+    f"SELECT sentence, ntile({P.SPLIT_PARTS}) OVER (ORDER BY sentence)::INTEGER AS part FROM seeds"))
+def split_parts(spark, sf_dir):
+    """Seeds in 10 contiguous balanced parts (exactly ntile(10)), no single-task window."""
+    s = seeds(_cs(spark, sf_dir))
+    numbered = global_row_number(s, [F.col("sentence")], "pos")
+    total = numbered.count()
+    return numbered.select("sentence", ntile_from_position("pos", total, P.SPLIT_PARTS).alias("part"))
+
+
+def _hash_key(*cols):
+    return F.md5(F.concat_ws("|", F.lit(SEED), *[F.col(c).cast("string") for c in cols]))
+
+
+@register("sample_sentences", sql=_CS + (
+    "SELECT doc_id, sentence_index, sentence FROM (SELECT *, row_number() OVER (PARTITION BY doc_id "
+    f"ORDER BY md5('{SEED}|' || doc_id::VARCHAR || '|' || sentence_index::VARCHAR)) AS rn FROM cs) "
+    f"WHERE rn <= {SAMPLE_PER_DOC}"))
+def sample_sentences(spark, sf_dir):
+    """Seeded sample without replacement, exact size per document (md5 order).
+
+    ``row_number() <= n`` is pre-limited per map partition (WindowGroupLimit),
+    so even a very large document sends at most n rows per partition.
+    """
+    cs = _cs(spark, sf_dir)
+    w = Window.partitionBy("doc_id").orderBy(_hash_key("doc_id", "sentence_index"))
+    return (cs.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= SAMPLE_PER_DOC)
+            .select("doc_id", "sentence_index", "sentence"))
+
+
+@register("build_eval_docs")
+def build_eval_docs(spark, sf_dir, avg: int = 40):
+    """Labelled test documents with a known copy share (30/60/90 %).
+
+    For every registered document and share p: int(avg * p / 100) of its own
+    corpus sentences (md5 order) followed by int(avg * (100 - p) / 100) fresh
+    sentences from the conversation with the same id, joined by one space.
+    """
+    cs = _cs(spark, sf_dir)
+    reg = load(spark, sf_dir, "labels").select(F.col("doc_id").alias("eval_id"))
+    conv = load(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    conv_doc = PG.assemble(conv, "conv_id", "turn", "text").select(
+        F.col("conv_id").alias("eval_id"), "text")
+    fresh = S.kept_sentences(conv_doc, "eval_id", index_col="k", min_words=1)
+    shares = F.explode(F.array(*[F.lit(s) for s in P.EVAL_SHARES])).alias("share")
+    w_in = Window.partitionBy("eval_id", "share").orderBy(_hash_key("eval_id", "sentence_index"))
+    ins = (cs.withColumnRenamed("doc_id", "eval_id").join(reg, "eval_id", "left_semi")
+           .select("*", shares)
+           .withColumn("rn", F.row_number().over(w_in))
+           .where(F.col("rn") <= (F.lit(avg) * F.col("share") / 100).cast("int"))
+           .select("eval_id", "share", F.lit(0).alias("part"), "rn", "sentence"))
+    w_fr = Window.partitionBy("eval_id", "share").orderBy("k")
+    fr = (fresh.join(reg, "eval_id", "left_semi").select("*", shares)
+          .withColumn("rn", F.row_number().over(w_fr))
+          .where(F.col("rn") <= (F.lit(avg) * (100 - F.col("share")) / 100).cast("int"))
+          .select("eval_id", "share", F.lit(1).alias("part"), "rn", "sentence"))
+    both = ins.unionByName(fr)
+    return (both.groupBy("eval_id", "share")
+            .agg(F.sort_array(F.collect_list(F.struct("part", "rn", "sentence"))).alias("s"),
+                 F.sum(F.when(F.col("part") == 0, 1).otherwise(0)).alias("n_in"),
+                 F.sum("part").alias("n_fresh"))
+            .select("eval_id", "share", "n_in", "n_fresh",
+                    F.array_join(F.transform("s", lambda x: x["sentence"]), " ").alias("text")))

@@ -1 +1,77 @@
-"""Registered queries."""
+"""Registered queries: incremental ingest."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from simcheck.operators import ingest as IG
+from simcheck.operators import sentences as S
+from simcheck.plans import sql as Q
+from simcheck.plans.catalog import register
+from simcheck.sources.tables import load
+
+# The store before this batch: documents that have a registry row (``labels``).
+# Their ids and sentence ids are taken; the batch continues after them.
+
+_LIST = ("lst AS (SELECT doc_id, text, 'h_' || substr(md5(text), 1, 12) || '.pdf' AS filename, "
+         "source || '/' || 'h_' || substr(md5(text), 1, 12) || '.pdf' AS file_path FROM documents), "
+         "stored AS (SELECT DISTINCT filename FROM lst WHERE doc_id IN (SELECT doc_id FROM labels)), "
+         "firstf AS (SELECT filename, file_path, doc_id FROM (SELECT *, row_number() OVER "
+         "(PARTITION BY filename ORDER BY file_path, doc_id) AS rn FROM lst) WHERE rn = 1), "
+         "newf AS (SELECT * FROM firstf WHERE filename NOT IN (SELECT filename FROM stored)), "
+         f"cs AS ({Q.kept_sentences('documents', 'doc_id')}), "
+         "cnt AS (SELECT doc_id, count(*) AS total_sentences FROM cs GROUP BY doc_id), "
+         "base AS (SELECT (SELECT coalesce(max(doc_id), -1) + 1 FROM labels WHERE doc_id IN "
+         "(SELECT doc_id FROM documents)) AS first_doc, (SELECT count(*) FROM cs WHERE doc_id IN "
+         "(SELECT doc_id FROM labels)) + 1 AS first_sent), "
+         "newdocs AS (SELECT (row_number() OVER (ORDER BY n.filename) + (SELECT first_doc FROM base) - 1) AS pdf_id, "
+         "n.doc_id, n.filename, n.file_path, c.total_sentences::INTEGER AS total_sentences FROM newf n "
+         "JOIN cnt c ON c.doc_id = n.doc_id), "
+         "newsent AS (SELECT (row_number() OVER (ORDER BY d.pdf_id, s.sentence_index) + "
+         "(SELECT first_sent FROM base) - 1) AS sentence_id, d.pdf_id, s.sentence_index, s.sentence "
+         "FROM newdocs d JOIN cs s ON s.doc_id = d.doc_id) ")
+
+
+def _batch(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents")
+    reg = load(spark, sf_dir, "labels").select("doc_id")
+    listing = IG.file_listing(docs)
+    new = IG.new_files(listing, IG.stored_names(listing, reg))
+    stored_docs = docs.select("doc_id").join(reg, "doc_id", "left_semi")
+    agg = stored_docs.agg(F.max("doc_id").alias("m")).collect()[0]
+    first_doc = (agg["m"] if agg["m"] is not None else -1) + 1
+    first_sent = S.kept_sentences(docs.join(reg, "doc_id", "left_semi").select("doc_id", "text"),
+                                  "doc_id").count() + 1
+    texts = docs.select("doc_id", "text")
+    drows = IG.documents_rows(new, texts, first_doc)
+    return drows, texts, first_sent
+
+
+@register("ingest_new_files", sql="WITH " + _LIST + "SELECT filename, file_path, doc_id FROM newf")
+def ingest_new_files(spark, sf_dir):
+    """Files of the batch not yet stored, one per base name (lowest path)."""
+    docs = load(spark, sf_dir, "documents")
+    reg = load(spark, sf_dir, "labels").select("doc_id")
+    listing = IG.file_listing(docs)
+    return IG.new_files(listing, IG.stored_names(listing, reg)).select("filename", "file_path", "doc_id")
+
+
+@register("ingest_documents", sql="WITH " + _LIST + "SELECT * FROM newdocs")
+def ingest_documents(spark, sf_dir):
+    """K1: document rows with generated ids and sentence totals."""
+    drows, _, _ = _batch(spark, sf_dir)
+    return drows
+
+
+@register("ingest_sentences", sql="WITH " + _LIST + "SELECT * FROM newsent")
+def ingest_sentences(spark, sf_dir):
+    """K2: sentence rows with generated ids, position among kept sentences."""
+    drows, texts, first_sent = _batch(spark, sf_dir)
+    return IG.sentence_rows(drows, texts, first_sent)
+
+
+@register("ingest_vectors")
+def ingest_vectors(spark, sf_dir):
+    """K3: float32 vectors keyed by the new sentence ids."""
+    drows, texts, first_sent = _batch(spark, sf_dir)
+    return IG.vector_rows(IG.sentence_rows(drows, texts, first_sent))
