@@ -26,4 +26,5 @@ def register(key: str, sql: str | None = None):
 def load_all() -> None:
     """Import every module that registers queries."""
     from simcheck.plans import (q_text, q_vectors, q_scoring, q_sparse, q_pairs,  # noqa: F401
-                                q_locate, q_ingest, q_eval, q_sources, q_ml, q_stream)
+                                q_locate, q_ingest, q_eval, q_sources, q_ml, q_stream,
+                                q_reports)

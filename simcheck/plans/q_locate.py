@@ -131,8 +131,16 @@ _ITEM_PAGES = _pl_sql("benchmark", "item_id", "bl")
 def page_report(spark, sf_dir):
     """A16/L2 flat form: per (submission, top document, page) each matched sentence
     once, with the number of merged boxes (G1) it covers."""
+    boxes = report_boxes(spark, sf_dir)
+    return (boxes.groupBy("item_id", "doc_id", "page_num", "sentence")
+            .agg(F.count(F.lit(1)).alias("n_boxes")))
+
+
+def report_boxes(spark, sf_dir, hits=None):
+    """Merged boxes of the matched sentences of every submission's top-5 documents:
+    (item_id, doc_id, page_num, sentence, box_no, x0, y0, x1, y1)."""
     inp = C.Inputs.read(spark, sf_dir)
-    h = C.hits(spark, sf_dir)
+    h = C.hits(spark, sf_dir) if hits is None else hits
     qs = S.query_sentences(inp.benchmark)
     top = C.top_documents(h).select("item_id", "doc_id")
     ms = (h.join(top, ["item_id", "doc_id"]).join(qs, ["item_id", "q_index"])
@@ -140,15 +148,14 @@ def page_report(spark, sf_dir):
     bench = inp.benchmark.select("item_id", "text")
     pt = PG.page_text(bench, "item_id")
     pl = PG.page_lines(bench, "item_id")
-    # locate with (item_id, doc_id) as the sentence key: keep doc_id through the join
+    # the sentence key carries doc_id, so one sentence is located once per document
     ms_k = ms.withColumn("sk", F.struct("doc_id", "sentence"))
     loc = PG.locate(ms_k, pt, "item_id", "sk")
-    loc = loc.select("item_id", "page_num", F.col("sk.doc_id").alias("doc_id"), F.col("sk.sentence").alias("sentence"))
-    rects = PG.sentence_rects(loc.withColumn("sk", F.struct("doc_id", "sentence")), pt, pl, "item_id", "sk")
+    loc = loc.select("item_id", "page_num", "sk", F.col("sk.sentence").alias("sentence"))
+    rects = PG.sentence_rects(loc, pt, pl, "item_id", "sk")
     boxes = PG.merge_rects(rects, ["item_id", "sk", "page_num"])
-    return (boxes.groupBy("item_id", "sk", "page_num").agg(F.count(F.lit(1)).alias("n_boxes"))
-            .select("item_id", F.col("sk.doc_id").alias("doc_id"), "page_num",
-                    F.col("sk.sentence").alias("sentence"), "n_boxes"))
+    return boxes.select("item_id", F.col("sk.doc_id").alias("doc_id"), "page_num",
+                        F.col("sk.sentence").alias("sentence"), "box_no", "x0", "y0", "x1", "y1")
 
 
 @register("highlight_assign", sql=(
