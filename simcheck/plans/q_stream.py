@@ -1 +1,23 @@
-"""Registered queries."""
+"""Registered queries: streaming ingest and check."""
+
+from __future__ import annotations
+
+from simcheck.plans.catalog import register
+from simcheck.sources.tables import load, table_path
+from simcheck.streaming.jobs import check_stream, ingest_stream
+
+
+@register("stream_ingest")
+def stream_ingest(spark, sf_dir):
+    """Documents arrive as a file stream; each micro-batch is de-duplicated
+    by file name and written to the document, sentence and vector tables."""
+    out = ingest_stream(spark, table_path(sf_dir, "documents"))
+    return spark.read.parquet(f"{out}/documents").select(
+        "pdf_id", "filename", "file_path", "total_sentences")
+
+
+@register("stream_check")
+def stream_check(spark, sf_dir):
+    """R2: submissions arrive as a file stream and are checked against the corpus."""
+    out = check_stream(spark, table_path(sf_dir, "benchmark"), load(spark, sf_dir, "documents"))
+    return spark.read.parquet(f"{out}/results")
