@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from simcheck import params as P
 from simcheck.operators import sentences as S
 from simcheck.operators.similarity import nearest
+from simcheck.session import materialize
 from simcheck.sources.tables import load
 
 
@@ -45,8 +46,9 @@ def top1_hits(qv: DataFrame, cv: DataFrame, threshold: float = P.MATCH_THRESHOLD
 
 
 def hits(spark: SparkSession, sf_dir: str, threshold: float = P.MATCH_THRESHOLD) -> DataFrame:
+    """Top-1 hits, computed once (checkpointed: one row per query sentence at most)."""
     inp = Inputs.read(spark, sf_dir)
-    return top1_hits(query_vectors(inp.benchmark), corpus_vectors(inp.documents), threshold)
+    return materialize(top1_hits(query_vectors(inp.benchmark), corpus_vectors(inp.documents), threshold))
 
 
 def query_totals(benchmark: DataFrame) -> DataFrame:
@@ -94,7 +96,7 @@ def top_documents(h: DataFrame, n: int = P.TOP_DOCUMENTS) -> DataFrame:
 def check_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: per submission, its top-5 source documents with percents."""
     inp = Inputs.read(spark, sf_dir)
-    h = top1_hits(query_vectors(inp.benchmark), corpus_vectors(inp.documents))
+    h = hits(spark, sf_dir)
     top = top_documents(h)
     tot = total_percent(h, inp.benchmark)
     return (top.join(tot.select("item_id", "n_sentences", "total_percent"), "item_id")

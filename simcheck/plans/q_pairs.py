@@ -12,6 +12,7 @@ from simcheck.operators.similarity import best_per_group, similar_pairs
 from simcheck.plans import check as C
 from simcheck.plans import sql as Q
 from simcheck.plans.catalog import register
+from simcheck.session import materialize
 from simcheck.sources.tables import load
 
 # ------------------------------------------------------------------ pairs
@@ -82,7 +83,8 @@ def doc_best(spark, sf_dir, threshold: float = P.PAPER_THRESHOLD):
     inp = C.Inputs.read(spark, sf_dir)
     qv = C.query_vectors(inp.benchmark)
     cv = C.corpus_vectors(inp.documents)
-    return best_per_group(qv, cv, ["item_id", "q_index"], "doc_id", "sentence_index", threshold)
+    return materialize(best_per_group(qv, cv, ["item_id", "q_index"], "doc_id", "sentence_index",
+                                      threshold))
 
 
 _PAPER = (

@@ -10,6 +10,7 @@ from simcheck.operators import sentences as S
 from simcheck.operators import sparse as SP
 from simcheck.plans import sql as Q
 from simcheck.plans.catalog import register
+from simcheck.session import materialize
 from simcheck.sources.tables import load
 
 KEYS = ["doc_id", "sentence_index"]
@@ -65,7 +66,7 @@ def bag_of_words(spark, sf_dir):
 
 
 def _tfidf(spark, sf_dir):
-    bow = _bow(spark, sf_dir)
+    bow = materialize(_bow(spark, sf_dir))
     n = _cs(spark, sf_dir).count()
     return SP.tfidf(bow, KEYS, SP.idf(bow, n)), SP.idf(bow, n)
 

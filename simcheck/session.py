@@ -59,3 +59,14 @@ def scratch_dir(spark: SparkSession, tag: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for one job."""
     root = checkpoint_root(spark)
     return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df):
+    """Compute ``df`` once and cut its lineage with a reliable checkpoint.
+
+    Used for intermediates consumed by several branches of one plan (Spark
+    does not reuse exchanges across Python UDF subtrees).  The files go to the
+    shared ``spark.checkpoint.dir``, so a lost executor does not lose them.
+    """
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -45,9 +45,27 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
+# Tables whose rows carry whole texts: per-row work (splitting, encoding,
+# page layout) is heavy, so they must be spread over all cores.
+TEXT_TABLES = {"documents", "pages", "conversations"}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin the rows when the scan yields fewer splits than cores.
+
+    At scale the scan already has many splits and this is a no-op; on a
+    single-row-group file it turns one task into ``defaultParallelism`` tasks.
+    """
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par)
+    return df
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one driver table; column pruning and filters reach the scan."""
     reader = spark.read
     if name in SCHEMAS:
         reader = reader.schema(SCHEMAS[name])
-    return reader.parquet(table_path(sf_dir, name))
+    df = reader.parquet(table_path(sf_dir, name))
+    return spread(df) if name in TEXT_TABLES else df
