@@ -269,46 +269,79 @@ def best_per_group(queries: DataFrame, corpus: DataFrame, q_keys: list[str], gro
     """Per (query row, corpus group): best score >= threshold and its first arg-max.
 
     J10/A11: the column max over one document's sentences and the lowest
-    ``order_col`` reaching it.  Broadcast kernel (query side size-checked);
-    each corpus batch reduces its own candidates, then a group-by with a
-    partial ``max(struct)`` merges batches.  Returns
-    ``q_keys + [group_col, score, arg]``.
+    ``order_col`` reaching it.  Broadcast kernel when the query side fits the
+    guard, blocked cogroup otherwise; each batch/group reduces its own
+    candidates, then a group-by with a partial ``max(struct)`` merges them.
+    Returns ``q_keys + [group_col, score, arg]``.
     """
     q = queries.select(*q_keys, F.col(vec).alias("__vec"))
     c = corpus.select(group_col, order_col, F.col(vec).alias("__vec"))
-    _, qbytes = _side_bytes(q, "__vec")
-    if qbytes > guard_bytes:
-        raise ValueError("query side above the broadcast guard; use nearest(strategy='blocked')")
-    spark = q.sparkSession
-    qpdf = q.toPandas()
-    qm = _matrix(qpdf["__vec"])
-    bq = spark.sparkContext.broadcast((qpdf.drop(columns=["__vec"]), qm))
     schema = T.StructType([queries.schema[x] for x in q_keys] + [
         corpus.schema[group_col],
         T.StructField("score", T.DoubleType()),
         T.StructField("arg", corpus.schema[order_col].dataType)])
     cols = schema.fieldNames()
 
+    def reduce_chunk(qmeta, qmat, part):
+        sc = _cos(qmat, _matrix(part["__vec"]))
+        qi, ci = np.nonzero(sc >= threshold)
+        if len(qi) == 0:
+            return None
+        res = {k: qmeta[k].to_numpy()[qi] for k in q_keys}
+        res[group_col] = part[group_col].to_numpy()[ci]
+        res["score"] = sc[qi, ci]
+        res["arg"] = part[order_col].to_numpy()[ci]
+        df = pd.DataFrame(res).sort_values(["score", "arg"], ascending=[False, True], kind="stable")
+        return df.drop_duplicates([*q_keys, group_col])[cols]
+
+    _, qbytes = _side_bytes(q, "__vec")
+    if qbytes > guard_bytes:
+        partial = _blocked_groups(q, c, q_keys, group_col, order_col, schema, reduce_chunk)
+    else:
+        partial = _broadcast_groups(q, c, q_keys, schema, reduce_chunk)
+    best = F.max(F.struct(F.col("score"), (-F.col("arg")).alias("neg"))).alias("b")
+    return (partial.groupBy(*q_keys, group_col).agg(best)
+            .select(*q_keys, group_col, F.col("b.score").alias("score"),
+                    (-F.col("b.neg")).cast(corpus.schema[order_col].dataType).alias("arg")))
+
+
+def _broadcast_groups(q, c, q_keys, schema, reduce_chunk):
+    spark = q.sparkSession
+    qpdf = q.toPandas()          # size checked by the caller
+    qm = _matrix(qpdf["__vec"])
+    bq = spark.sparkContext.broadcast((qpdf.drop(columns=["__vec"]), qm))
+
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         qmeta, qmat = bq.value
         chunk = max(1, MAX_MATRIX_ENTRIES // max(1, len(qmeta)))
         for pdf in batches:
             for s0 in range(0, len(pdf), chunk):
-                part = pdf.iloc[s0:s0 + chunk]
-                sc = _cos(qmat, _matrix(part["__vec"]))
-                qi, ci = np.nonzero(sc >= threshold)
-                if len(qi) == 0:
-                    continue
-                res = {k: qmeta[k].to_numpy()[qi] for k in q_keys}
-                res[group_col] = part[group_col].to_numpy()[ci]
-                res["score"] = sc[qi, ci]
-                res["arg"] = part[order_col].to_numpy()[ci]
-                df = pd.DataFrame(res).sort_values(["score", "arg"], ascending=[False, True],
-                                                   kind="stable")
-                yield df.drop_duplicates([*q_keys, group_col])[cols]
-
-    partial = c.mapInPandas(kernel, schema)
-    best = F.max(F.struct(F.col("score"), (-F.col("arg")).alias("neg"))).alias("b")
-    return (partial.groupBy(*q_keys, group_col).agg(best)
-            .select(*q_keys, group_col, F.col("b.score").alias("score"),
-                    (-F.col("b.neg")).cast(corpus.schema[order_col].dataType).alias("arg")))
+                out = reduce_chunk(qmeta, qmat, pdf.iloc[s0:s0 + chunk])
+                if out is not None:
+                    yield out
+
+    return c.mapInPandas(kernel, schema)
+
+
+def _blocked_groups(q, c, q_keys, group_col, order_col, schema, reduce_chunk):
+    """Both sides large: (query block, corpus block) pairs meet in one cogroup group."""
+    _, qbytes = _side_bytes(q, "__vec")
+    _, cbytes = _side_bytes(c, "__vec")
+    nqb = max(1, math.ceil(qbytes / P.BLOCK_TARGET_BYTES))
+    ncb = max(1, math.ceil(cbytes / P.BLOCK_TARGET_BYTES))
+    qr = (q.withColumn("__qb", F.pmod(F.xxhash64(*q_keys), F.lit(nqb)))
+          .withColumn("__cb", F.explode(F.sequence(F.lit(0), F.lit(ncb - 1)))))
+    cr = (c.withColumn("__cb", F.pmod(F.xxhash64(group_col, order_col), F.lit(ncb)))
+          .withColumn("__qb", F.explode(F.sequence(F.lit(0), F.lit(nqb - 1)))))
+
+    def kernel(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
+        if len(qpdf) == 0 or len(cpdf) == 0:
+            return pd.DataFrame(columns=schema.fieldNames())
+        qpdf = qpdf.reset_index(drop=True)
+        qm = _matrix(qpdf["__vec"])
+        chunk = max(1, MAX_MATRIX_ENTRIES // max(1, len(qpdf)))
+        outs = [reduce_chunk(qpdf, qm, cpdf.iloc[s0:s0 + chunk]) for s0 in range(0, len(cpdf), chunk)]
+        outs = [o for o in outs if o is not None]
+        return pd.concat(outs, ignore_index=True) if outs else pd.DataFrame(columns=schema.fieldNames())
+
+    return qr.groupBy("__qb", "__cb").cogroup(cr.groupBy("__qb", "__cb")).applyInPandas(kernel, schema)

@@ -48,7 +48,8 @@ def top1_hits(qv: DataFrame, cv: DataFrame, threshold: float = P.MATCH_THRESHOLD
 def hits(spark: SparkSession, sf_dir: str, threshold: float = P.MATCH_THRESHOLD) -> DataFrame:
     """Top-1 hits, computed once (checkpointed: one row per query sentence at most)."""
     inp = Inputs.read(spark, sf_dir)
-    return materialize(top1_hits(query_vectors(inp.benchmark), corpus_vectors(inp.documents), threshold))
+    from simcheck.plans.index import corpus_table
+    return materialize(top1_hits(query_vectors(inp.benchmark), corpus_table(spark, sf_dir), threshold))
 
 
 def query_totals(benchmark: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from simcheck.functions.ordering import global_row_number, ntile_from_position
 from simcheck.operators import pages as PG
 from simcheck.operators import sentences as S
 from simcheck.plans import sql as Q
+from simcheck.plans import index as IX
 from simcheck.plans.catalog import register
 from simcheck.sources.tables import load
 
@@ -20,7 +21,7 @@ SAMPLE_PER_DOC = int(P.EVAL_AVG_SENTENCES * 90 / 100 / 2)
 
 
 def _cs(spark, sf_dir):
-    return S.corpus_sentences(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return IX.corpus_sentences(spark, sf_dir)
 
 
 def seeds(cs):

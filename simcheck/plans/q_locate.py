@@ -12,6 +12,7 @@ from simcheck.operators import sentences as S
 from simcheck.plans import check as C
 from simcheck.plans import q_pairs as QP
 from simcheck.plans import sql as Q
+from simcheck.plans import index as IX
 from simcheck.plans.catalog import register
 from simcheck.sources.tables import load
 
@@ -58,7 +59,7 @@ _DOC_BASE = (f"WITH cs AS ({Q.kept_sentences('documents', 'doc_id')}), {_pl_sql(
 
 def _doc_frames(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    cs = S.corpus_sentences(docs)
+    cs = IX.corpus_sentences(spark, sf_dir)
     pt = PG.page_text(docs, "doc_id")
     pl = PG.page_lines(docs, "doc_id")
     loc = PG.locate(cs, pt, "doc_id", "sentence_index")

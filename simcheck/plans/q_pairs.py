@@ -11,6 +11,7 @@ from simcheck.operators import sentences as S
 from simcheck.operators.similarity import best_per_group, similar_pairs
 from simcheck.plans import check as C
 from simcheck.plans import sql as Q
+from simcheck.plans import index as IX
 from simcheck.plans.catalog import register
 from simcheck.session import materialize
 from simcheck.sources.tables import load
@@ -24,9 +25,9 @@ def _doc_totals(cs):
 
 def pair_counts(spark, sf_dir, threshold: float = P.MATCH_THRESHOLD, strict: bool = False):
     """(doc1, doc2, matches, n2): sentences of doc2 whose best match in doc1 reaches t."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    cs = S.corpus_sentences(docs)
-    pairs = similar_pairs(S.encode(cs), "doc_id", "sentence_index", threshold, strict=strict)
+    cv = IX.corpus_table(spark, sf_dir)
+    cs = cv.select("doc_id", "sentence_index")
+    pairs = similar_pairs(cv, "doc_id", "sentence_index", threshold, strict=strict)
     m = (pairs.select(F.col("doc_a").alias("doc1"), F.col("doc_b").alias("doc2"), "idx_b")
          .distinct().groupBy("doc1", "doc2").agg(F.count(F.lit(1)).alias("matches")))
     return m.join(_doc_totals(cs).withColumnRenamed("doc_id", "doc2"), "doc2")
@@ -82,7 +83,7 @@ def doc_best(spark, sf_dir, threshold: float = P.PAPER_THRESHOLD):
     """Per (submitted sentence, corpus document): best cosine >= t and first arg-max."""
     inp = C.Inputs.read(spark, sf_dir)
     qv = C.query_vectors(inp.benchmark)
-    cv = C.corpus_vectors(inp.documents)
+    cv = IX.corpus_table(spark, sf_dir)
     return materialize(best_per_group(qv, cv, ["item_id", "q_index"], "doc_id", "sentence_index",
                                       threshold))
 

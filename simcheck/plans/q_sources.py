@@ -11,6 +11,7 @@ from simcheck.operators import ingest as IG
 from simcheck.operators import sentences as S
 from simcheck.plans import check as C
 from simcheck.plans import sql as Q
+from simcheck.plans import index as IX
 from simcheck.plans.catalog import register
 from simcheck.session import scratch_dir
 from simcheck.sources import files as FS
@@ -20,7 +21,7 @@ _CS = f"cs AS ({Q.kept_sentences('documents', 'doc_id')})"
 
 
 def _cs(spark, sf_dir):
-    return S.corpus_sentences(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return IX.corpus_sentences(spark, sf_dir)
 
 
 # ------------------------------------------------------------ requests
@@ -118,11 +119,11 @@ def load_sentence_list(spark, sf_dir):
 def table_counts(spark, sf_dir):
     """Sizes of the document, sentence and vector tables (one scan each)."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    cs = S.corpus_sentences(docs)
+    cs = IX.corpus_sentences(spark, sf_dir)
     n_docs = docs.agg(F.count(F.lit(1)).alias("n")).select(F.lit("documents").alias("table_name"), "n")
     n_sent = cs.agg(F.count(F.lit(1)).alias("n"))
     return n_docs.unionByName(n_sent.select(F.lit("sentences").alias("table_name"), "n")) \
-        .unionByName(S.encode(cs).agg(F.count(F.lit(1)).alias("n"))
+        .unionByName(IX.corpus_table(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"))
                      .select(F.lit("vectors").alias("table_name"), "n"))
 
 
@@ -141,7 +142,7 @@ def corpus_totals(spark, sf_dir):
 def category_stats(spark, sf_dir):
     """Files per source and truncated mean sentences per file."""
     docs = load(spark, sf_dir, "documents")
-    per = (S.corpus_sentences(docs.select("doc_id", "text")).groupBy("doc_id")
+    per = (IX.corpus_sentences(spark, sf_dir).groupBy("doc_id")
            .agg(F.count(F.lit(1)).alias("n")).join(docs.select("doc_id", "source"), "doc_id"))
     return per.groupBy("source").agg(F.count(F.lit(1)).alias("n_files"),
                                      F.floor(F.avg("n")).cast("bigint").alias("mean_sentences"))

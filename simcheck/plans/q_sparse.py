@@ -9,6 +9,7 @@ from simcheck import params as P
 from simcheck.operators import sentences as S
 from simcheck.operators import sparse as SP
 from simcheck.plans import sql as Q
+from simcheck.plans import index as IX
 from simcheck.plans.catalog import register
 from simcheck.session import materialize
 from simcheck.sources.tables import load
@@ -17,7 +18,7 @@ KEYS = ["doc_id", "sentence_index"]
 
 
 def _cs(spark, sf_dir):
-    return S.corpus_sentences(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return IX.corpus_sentences(spark, sf_dir)
 
 
 def _tok(spark, sf_dir):

@@ -10,6 +10,7 @@ from simcheck.operators import sentences as S
 from simcheck.operators.similarity import nearest
 from simcheck.plans import check as C
 from simcheck.plans import sql as Q
+from simcheck.plans import index as IX
 from simcheck.plans.catalog import register
 from simcheck.sources.tables import load
 
@@ -95,14 +96,13 @@ def context_window(spark, sf_dir, w: int = CONTEXT_WINDOW):
     No range join: each hit expands to its 2w neighbour positions and meets the
     sentence table on the equi-key (doc_id, sentence_index).
     """
-    docs = load(spark, sf_dir, "documents")
     h = C.hits(spark, sf_dir)
     offsets = F.array(*[F.lit(d) for d in range(-w, w + 1) if d != 0])
     want = h.select("item_id", "q_index", "doc_id", F.col("sentence_index").alias("hit_index"),
                     F.explode(offsets).alias("off")) \
         .withColumn("sentence_index", (F.col("hit_index") + F.col("off")).cast("int")) \
         .where(F.col("sentence_index") >= 0)
-    cs = S.corpus_sentences(docs).select("doc_id", "sentence_index")
+    cs = IX.corpus_sentences(spark, sf_dir).select("doc_id", "sentence_index")
     return want.join(cs, ["doc_id", "sentence_index"]).select(
         "item_id", "q_index", "hit_index", "doc_id", "sentence_index",
         F.lit(1.0).alias("score"))

@@ -89,12 +89,14 @@ def test_similar_pairs_equals_dense_matrix(spark, data):
     assert got == want and len(want) > 0
 
 
-def test_best_per_group_first_argmax(spark, data):
+@pytest.mark.parametrize("guard", [64 << 20, 0])
+def test_best_per_group_first_argmax(spark, data, guard):
     q, c = data
     qdf = _frame(spark, q, "q")
     cdf = _frame(spark, c, "c")
     got = {(r["q_idx"], r["c_doc"]): (r["score"], r["arg"])
-           for r in best_per_group(qdf, cdf, ["q_idx"], "c_doc", "c_idx", 0.3).collect()}
+           for r in best_per_group(qdf, cdf, ["q_idx"], "c_doc", "c_idx", 0.3,
+                                   guard_bytes=guard).collect()}
     s = _cos(q, c)
     for i in range(len(q)):
         for d in range(len(c) // 3):
