@@ -47,10 +47,10 @@ def corpus_index_path(spark: SparkSession, sf_dir: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/corpus-index/{_signature(spark, src)}"
 
 
-def build_corpus_index(spark: SparkSession, sf_dir: str) -> str:
-    """Write the index if it is not there yet; returns its path."""
+def build_corpus_index(spark: SparkSession, sf_dir: str, force: bool = False) -> str:
+    """Write the index if it is not there yet (or when ``force``); returns its path."""
     path = corpus_index_path(spark, sf_dir)
-    if path in _BUILT.values() or _exists(spark, f"{path}/_SUCCESS"):
+    if not force and (path in _BUILT.values() or _exists(spark, f"{path}/_SUCCESS")):
         _BUILT[sf_dir] = path
         return path
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")

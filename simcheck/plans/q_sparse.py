@@ -11,6 +11,7 @@ from simcheck.operators import sparse as SP
 from simcheck.plans import sql as Q
 from simcheck.plans import index as IX
 from simcheck.plans.catalog import register
+from simcheck.operators.guards import broadcast_if_small
 from simcheck.session import materialize
 from simcheck.sources.tables import load
 
@@ -55,9 +56,12 @@ def token_min_count(spark, sf_dir):
     return SP.frequent_tokens(_tok(spark, sf_dir))
 
 
+def _vocab(spark, sf_dir):
+    return SP.frequent_tokens(_tok(spark, sf_dir)).select("token")
+
+
 def _bow(spark, sf_dir):
-    tok = _tok(spark, sf_dir)
-    return SP.bag_of_words(tok, KEYS, SP.frequent_tokens(tok))
+    return SP.sentence_bow(_cs(spark, sf_dir), KEYS, _vocab(spark, sf_dir))
 
 
 @register("bag_of_words", sql=f"WITH {_CS}, {_TOK}, {_VOCAB}, {_BOW} SELECT * FROM bow")
@@ -69,7 +73,8 @@ def bag_of_words(spark, sf_dir):
 def _tfidf(spark, sf_dir):
     bow = materialize(_bow(spark, sf_dir))
     n = _cs(spark, sf_dir).count()
-    return SP.tfidf(bow, KEYS, SP.idf(bow, n)), SP.idf(bow, n)
+    idf = broadcast_if_small(SP.idf(bow, n), row_bytes=56)
+    return SP.tfidf(bow, KEYS, idf), idf
 
 
 @register("tfidf_weights", sql=(
@@ -128,12 +133,10 @@ def tfidf_top1(spark, sf_dir):
     pre-limits before its shuffle.
     """
     cw, idf = _tfidf(spark, sf_dir)
-    vocab = SP.frequent_tokens(_tok(spark, sf_dir)).select("token")
     qs = S.query_sentences(load(spark, sf_dir, "benchmark"))
-    qtok = SP.tokens(qs, ["item_id", "q_index"])
-    qbow = SP.bag_of_words(qtok, ["item_id", "q_index"], vocab)
+    # unknown query tokens drop out at the idf join (idf covers the dictionary only)
+    qbow = SP.sentence_bow(qs, ["item_id", "q_index"])
     qw = SP.tfidf(qbow, ["item_id", "q_index"], idf).withColumnRenamed("weight", "qw")
-    from simcheck.operators.guards import broadcast_if_small
     qw = broadcast_if_small(qw, row_bytes=64)
     sc = (cw.join(qw, "token")
           .groupBy("item_id", "q_index", "doc_id", "sentence_index")

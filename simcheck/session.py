@@ -62,11 +62,13 @@ def scratch_dir(spark: SparkSession, tag: str) -> str:
 
 
 def materialize(df):
-    """Compute ``df`` once and cut its lineage with a reliable checkpoint.
+    """Compute ``df`` once and cut its lineage with a table in the shared folder.
 
     Used for intermediates consumed by several branches of one plan (Spark
-    does not reuse exchanges across Python UDF subtrees).  The files go to the
-    shared ``spark.checkpoint.dir``, so a lost executor does not lose them.
+    does not reuse exchanges across Python UDF subtrees).  The parquet files go
+    to a fresh sub-folder of ``spark.checkpoint.dir``, so a lost executor does
+    not lose them and later stages read columnar data.
     """
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_dir(df.sparkSession, "stage")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
