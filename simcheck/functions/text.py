@@ -123,3 +123,13 @@ def chunk_words(words, max_len: int = P.CHUNK_MAX_SUBTOKENS) -> Column:
 def basename(path) -> Column:
     """Last path segment."""
     return F.element_at(F.split(_col(path), "/"), -1)
+
+
+def utc_iso(ts) -> Column:
+    """UTC time stamp as ``%Y-%m-%dT%H:%M:%SZ`` (session time zone is UTC)."""
+    return F.date_format(_col(ts), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def job_id(ts) -> Column:
+    """Compact job id ``%Y%m%d%H%M%S``."""
+    return F.date_format(_col(ts), "yyyyMMddHHmmss")

@@ -82,3 +82,56 @@ def load_sentence_list(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.text(path).select(F.input_file_name().alias("file"), "value")
     arr = F.from_json("value", "array<string>")
     return raw.select("file", F.posexplode(arr).alias("pos", "sentence"))
+
+
+def read_requested_objects(spark: SparkSession, root: str, requests: DataFrame,
+                           prefix: str = "checker") -> DataFrame:
+    """Fetch the objects named by requests (``{root}/{prefix}/{subject}/{file}``).
+
+    The listing is a ``binaryFile`` scan of the prefix (``s3a://`` or local);
+    a semi-join keeps the requested objects, so nothing is fetched one by one.
+    """
+    base = f"{root.rstrip('/')}/{prefix}"
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
+    want = requests.select(F.concat_ws("/", F.lit(base), "subject_id", "file_name").alias("want"),
+                           "file_check_id")
+    norm = F.regexp_replace("path", "^file:", "")
+    return (listing.withColumn("want", norm).join(want, "want")
+            .select("file_check_id", "path", "length", "content"))
+
+
+def extract_pages(files: DataFrame, extractor) -> DataFrame:
+    """U8 hook: ``extractor(path, content) -> list[str]`` (one text per page),
+    applied per file on the executors; errors become a ``status`` column
+    instead of failing the job.  Output (path, page_num, text, status)."""
+    schema = T.StructType([T.StructField("path", T.StringType()),
+                           T.StructField("page_num", T.IntegerType()),
+                           T.StructField("text", T.StringType()),
+                           T.StructField("status", T.StringType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for path, content in zip(pdf["path"], pdf["content"]):
+                try:
+                    for i, text in enumerate(extractor(path, content)):
+                        rows.append((path, i, text, "ok"))
+                except Exception as e:  # noqa: BLE001 - per-file failure is data
+                    rows.append((path, None, None, f"error: {type(e).__name__}"))
+            yield pd.DataFrame(rows, columns=schema.fieldNames())
+
+    return files.select("path", "content").mapInPandas(run, schema)
+
+
+def write_sentence_list(sentences: DataFrame, path: str, group_col: str,
+                        order_col: str, sentence_col: str = "sentence") -> None:
+    """K5: one JSON array of sentences per group (a line each), in order."""
+    lists = sentences.groupBy(group_col).agg(F.to_json(F.transform(
+        F.sort_array(F.collect_list(F.struct(order_col, sentence_col))),
+        lambda x: x[sentence_col])).alias("value"))
+    lists.select("value").write.mode("overwrite").text(path)
+
+
+def write_word_counts(counts: DataFrame, path: str) -> None:
+    """K5: word counts as JSON rows, highest count first."""
+    counts.orderBy(F.col("cnt").desc(), F.col("word")).write.mode("overwrite").json(path)
