@@ -7,7 +7,6 @@ Everything is a DataFrame reader; per-file Python (zip expansion) runs in
 from __future__ import annotations
 
 import io
-import os
 import zipfile
 from typing import Iterator
 
@@ -56,18 +55,28 @@ def expand_archives(archives: DataFrame) -> DataFrame:
 def write_zip_archives(df: DataFrame, key_col: str, name_col: str, text_col: str, out_dir: str) -> int:
     """Pack rows into zip archives (one per ``key_col`` group) under ``out_dir``.
 
-    Runs inside the executors (``applyInPandas``) and writes to the shared
-    folder; returns the number of archives.
+    Runs inside the executors (``applyInPandas``) and writes through
+    ``pyarrow.fs``, so ``out_dir`` may be a shared HDFS/S3 URI as well as a
+    local path.  A retried task rewrites the same archive name (idempotent).
+    Returns the number of archives.
     """
     schema = T.StructType([T.StructField("archive", T.StringType())])
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        from pyarrow import fs as pafs
+        if "://" in out_dir:
+            filesystem, base = pafs.FileSystem.from_uri(out_dir)
+        else:
+            filesystem, base = pafs.LocalFileSystem(), out_dir.replace("file:", "", 1)
+        filesystem.create_dir(base, recursive=True)
         key = str(pdf[key_col].iloc[0])
-        os.makedirs(out_dir, exist_ok=True)
-        path = os.path.join(out_dir, f"{key}.zip")
-        with zipfile.ZipFile(path, "w", compression=zipfile.ZIP_DEFLATED) as zf:
+        buf = io.BytesIO()
+        with zipfile.ZipFile(buf, "w", compression=zipfile.ZIP_DEFLATED) as zf:
             for name, text in zip(pdf[name_col], pdf[text_col]):
                 zf.writestr(str(name), (text or "").encode("utf-8"))
+        path = f"{base.rstrip('/')}/{key}.zip"
+        with filesystem.open_output_stream(path) as f:
+            f.write(buf.getvalue())
         return pd.DataFrame({"archive": [path]})
 
     return df.groupBy(key_col).applyInPandas(pack, schema).count()
