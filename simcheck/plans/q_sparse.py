@@ -56,12 +56,17 @@ def token_min_count(spark, sf_dir):
     return SP.frequent_tokens(_tok(spark, sf_dir))
 
 
-def _vocab(spark, sf_dir):
-    return SP.frequent_tokens(_tok(spark, sf_dir)).select("token")
+def _bow_all(spark, sf_dir):
+    """In-row term counts of every corpus sentence, written once (one tokenising pass)."""
+    return materialize(SP.sentence_bow(_cs(spark, sf_dir), KEYS))
 
 
-def _bow(spark, sf_dir):
-    return SP.sentence_bow(_cs(spark, sf_dir), KEYS, _vocab(spark, sf_dir))
+def _bow(spark, sf_dir, bow_all=None):
+    """A13 + A14: the dictionary is every token seen more than once (sum of tf)."""
+    bow_all = _bow_all(spark, sf_dir) if bow_all is None else bow_all
+    vocab = (bow_all.groupBy("token").agg(F.sum("tf").alias("cnt"))
+             .where(F.col("cnt") > 1).select("token"))
+    return bow_all.join(broadcast_if_small(vocab, row_bytes=48), "token", "left_semi")
 
 
 @register("bag_of_words", sql=f"WITH {_CS}, {_TOK}, {_VOCAB}, {_BOW} SELECT * FROM bow")
@@ -71,7 +76,7 @@ def bag_of_words(spark, sf_dir):
 
 
 def _tfidf(spark, sf_dir):
-    bow = materialize(_bow(spark, sf_dir))
+    bow = _bow(spark, sf_dir)
     n = _cs(spark, sf_dir).count()
     idf = broadcast_if_small(SP.idf(bow, n), row_bytes=56)
     return SP.tfidf(bow, KEYS, idf), idf
