@@ -34,6 +34,7 @@ def build_session(master: str | None = None, app: str = "simcheck",
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
@@ -72,3 +73,24 @@ def materialize(df):
     path = scratch_dir(df.sparkSession, "stage")
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``simcheck`` importable on the executors (once per SparkContext).
+
+    Python UDF closures reference this package; ``addPyFile`` distributes a
+    zip of it with the job, exactly as on a cluster.
+    """
+    import shutil
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.join(tempfile.mkdtemp(prefix="simcheck-pkg-"), "simcheck")
+    archive = shutil.make_archive(base, "zip", root_dir=os.path.dirname(pkg_dir), base_dir="simcheck")
+    sc.addPyFile(archive)
+    _SHIPPED.add(app)

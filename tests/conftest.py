@@ -21,5 +21,7 @@ def spark():
          .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="simcheck-test-ckpt-"))
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
+    from simcheck.session import ship_package
+    ship_package(s)
     yield s
     s.stop()
