@@ -222,6 +222,10 @@ def similar_pairs(sentences: DataFrame, doc_col: str, idx_col: str, threshold: f
         if len(lpdf) == 0 or len(rpdf) == 0:
             return pd.DataFrame(columns=cols)
         pi, pj = int(key[0]), int(key[1])
+        if pi == pj:
+            # same rows on both sides: align their order so self-pairs sit on the diagonal
+            lpdf = lpdf.sort_values(["doc", "idx"], kind="stable").reset_index(drop=True)
+            rpdf = rpdf.sort_values(["rdoc", "ridx"], kind="stable").reset_index(drop=True)
         L = _matrix(lpdf["__vec"])
         R = _matrix(rpdf["__rvec"])
         Ln = L / np.maximum(np.linalg.norm(L, axis=1, keepdims=True), 1e-300)
@@ -233,8 +237,16 @@ def similar_pairs(sentences: DataFrame, doc_col: str, idx_col: str, threshold: f
         chunk = max(1, MAX_MATRIX_ENTRIES // max(1, len(rpdf)))
         for s0 in range(0, len(lpdf), chunk):
             sc = L32[s0:s0 + chunk] @ R32.T
-            a, b = np.nonzero(sc >= threshold - SCREEN_MARGIN)
-            a = a + s0
+            if pi == pj:
+                r = np.arange(sc.shape[0])
+                sc[r, r + s0] = -1.0          # a row is not its own partner
+            # row maxima first: most rows have no partner, so only candidate
+            # rows are scanned element by element
+            rows = np.nonzero(sc.max(axis=1) >= threshold - SCREEN_MARGIN)[0]
+            if len(rows) == 0:
+                continue
+            a_rel, b = np.nonzero(sc[rows] >= threshold - SCREEN_MARGIN)
+            a = rows[a_rel] + s0
             keep = ld[a] != rd[b]
             if pi == pj:
                 # same block on both sides: score each unordered pair once
