@@ -144,3 +144,9 @@ def write_sentence_list(sentences: DataFrame, path: str, group_col: str,
 def write_word_counts(counts: DataFrame, path: str) -> None:
     """K5: word counts as JSON rows, highest count first."""
     counts.orderBy(F.col("cnt").desc(), F.col("word")).write.mode("overwrite").json(path)
+
+
+def load_word_count_map(spark: SparkSession, path: str) -> DataFrame:
+    """Files holding one JSON object word -> count -> (word, cnt) rows."""
+    raw = spark.read.option("wholetext", "true").text(path)
+    return raw.select(F.explode(F.from_json("value", "map<string,bigint>")).alias("word", "cnt"))

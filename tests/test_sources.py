@@ -42,3 +42,11 @@ def test_time_stamps(spark):
     df = spark.createDataFrame([("2024-03-05 07:08:09",)], "t string").select(F.to_timestamp("t").alias("t"))
     r = df.select(TX.utc_iso("t").alias("a"), TX.job_id("t").alias("b")).first()
     assert (r.a, r.b) == ("2024-03-05T07:08:09Z", "20240305070809")
+
+
+def test_word_count_map(spark):
+    d = tempfile.mkdtemp(prefix="simcheck-wc-")
+    with open(f"{d}/counts.json", "w", encoding="utf-8") as f:
+        f.write('{\n  "và": 3,\n  "b": 0\n}\n')
+    got = sorted((r.word, r.cnt) for r in FS.load_word_count_map(spark, d).collect())
+    assert got == [("b", 0), ("và", 3)]
