@@ -148,5 +148,5 @@ def write_word_counts(counts: DataFrame, path: str) -> None:
 
 def load_word_count_map(spark: SparkSession, path: str) -> DataFrame:
     """Files holding one JSON object word -> count -> (word, cnt) rows."""
-    raw = spark.read.option("wholetext", "true").text(path)
+    raw = spark.read.text(path, wholetext=True)
     return raw.select(F.explode(F.from_json("value", "map<string,bigint>")).alias("word", "cnt"))
