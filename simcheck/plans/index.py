@@ -48,15 +48,29 @@ def corpus_index_path(spark: SparkSession, sf_dir: str) -> str:
 
 
 def build_corpus_index(spark: SparkSession, sf_dir: str, force: bool = False) -> str:
-    """Write the index if it is not there yet (or when ``force``); returns its path."""
+    """Write the index if it is not there yet (or when ``force``); returns its path.
+
+    The table is written into a unique temporary folder and published with one
+    directory rename, so concurrent builders and killed jobs never expose a
+    partial index; when another builder published first, its index is used.
+    """
+    import uuid
+
     path = corpus_index_path(spark, sf_dir)
     if not force and (path in _BUILT.values() or _exists(spark, f"{path}/_SUCCESS")):
         _BUILT[sf_dir] = path
         return path
+    tmp = f"{path}.tmp-{uuid.uuid4().hex[:12]}"
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     (S.encode(S.corpus_sentences(docs))
      .sortWithinPartitions("doc_id", "sentence_index")
-     .write.mode("overwrite").parquet(path))
+     .write.mode("overwrite").parquet(tmp))
+    fs, target = _fs_status(spark, path)
+    _, src = _fs_status(spark, tmp)
+    if force and fs.exists(target):
+        fs.delete(target, True)
+    if not fs.rename(src, target):          # lost the race: keep the published one
+        fs.delete(src, True)
     _BUILT[sf_dir] = path
     return path
 
