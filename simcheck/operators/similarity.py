@@ -236,10 +236,16 @@ def similar_pairs(sentences: DataFrame, doc_col: str, idx_col: str, threshold: f
         outs = []
         chunk = max(1, MAX_MATRIX_ENTRIES // max(1, len(rpdf)))
         for s0 in range(0, len(lpdf), chunk):
-            sc = L32[s0:s0 + chunk] @ R32.T
             if pi == pj:
-                r = np.arange(sc.shape[0])
-                sc[r, r + s0] = -1.0          # a row is not its own partner
+                # same rows on both sides: only columns j >= s0, and inside the
+                # chunk's own square only j > i, so each unordered pair is scored once
+                sc = L32[s0:s0 + chunk] @ R32[s0:].T
+                n = sc.shape[0]
+                sc[:, :n][np.tril_indices(n)] = -1.0
+                col0 = s0
+            else:
+                sc = L32[s0:s0 + chunk] @ R32.T
+                col0 = 0
             # row maxima first: most rows have no partner, so only candidate
             # rows are scanned element by element
             rows = np.nonzero(sc.max(axis=1) >= threshold - SCREEN_MARGIN)[0]
@@ -247,10 +253,8 @@ def similar_pairs(sentences: DataFrame, doc_col: str, idx_col: str, threshold: f
                 continue
             a_rel, b = np.nonzero(sc[rows] >= threshold - SCREEN_MARGIN)
             a = rows[a_rel] + s0
+            b = b + col0
             keep = ld[a] != rd[b]
-            if pi == pj:
-                # same block on both sides: score each unordered pair once
-                keep &= (ld[a] < rd[b]) | ((ld[a] == rd[b]) & (li[a] < ri[b]))
             a, b = a[keep], b[keep]
             if len(a) == 0:
                 continue
