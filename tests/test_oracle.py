@@ -1,7 +1,6 @@
 """Every registered query against its SQL twin on the smoke tables (DuckDB)."""
 import hashlib
 import math
-import os
 
 import duckdb
 import pytest
@@ -10,7 +9,6 @@ import __spark_entry__ as E
 
 SMOKE = "/root/testdata/sf0.001"
 TABLES = ["documents", "embeddings", "pages", "benchmark", "labels", "conversations", "events"]
-SLOW = {"pair_similarity", "similar_pairs", "two_doc_matches"}
 
 
 @pytest.fixture(scope="module")
@@ -39,8 +37,6 @@ def _digest(pdf):
 
 @pytest.mark.parametrize("key", sorted(E.oracle_sql()))
 def test_matches_sql(spark, con, key):
-    if key in SLOW and not os.environ.get("SIMCHECK_SLOW"):
-        pytest.skip("all-pairs oracle; set SIMCHECK_SLOW=1")
     got = E.queries()[key](spark, SMOKE).toPandas()
     want = con.execute(E.oracle_sql()[key]).df()
     assert _digest(got) == _digest(want)
