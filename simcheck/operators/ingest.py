@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from simcheck.functions import text as TX
 from simcheck.functions.ordering import global_row_number
 from simcheck.operators import sentences as S
 
@@ -64,7 +63,3 @@ def vector_rows(sent_rows: DataFrame, encoder=None) -> DataFrame:
 def stored_names(listing: DataFrame, registry: DataFrame) -> DataFrame:
     """Names of files already in the store (documents with a registry row)."""
     return listing.join(registry.select("doc_id"), "doc_id", "left_semi").select("filename").distinct()
-
-
-def basename_of(path_col: str):
-    return TX.basename(path_col)

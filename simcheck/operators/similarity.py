@@ -54,11 +54,6 @@ def _cos(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.round(s, SCORE_DECIMALS)
 
 
-def _vector_dim(df: DataFrame, vec: str) -> int:
-    row = df.select(F.size(vec).alias("d")).where(F.col("d") > 0).limit(1).collect()
-    return int(row[0]["d"]) if row else 1
-
-
 def _side_bytes(df: DataFrame, vec: str) -> tuple[int, int]:
     stats = df.agg(F.count(F.lit(1)).alias("n"),
                    F.coalesce(F.max(F.size(vec)), F.lit(1)).alias("d")).collect()[0]
