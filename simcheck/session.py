@@ -1,13 +1,14 @@
 """Session construction and the shared scratch folder.
 
 On a cluster the scratch folder is whatever ``spark.checkpoint.dir`` names (a
-shared file system such as HDFS or an object store).  Only when it is unset
-(local tests) do we create one under the system temp folder.
+shared file system such as HDFS or an object store); leaving it unset there is
+an error.  Only a ``local`` master without it gets a temporary folder.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -41,14 +42,16 @@ def build_session(master: str | None = None, app: str = "simcheck",
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Read from the session; set a local one only when the session has none
-    (tests, local runs).  Never a machine-local folder on a real cluster,
-    because there the setting is present.
+    Read from the session.  Only a ``local`` master without the setting gets a
+    folder of its own; on a cluster a missing setting is an error, because a
+    machine-local folder would lose what other executors need.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="simcheck-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
