@@ -5,15 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from simcheck.llm import bpe
 from simcheck.llm import exact_dedup as exact
 from simcheck.llm import line_dedup as lines
-from simcheck.llm import mixing, sharding
+from simcheck.llm import mixing, quality, sharding
 from simcheck.llm.common import table
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the public tokenizer file lies; it is only read, on the driver."""
+    import public_tokenizers
+    return str(public_tokenizers.path(name))
+
+
 def query(fn):
     QUERIES[fn.__name__] = fn
     return fn
@@ -95,3 +102,17 @@ def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
+
+
+@query
+def op1_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return quality.classify(docs, model).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
+@query
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path(), with_text=True)
+    return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
