@@ -9,6 +9,7 @@ from simcheck.llm import bpe
 from simcheck.llm import exact_dedup as exact
 from simcheck.llm import line_dedup as lines
 from simcheck.llm import mixing, quality, sharding
+from simcheck.llm import near_dedup as near
 from simcheck.llm.common import table
 
 QUERIES = {}
@@ -116,3 +117,8 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path(), with_text=True)
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(table(spark, sf_dir, "documents"))
