@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from simcheck.llm import bpe
 from simcheck.llm import exact_dedup as exact
 from simcheck.llm import line_dedup as lines
-from simcheck.llm import mixing, quality, sharding
+from simcheck.llm import mixing, pii, quality, sharding
 from simcheck.llm import near_dedup as near
 from simcheck.llm.common import table
 
@@ -122,3 +122,12 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}")
+              for k, kind in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.spans_text(F.col("base")), 256).alias("base_sha256"),
+                        pii.spans_text(F.col("spans")).alias("spans"))
