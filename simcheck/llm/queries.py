@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from simcheck.llm import bpe
 from simcheck.llm import exact_dedup as exact
 from simcheck.llm import line_dedup as lines
-from simcheck.llm import mixing, pii, quality, sharding
+from simcheck.llm import mixing, pii, quality, sharding, voronoi
 from simcheck.llm import near_dedup as near
 from simcheck.llm.common import table
 
@@ -131,3 +131,20 @@ def op9_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
               for k, kind in enumerate(pii.KINDS)]
     return found.select("doc_id", *counts, F.sha2(pii.spans_text(F.col("base")), 256).alias("base_sha256"),
                         pii.spans_text(F.col("spans")).alias("spans"))
+
+
+@query
+def op5_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voronoi.top_k(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op5_voronoi_knn"] = r"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id,
+        list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
