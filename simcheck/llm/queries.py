@@ -10,6 +10,7 @@ from simcheck.llm import exact_dedup as exact
 from simcheck.llm import line_dedup as lines
 from simcheck.llm import mixing, pii, quality, sharding, voronoi
 from simcheck.llm import near_dedup as near
+from simcheck.llm import suffix_dedup as suffix
 from simcheck.llm.common import table
 
 QUERIES = {}
@@ -148,3 +149,9 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id,
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+
+@query
+def op8_merged_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix.suffix_dedup(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
