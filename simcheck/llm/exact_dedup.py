@@ -61,13 +61,15 @@ def exact_dedup(docs: DataFrame, carry: dict[str, Callable[[Column], Column]] |
                 F.when(F.col("alike"), F.unhex(F.sha2("norm", 256))).alias("full"),
                 *[make(F.col("norm")).alias(name) for name, make in carry.items()]))
 
-    groups = (hashed.filter("full is not null").groupBy("len", "prefix", "full")
+    # written, so that neither side of the join below is tied to the other's partitions
+    # and rows of a large group can be split over tasks
+    groups = materialize(hashed.filter("full is not null").groupBy("len", "prefix", "full")
               .agg(F.count(F.lit(1)).alias("members"),
                    F.max(F.struct("n_points", F.bitwise_not("doc_id").alias("low_id"))).alias("best"))
               .filter("members > 1")
               .select("len", "prefix", "full", "members",
                       F.bitwise_not("best.low_id").alias("best_id")))
-    return (hashed.join(groups, ["len", "prefix", "full"], "left")
+    return (hashed.join(small_or_shuffled(groups, 96, broadcast_bytes), ["len", "prefix", "full"], "left")
             .withColumn("keep_id", F.when(F.col("members").isNotNull(), F.col("best_id"))
                         .otherwise(F.col("doc_id")))
             .select("doc_id", "keep_id",
