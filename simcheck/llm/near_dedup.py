@@ -8,11 +8,12 @@ sets, and a component is what links connect.
    set are one node from here on.
 2. Postings.  Nodes are posted under their first L coordinate-value pairs.  A
    linked pair shares at least ``need`` of them and ``match`` of all K but for
-   one pair in 10^9 (binomial tail); a node with fewer than ``need`` pairs that
+   one pair in 10^8 (binomial tail); a node with fewer than ``need`` pairs that
    anyone shares has no link and leaves.
-3. Stars.  In each posting list one node, the one that shares most, is set
+3. Stars.  In each posting list one node, the one that shares most and has the
+   smallest id among those (an original rather than an edited copy), is set
    against the others; each node verifies its most frequent partner on the
-   full sets.  That joins the bulk of large groups with a number of pairs that
+   full sets.  A second round draws the node by a hash.  That joins the bulk of large groups with a number of pairs that
    is linear in the postings.
 4. Merging.  Lists whose nodes still lie in several components are merged
    whole: in blocks of bounded size the collisions of all coordinates are
@@ -50,8 +51,8 @@ from simcheck.llm.textwords import chunks, mix64, per_text, stream, words_of
 from simcheck.session import materialize
 
 WIDTH, PERCENT = 5, 85
-COORDINATES, POSTED = 128, 24
-LOSS = 1e-9
+COORDINATES, POSTED = 192, 24
+LOSS = 1e-8
 BLOCK = 1024
 NO_ID = (1 << 63) - 1
 ROWS_OUT = 2048
@@ -251,7 +252,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sets = materialize(full_sets(docs, alive))
 
     links, comps = None, None
-    for order in ("weight", "xxhash64(node, post)"):
+    for order in ("struct(weight, ~node)", "struct(xxhash64(node), node)"):
         found = confirmed(materialize(star_pairs(with_component(posts, comps), order)), sets, percent)
         links = materialize(found if links is None else links.unionByName(found))
         comps = materialize(components(links))
