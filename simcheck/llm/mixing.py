@@ -80,14 +80,15 @@ def due(share: Column, tilt: Column) -> Column:
 
 def mix(docs: DataFrame, weights=WEIGHTS, tilts=TILTS, budget: float = BUDGET,
         cap: float = CAP) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, position, second_position) of every row.
+    """(doc_id, source, text_key, size, source_size, target, taken, first, second, position, second_position).
 
-    ``taken`` counts words over all passes; the document at which a source's
-    demand ends is taken in part, so the words of a source come to its target
-    rounded down.  ``position`` is null for documents that are not taken.
+    One row for every row of ``docs``.  ``taken`` counts words over all passes
+    (``first`` and ``second``); the document at which a source's demand ends is
+    taken in part, so the words of a source come to its target rounded down.
+    ``position`` is null for documents that are not taken.
     """
     rows = materialize(
-        docs.select("doc_id", "source", word_count().alias("size"),
+        docs.select("doc_id", "source", F.xxhash64(text_of()).alias("text_key"), word_count().alias("size"),
                     F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("key"))
         .withColumn("cell", F.substring("key", 1, 3)))
     by_source = targets(rows, weights, tilts, budget, cap)
@@ -98,7 +99,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, tilts=TILTS, budget: float = BUDGET,
     plan = materialize(cells.alias("c").join(by_source.alias("s"), F.col("c.source").eqNullSafe(F.col("s.source")))
                        .select(F.col("c.source").alias("p_source"), F.col("cell").alias("p_cell"),
                                "cell_start", "source_size", "tilt", "target"))
-    in_cell = F.sum("size").over(Window.partitionBy("source", "cell").orderBy("key", "doc_id", "size")
+    in_cell = F.sum("size").over(Window.partitionBy("source", "cell").orderBy("key", "doc_id", "size", "text_key")
                                  .rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
     plan = small_or_shuffled(plan, F.coalesce(F.octet_length("p_source"), F.lit(0)) + 64)
     start, total = F.col("start"), F.floor("target")
@@ -111,11 +112,33 @@ def mix(docs: DataFrame, weights=WEIGHTS, tilts=TILTS, budget: float = BUDGET,
             .withColumn("position", F.when(F.col("first") > 0, due(start / F.col("target"), F.col("tilt"))))
             .withColumn("second_position", F.when(F.col("second") > 0, due(
                 (start + F.col("source_size")) / F.col("target"), F.col("tilt"))))
-            .select("doc_id", "source", "size", "source_size", "target",
-                    (F.col("first") + F.col("second")).cast("long").alias("taken"),
+            .select("doc_id", "source", "text_key", "size", "source_size", "target",
+                    (F.col("first") + F.col("second")).cast("long").alias("taken"), "first", "second",
                     "position", "second_position"))
 
 
 def curriculum(mixed: DataFrame) -> DataFrame:
     """The mix in training order: range-sorted by position, documents not taken last."""
     return mixed.orderBy(F.col("position").asc_nulls_last(), F.col("doc_id"))
+
+
+def assemble(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+    """The rows of ``docs`` as the mix takes them, in training order.
+
+    A row stands once for every pass that takes at least half of its words, so
+    texts stay whole.  Rows that share a doc_id are told apart by source and
+    text; equal ones are interchangeable.
+    """
+    def nth(*order) -> Column:
+        return F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))
+
+    passes = F.filter(F.array(F.when((F.col("first") > 0) & (F.col("first") * 2 >= F.col("size")), F.col("position")),
+                              F.when((F.col("second") > 0) & (F.col("second") * 2 >= F.col("size")), F.col("second_position"))),
+                      lambda p: p.isNotNull())
+    due_rows = (mixed.withColumn("__m_nth", nth("source", "text_key", "position", "second_position"))
+                .select(F.col("doc_id").alias("__m_id"), "__m_nth", passes.alias("__passes"))
+                .filter(F.size("__passes") > 0))
+    return (docs.withColumn("__nth", nth("source", F.xxhash64(text_of())))
+            .join(due_rows, F.col("doc_id").eqNullSafe(F.col("__m_id")) & (F.col("__nth") == F.col("__m_nth")))
+            .withColumn("__position", F.explode("__passes"))
+            .orderBy("__position", "doc_id").select(*docs.columns))

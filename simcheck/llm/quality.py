@@ -196,3 +196,9 @@ def classify(docs: DataFrame, model: RuleModel, threshold: float = THRESHOLD) ->
     return (docs.withColumn("__stats", text_statistics("text"))
             .withColumn("score", model.score("__stats")).drop("__stats")
             .withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0)))
+
+
+def keep_good(docs: DataFrame, model: RuleModel, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that the model does not reject, unchanged."""
+    return (docs.withColumn("__stats", text_statistics("text"))
+            .filter(model.score("__stats") >= threshold).drop("__stats"))
