@@ -196,7 +196,7 @@ def span_rows(texts: DataFrame, n_buckets: int) -> DataFrame:
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in SPANS.split(", ")]
         for pdf in batches:
-            seen: set[tuple[int, bytes]] = set()
+            seen: dict[tuple[int, bytes], tuple[int, int]] = {}
             keep, late = [], []
             for doc, text, ats, codes in sorted(zip(pdf["doc"].tolist(), pdf["text"], pdf["ats"], pdf["codes"], strict=True),
                                                 key=lambda r: r[0]):
@@ -208,11 +208,12 @@ def span_rows(texts: DataFrame, n_buckets: int) -> DataFrame:
                 for f, lo, n, code in zip(first.tolist(), low.tolist(), count.tolist(),
                                           np.asarray(codes)[order].tolist(), strict=True):
                     span = raw[f:f + n + LENGTH - 1]
-                    if (code, span) in seen:
-                        late.append((doc, f, n))
-                    else:
-                        seen.add((code, span))
+                    place = seen.get((code, span))
+                    if place is None:
+                        seen[code, span] = (doc, f)
                         keep.append((code, doc, f, lo, n, span))
+                    elif place != (doc, f):         # else a row that repeats its document
+                        late.append((doc, f, n))
             out = []
             if late:
                 runs = _joined_runs(*np.array(late, np.int64).T)
@@ -282,15 +283,16 @@ def late_runs(rows: DataFrame) -> DataFrame:
             entries += [(d, f, c, lo, n, data[e - n - LENGTH + 1:e]) for d, f, c, lo, n, e in zip(
                 doc.tolist(), first.tolist(), code.tolist(), low.tolist(), count.tolist(), end.tolist(), strict=True)]
         entries.sort(key=lambda x: x[:2])
-        seen: set[tuple[int, bytes]] = set()
+        seen: dict[tuple[int, bytes], tuple[int, int]] = {}
         late, own = [], []
         for entry in entries:
             key = (entry[2], entry[5])
-            if key in seen:
-                late.append((entry[0], entry[1], entry[4]))
-            else:
-                seen.add(key)
+            place = seen.get(key)
+            if place is None:
+                seen[key] = entry[:2]
                 own.append(entry)
+            elif place != entry[:2]:
+                late.append((entry[0], entry[1], entry[4]))
         # an anchor with one string has no other windows to compare
         code = np.array([x[2] for x in own], np.int64)
         _, back, times = np.unique(code, return_inverse=True, return_counts=True)
