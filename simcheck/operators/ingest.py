@@ -18,7 +18,7 @@ from simcheck.operators import sentences as S
 
 def file_listing(documents: DataFrame) -> DataFrame:
     """Files as an ingest source sees them: content-addressed name inside a source folder."""
-    name = F.concat(F.lit("h_"), F.substring(F.md5("text"), 1, 12), F.lit(".pdf"))
+    name = F.concat(F.lit("h_"), F.md5("text"), F.lit(".pdf"))
     return documents.select("doc_id", "text", name.alias("filename"),
                             F.concat_ws("/", "source", name).alias("file_path"))
 

@@ -46,14 +46,6 @@ def query_sentences(benchmark: DataFrame) -> DataFrame:
     return kept_sentences(benchmark.select("item_id", "text"), "item_id", index_col="q_index")
 
 
-def with_sentence_id(df: DataFrame, doc_col: str = "doc_id",
-                     index_col: str = "sentence_index") -> DataFrame:
-    """Stable sentence id: doc_id * MAX_SENTENCES_PER_DOC + index."""
-    return df.withColumn(
-        "sentence_id",
-        F.col(doc_col) * F.lit(P.MAX_SENTENCES_PER_DOC) + F.col(index_col).cast("bigint"))
-
-
 def encode(df: DataFrame, sentence_col: str = "sentence", out_col: str = "vec",
            encoder=None) -> DataFrame:
     """Attach a sentence vector.  Default = native hashed-token vector."""

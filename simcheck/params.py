@@ -10,12 +10,10 @@ them, so a caller can pass another list.
 MATCH_THRESHOLD = 0.9
 PAPER_THRESHOLD = 0.8
 PAIR_MIN_PERCENT = 20.0
-# Hits per query: check service / top-k search.
-CHECK_TOP_K = 1
+# Hits per query of the top-k search.
 SEARCH_TOP_K = 5
-# Vector index shape: number of cells and cells probed (check / search).
+# Vector index shape: number of cells and cells probed.
 IVF_NLIST = 1024
-IVF_NPROBE_CHECK = 10
 IVF_NPROBE_SEARCH = 16
 # Minimum words in a kept sentence (fewer are excluded), chunk size in subtokens.
 MIN_SENTENCE_WORDS = 10
@@ -35,15 +33,16 @@ EVAL_SHARES = (30, 60, 90)
 EVAL_AVG_SENTENCES = 400
 # Score bands (upper bounds, inclusive).
 SCORE_BANDS = (30, 60, 90)
-# Stop-word list sizes (LDA path / TF-IDF path).
+# Stop-word list size of the LDA path.
 STOPWORDS_LDA = 40
-STOPWORDS_TFIDF = 50
 # Word2Vec / LDA shape.
 W2V_SIZE = 100
 W2V_WINDOW = 5
 W2V_MIN_COUNT = 1
 LDA_TOPICS = 20
 LDA_PASSES = 15
+W2V_EPOCHS = 5
+W2V_PARTITIONS = 8             # fixed, so that the model does not change with the cluster
 
 # FIXED: substrings that mark a boilerplate sentence (in this order).
 BOILERPLATE_PATTERNS = [
@@ -80,4 +79,3 @@ HASH_DIM = 256
 # Sizing guards.
 BROADCAST_GUARD_BYTES = 64 * 1024 * 1024      # largest query matrix we broadcast
 BLOCK_TARGET_BYTES = 32 * 1024 * 1024         # vectors per block in blocked kernels
-MAX_SENTENCES_PER_DOC = 1_000_000             # sentence_id = doc_id * this + index

@@ -80,7 +80,7 @@ def sample_sentences(spark, sf_dir):
 
 
 @register("build_eval_docs")
-def build_eval_docs(spark, sf_dir, avg: int = 40):
+def build_eval_docs(spark, sf_dir, avg: int = P.EVAL_AVG_SENTENCES):
     """Labelled test documents with a known copy share (30/60/90 %).
 
     For every registered document and share p: int(avg * p / 100) of its own

@@ -13,8 +13,8 @@ from simcheck.sources.tables import load
 # The store before this batch: documents that have a registry row (``labels``).
 # Their ids and sentence ids are taken; the batch continues after them.
 
-_LIST = ("lst AS (SELECT doc_id, text, 'h_' || substr(md5(text), 1, 12) || '.pdf' AS filename, "
-         "source || '/' || 'h_' || substr(md5(text), 1, 12) || '.pdf' AS file_path FROM documents), "
+_LIST = ("lst AS (SELECT doc_id, text, 'h_' || md5(text) || '.pdf' AS filename, "
+         "source || '/' || 'h_' || md5(text) || '.pdf' AS file_path FROM documents), "
          "stored AS (SELECT DISTINCT filename FROM lst WHERE doc_id IN (SELECT doc_id FROM labels)), "
          "firstf AS (SELECT filename, file_path, doc_id FROM (SELECT *, row_number() OVER "
          "(PARTITION BY filename ORDER BY file_path, doc_id) AS rn FROM lst) WHERE rn = 1), "

@@ -151,18 +151,18 @@ def category_stats(spark, sf_dir):
 # ------------------------------------------------------------------ lookups
 
 @register("lookup_sentences", sql=(
-    f"WITH {Q.base_ctes()}, {Q.top1_cte()} SELECT c.doc_id * {P.MAX_SENTENCES_PER_DOC} + c.sentence_index "
-    "AS sentence_id, c.doc_id, c.sentence_index, c.sentence FROM cs c WHERE EXISTS (SELECT 1 FROM hits h "
+    f"WITH {Q.base_ctes()}, {Q.top1_cte()} SELECT c.doc_id, c.sentence_index, c.sentence "
+    "FROM cs c WHERE EXISTS (SELECT 1 FROM hits h "
     "WHERE h.doc_id = c.doc_id AND h.sentence_index = c.sentence_index)"))
 def lookup_sentences(spark, sf_dir):
-    """P15 batched: sentence rows for every id hit by a check (left semi-join)."""
-    ids = S.with_sentence_id(C.hits(spark, sf_dir)).select("sentence_id")
-    cs = S.with_sentence_id(_cs(spark, sf_dir))
-    return cs.join(ids, "sentence_id", "left_semi").select("sentence_id", "doc_id", "sentence_index", "sentence")
+    """P15 batched: sentence rows for every key hit by a check (left semi-join)."""
+    keys = ["doc_id", "sentence_index"]
+    return (_cs(spark, sf_dir).join(C.hits(spark, sf_dir).select(*keys), keys, "left_semi")
+            .select(*keys, "sentence"))
 
 
 @register("lookup_document", sql=(
-    "WITH lst AS (SELECT doc_id, n_chars, 'h_' || substr(md5(text), 1, 12) || '.pdf' AS filename FROM documents), "
+    "WITH lst AS (SELECT doc_id, n_chars, 'h_' || md5(text) || '.pdf' AS filename FROM documents), "
     "want AS (SELECT DISTINCT l.filename FROM lst l JOIN labels b ON b.doc_id = l.doc_id WHERE b.quality = 1) "
     "SELECT l.doc_id, l.filename, l.n_chars FROM lst l JOIN want w ON w.filename = l.filename"))
 def lookup_document(spark, sf_dir):

@@ -29,10 +29,11 @@ def build_session(master: str | None = None, app: str = "simcheck",
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("SIMCHECK_DRIVER_MEM", "16g"))
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
         .config("spark.executorEnv.OPENBLAS_NUM_THREADS", "1")
         .config("spark.executorEnv.OMP_NUM_THREADS", "1")
     )
+    if shuffle_partitions:          # else the session's own setting stands
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ship_package(spark)
