@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from simcheck.operators import ingest as IG
-from simcheck.operators import sentences as S
+from simcheck.plans import index as IX
 from simcheck.plans import sql as Q
 from simcheck.plans.catalog import register
 from simcheck.sources.tables import load
@@ -33,18 +33,16 @@ _LIST = ("lst AS (SELECT doc_id, text, 'h_' || md5(text) || '.pdf' AS filename,
 
 
 def _batch(spark, sf_dir):
+    """Document rows of the new files and their sentences; totals of the store come from the corpus index."""
     docs = load(spark, sf_dir, "documents")
     reg = load(spark, sf_dir, "labels").select("doc_id")
     listing = IG.file_listing(docs)
     new = IG.new_files(listing, IG.stored_names(listing, reg))
-    stored_docs = docs.select("doc_id").join(reg, "doc_id", "left_semi")
-    agg = stored_docs.agg(F.max("doc_id").alias("m")).collect()[0]
-    first_doc = (agg["m"] if agg["m"] is not None else -1) + 1
-    first_sent = S.kept_sentences(docs.join(reg, "doc_id", "left_semi").select("doc_id", "text"),
-                                  "doc_id").count() + 1
-    texts = docs.select("doc_id", "text")
-    drows = IG.documents_rows(new, texts, first_doc)
-    return drows, texts, first_sent
+    last = docs.select("doc_id").join(reg, "doc_id", "left_semi").agg(F.max("doc_id")).first()[0]
+    corpus = IX.corpus_sentences(spark, sf_dir)
+    stored = corpus.select("doc_id").join(reg, "doc_id", "left_semi").count()
+    sent = corpus.join(new.select("doc_id"), "doc_id", "left_semi")
+    return IG.documents_rows(new, sent, (-1 if last is None else last) + 1, stored + 1), sent
 
 
 @register("ingest_new_files", sql="WITH " + _LIST + "SELECT filename, file_path, doc_id FROM newf")
@@ -59,19 +57,21 @@ def ingest_new_files(spark, sf_dir):
 @register("ingest_documents", sql="WITH " + _LIST + "SELECT * FROM newdocs")
 def ingest_documents(spark, sf_dir):
     """K1: document rows with generated ids and sentence totals."""
-    drows, _, _ = _batch(spark, sf_dir)
-    return drows
+    return _batch(spark, sf_dir)[0].drop("first_sentence_id")
 
 
 @register("ingest_sentences", sql="WITH " + _LIST + "SELECT * FROM newsent")
 def ingest_sentences(spark, sf_dir):
     """K2: sentence rows with generated ids, position among kept sentences."""
-    drows, texts, first_sent = _batch(spark, sf_dir)
-    return IG.sentence_rows(drows, texts, first_sent)
+    return IG.sentence_rows(*_batch(spark, sf_dir))
 
 
-@register("ingest_vectors")
+@register("ingest_vectors", sql="WITH " + _LIST + (
+    f", nv AS ({Q.encode('SELECT sentence_id, pdf_id, sentence_index, sentence FROM newsent')}) "
+    "SELECT sentence_id, pdf_id, (d - 1)::INTEGER AS dim, round(w::DOUBLE, 6) AS weight FROM ("
+    "SELECT sentence_id, pdf_id, unnest(vec) AS w, unnest(range(1, len(vec) + 1)) AS d FROM nv) WHERE w <> 0"))
 def ingest_vectors(spark, sf_dir):
-    """K3: float32 vectors keyed by the new sentence ids."""
-    drows, texts, first_sent = _batch(spark, sf_dir)
-    return IG.vector_rows(IG.sentence_rows(drows, texts, first_sent))
+    """K3: float32 vectors keyed by the new sentence ids, as their non-zero dimensions."""
+    v = IG.vector_rows(IG.sentence_rows(*_batch(spark, sf_dir)))
+    return (v.select("sentence_id", "pdf_id", F.posexplode("sentence_vector").alias("dim", "w")).where("w <> 0")
+            .select("sentence_id", "pdf_id", "dim", F.round(F.col("w").cast("double"), 6).alias("weight")))

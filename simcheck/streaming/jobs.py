@@ -2,9 +2,11 @@
 
 Both read a file source with ``trigger(availableNow=True)`` (no server, no
 port), process each micro-batch with ``foreachBatch`` and write into the
-shared checkpoint folder.  Replays are safe: a batch writes only its own
-``batch_id=N`` sub-folder in overwrite mode, and ingest skips file names that
-are already stored (anti-join), so re-running a batch changes nothing.
+shared checkpoint folder.  Replays are safe: ingest appends through
+``CorpusStore``, whose commit markers make a repeated batch a no-op, and a
+check batch writes only its own ``batch_id=N`` sub-folder in overwrite mode.
+Ids are the store's, the same for batch and stream.  How many files a
+micro-batch takes is the caller's choice; unset, it takes all there are.
 """
 
 from __future__ import annotations
@@ -12,89 +14,58 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from simcheck import params as P
-from simcheck.operators import ingest as IG
-from simcheck.operators import sentences as S
+from simcheck.operators.ingest import CorpusStore
 from simcheck.plans import check as C
-from simcheck.session import scratch_dir
+from simcheck.session import materialize, scratch_dir
 from simcheck.sources.tables import SCHEMAS
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(p)
-
-
-def _stream(spark: SparkSession, table_path: str, schema, max_files: int = 1) -> DataFrame:
+def _stream(spark: SparkSession, table_path: str, schema, max_files: int | None = None) -> DataFrame:
     folder, name = os.path.split(table_path.rstrip("/"))
-    return (spark.readStream.schema(schema)
-            .option("pathGlobFilter", name)
-            .option("maxFilesPerTrigger", max_files)
-            .parquet(folder))
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.parquet(folder)
 
 
-def ingest_stream(spark: SparkSession, documents_path: str, out: str | None = None) -> str:
+def ingest_stream(spark: SparkSession, documents_path: str, out: str | None = None,
+                  max_files: int | None = None) -> CorpusStore:
     """New documents -> documents / sentences / vectors tables, skipping known names."""
     out = out or scratch_dir(spark, "stream-ingest")
-    docs_out, sent_out, vec_out = f"{out}/documents", f"{out}/sentences", f"{out}/vectors"
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        bs = df.sparkSession
-        listing = IG.file_listing(df)
-        if _exists(bs, docs_out):
-            stored = bs.read.parquet(docs_out).where(F.col("batch_id") != batch_id).select("filename")
-        else:
-            stored = bs.createDataFrame([], "filename string")
-        new = IG.new_files(listing, stored)
-        sent = S.kept_sentences(df.select("doc_id", "text"), "doc_id").join(new.select("doc_id"), "doc_id")
-        counts = sent.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("total_sentences"))
-        docs_rows = (new.join(counts, "doc_id")
-                     .withColumn("pdf_id", F.xxhash64("filename"))
-                     .select("pdf_id", "filename", "file_path", "total_sentences", "doc_id"))
-        docs_rows.write.mode("overwrite").parquet(f"{docs_out}/batch_id={batch_id}")
-        ids = bs.read.parquet(f"{docs_out}/batch_id={batch_id}").select("doc_id", "pdf_id")
-        srows = (sent.join(ids, "doc_id")
-                 .withColumn("sentence_id", F.xxhash64("pdf_id", "sentence_index"))
-                 .select("sentence_id", "pdf_id", "sentence_index", "sentence"))
-        srows.write.mode("overwrite").parquet(f"{sent_out}/batch_id={batch_id}")
-        IG.vector_rows(bs.read.parquet(f"{sent_out}/batch_id={batch_id}")) \
-            .write.mode("overwrite").parquet(f"{vec_out}/batch_id={batch_id}")
-
-    q = (_stream(spark, documents_path, SCHEMAS["documents"])
+        CorpusStore(df.sparkSession, f"{out}/store").append(batch_id, df)
+
+    q = (_stream(spark, documents_path, SCHEMAS["documents"], max_files)
          .writeStream.foreachBatch(batch)
          .option("checkpointLocation", f"{out}/_checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return out
+    return CorpusStore(spark, f"{out}/store")
 
 
-def check_stream(spark: SparkSession, requests_path: str, documents: DataFrame,
-                 out: str | None = None, threshold: float = P.MATCH_THRESHOLD) -> str:
+def check_stream(spark: SparkSession, requests_path: str, corpus: DataFrame,
+                 out: str | None = None, threshold: float = P.MATCH_THRESHOLD,
+                 max_files: int | None = None) -> str:
     """R2: a stream of submissions checked against a static corpus (stream-static).
 
-    The corpus vectors are computed once and written to the shared folder, so
-    every micro-batch reads a materialised table instead of re-encoding.
+    ``corpus`` is the written index (doc_id, sentence_index, sentence, vec);
+    every micro-batch reads it, nothing is encoded again.
     """
     out = out or scratch_dir(spark, "stream-check")
-    cv_path = f"{out}/corpus_vectors"
-    C.corpus_vectors(documents).write.mode("overwrite").parquet(cv_path)
     res_out = f"{out}/results"
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        bs = df.sparkSession
-        cv = bs.read.parquet(cv_path)
-        h = C.top1_hits(C.query_vectors(df), cv, threshold)
+        h = materialize(C.top1_hits(C.query_vectors(df), corpus, threshold))
         top = C.top_documents(h)
         tot = C.total_percent(h, df)
         res = (tot.join(top, "item_id", "left")
                .select("item_id", "n_sentences", "total_percent", "rank", "doc_id", "n_matches"))
         res.write.mode("overwrite").parquet(f"{res_out}/batch_id={batch_id}")
 
-    q = (_stream(spark, requests_path, SCHEMAS["benchmark"])
+    q = (_stream(spark, requests_path, SCHEMAS["benchmark"], max_files)
          .writeStream.foreachBatch(batch)
          .option("checkpointLocation", f"{out}/_checkpoint")
          .trigger(availableNow=True).start())
