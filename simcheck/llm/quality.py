@@ -172,7 +172,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, trees: int = TREES, depth: int = DEPTH,
         lasso: float = LASSO, seed: int = SEED) -> RuleModel:
     # one partition in a fixed order: the same sample gives the same trees wherever its rows came from
-    rows = materialize(training_rows(docs, labels, max_rows).coalesce(1).sortWithinPartitions("doc_id", *STATS)).coalesce(1)
+    rows = materialize(training_rows(docs, labels, max_rows))
+    rows = materialize(rows.coalesce(1).sortWithinPartitions("doc_id", *STATS)).coalesce(1)
     n, ones = rows.agg(F.count(F.lit(1)), F.sum("label")).first()
     if not n or ones in (0, n):
         share = min(max((ones or 0) / n if n else 1.0, 1e-6), 1 - 1e-6)
