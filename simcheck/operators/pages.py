@@ -86,23 +86,39 @@ def locate(sentences: DataFrame, pages: DataFrame, id_col: str, index_col: str,
     return first
 
 
+def occurrences(text: str, part: str) -> F.Column:
+    """0-based starts of the non-overlapping occurrences of one column's text in another's."""
+    # the text between occurrences, the part taken literally
+    quoted = F.concat(F.lit("\\Q"), F.replace(F.col(part), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    gaps = F.split(F.col(text), quoted, -1)
+    lengths = F.transform(gaps, F.length)
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+
+    def step(acc, n):
+        start = acc["at"] + n
+        return F.struct((start + F.length(part)).alias("at"), F.array_append(acc["starts"], start).alias("starts"))
+
+    return F.aggregate(F.slice(lengths, 1, F.size(lengths) - 1), zero, step, lambda acc: acc["starts"])
+
+
 def sentence_rects(located: DataFrame, pages: DataFrame, lines: DataFrame,
                    id_col: str, index_col: str) -> DataFrame:
-    """L1: one box per line that the sentence's character span overlaps on its page.
+    """L1: for every occurrence of the sentence on its page one box per line it overlaps.
 
-    ``located`` holds (id, index, sentence, page_num).  The span is the first
-    occurrence of the sentence in the page text.
+    ``located`` holds (id, index, sentence, page_num).  Occurrences are found
+    from left to right and do not overlap; they are numbered from 0.
     """
     pt = pages.withColumnRenamed("text", "page_text")
     span = (located.join(pt, [id_col, "page_num"])
-            .withColumn("s_start", F.instr("page_text", F.col("sentence")) - 1)
-            .withColumn("s_end", F.col("s_start") + F.length("sentence"))
-            .select(id_col, index_col, "page_num", "s_start", "s_end"))
+            .select(id_col, index_col, "page_num", F.length("sentence").alias("s_len"),
+                    F.posexplode(occurrences("page_text", "sentence")).alias("occurrence", "s_start"))
+            .withColumn("s_end", F.col("s_start") + F.col("s_len"))
+            .select(id_col, index_col, "page_num", "occurrence", "s_start", "s_end"))
     ln = lines.select(id_col, "page_num", "line_no", "line_start", "line_end", "y0", "y1")
     j = span.join(ln, [id_col, "page_num"]).where(
         (F.col("s_start") < F.col("line_end")) & (F.col("s_end") > F.col("line_start")))
     return j.select(
-        id_col, index_col, "page_num", "line_no",
+        id_col, index_col, "page_num", "occurrence", "line_no",
         (F.lit(X0) + F.lit(CHAR_W) * (F.greatest("s_start", "line_start") - F.col("line_start"))).alias("x0"),
         "y0",
         (F.lit(X0) + F.lit(CHAR_W) * (F.least("s_end", "line_end") - F.col("line_start"))).alias("x1"),

@@ -14,6 +14,7 @@ from simcheck.plans import q_pairs as QP
 from simcheck.plans import sql as Q
 from simcheck.plans import index as IX
 from simcheck.plans.catalog import register
+from simcheck.session import materialize
 from simcheck.sources.tables import load
 
 LPP = PG.LINES_PER_PAGE
@@ -33,18 +34,23 @@ def _pl_sql(table: str, id_col: str, name: str) -> str:
         f"FROM {name} GROUP BY {id_col}, page_num)")
 
 
+def _spans_sql(located: str, pt: str, id_col: str) -> str:
+    """SQL: every row of ``located`` with (occurrence, s_start, s_end) on its page."""
+    return (f"SELECT * EXCLUDE (starts), unnest(starts) AS s_start, unnest(starts) + length(sentence) AS s_end, "
+            f"unnest(range(len(starts)))::INTEGER AS occurrence FROM (SELECT l.*, list_transform(range(len(parts) - 1), "
+            f"lambda k: (list_sum(list_transform(parts[1:k + 1], lambda x: length(x))) + k * length(l.sentence))::INTEGER) "
+            f"AS starts FROM (SELECT l0.*, string_split(p.text, l0.sentence) AS parts FROM {located} l0 JOIN {pt} p "
+            f"ON p.{id_col} = l0.{id_col} AND p.page_num = l0.page_num) l)")
+
+
 def _rects_sql(located: str, pt: str, pl: str, id_col: str, idx: str) -> str:
     """SQL for L1 over a located relation with (id, idx, sentence, page_num)."""
     return (
-        f"SELECT l.{id_col}, l.{idx}, l.page_num, ln.line_no, "
+        f"SELECT sp.{id_col}, sp.{idx}, sp.page_num, sp.occurrence, ln.line_no, "
         f"{PG.X0} + {PG.CHAR_W} * (greatest(sp.s_start, ln.line_start) - ln.line_start) AS x0, ln.y0, "
         f"{PG.X0} + {PG.CHAR_W} * (least(sp.s_end, ln.line_end) - ln.line_start) AS x1, ln.y1 "
-        f"FROM {located} l JOIN (SELECT l2.{id_col}, l2.{idx}, l2.page_num, "
-        f"(instr(p.text, l2.sentence) - 1)::INTEGER AS s_start, "
-        f"(instr(p.text, l2.sentence) - 1 + length(l2.sentence))::INTEGER AS s_end "
-        f"FROM {located} l2 JOIN {pt} p ON p.{id_col} = l2.{id_col} AND p.page_num = l2.page_num) sp "
-        f"ON sp.{id_col} = l.{id_col} AND sp.{idx} = l.{idx} AND sp.page_num = l.page_num "
-        f"JOIN {pl} ln ON ln.{id_col} = l.{id_col} AND ln.page_num = l.page_num "
+        f"FROM ({_spans_sql(located, pt, id_col)}) sp "
+        f"JOIN {pl} ln ON ln.{id_col} = sp.{id_col} AND ln.page_num = sp.page_num "
         f"AND sp.s_start < ln.line_end AND sp.s_end > ln.line_start")
 
 
@@ -124,11 +130,10 @@ _ITEM_PAGES = _pl_sql("benchmark", "item_id", "bl")
     "loc AS (SELECT m.item_id, m.doc_id, m.sentence, min(p.page_num) AS page_num FROM ms m "
     "JOIN bl_pt p ON p.item_id = m.item_id WHERE contains(p.text, m.sentence) "
     "GROUP BY m.item_id, m.doc_id, m.sentence), "
-    "sp AS (SELECT l.*, (instr(p.text, l.sentence) - 1) AS s0, (instr(p.text, l.sentence) - 1 + length(l.sentence)) AS s1 "
-    "FROM loc l JOIN bl_pt p ON p.item_id = l.item_id AND p.page_num = l.page_num) "
+    f"sp AS ({_spans_sql('loc', 'bl_pt', 'item_id')}) "
     "SELECT sp.item_id, sp.doc_id, sp.page_num, sp.sentence, count(DISTINCT ln.y0) AS n_boxes FROM sp "
-    "JOIN bl ln ON ln.item_id = sp.item_id AND ln.page_num = sp.page_num AND sp.s0 < ln.line_end "
-    "AND sp.s1 > ln.line_start GROUP BY sp.item_id, sp.doc_id, sp.page_num, sp.sentence"))
+    "JOIN bl ln ON ln.item_id = sp.item_id AND ln.page_num = sp.page_num AND sp.s_start < ln.line_end "
+    "AND sp.s_end > ln.line_start GROUP BY sp.item_id, sp.doc_id, sp.page_num, sp.sentence"))
 def page_report(spark, sf_dir):
     """A16/L2 flat form: per (submission, top document, page) each matched sentence
     once, with the number of merged boxes (G1) it covers."""
@@ -165,25 +170,40 @@ def report_boxes(spark, sf_dir, hits=None):
     "ON b.item_id = t.item_id AND b.doc_id = t.doc_id JOIN qs q ON q.item_id = b.item_id "
     "AND q.q_index = b.q_index WHERE t.rank <= 5), "
     "onp AS (SELECT m.item_id, p.page_num, m.sentence, m.doc_id, m.rank FROM ms m JOIN bl_pt p "
-    "ON p.item_id = m.item_id WHERE contains(p.text, m.sentence)) "
-    "SELECT item_id, page_num, sentence, doc_id, (rank - 1)::INTEGER AS color FROM ("
+    "ON p.item_id = m.item_id WHERE contains(p.text, m.sentence)), "
+    "own AS (SELECT item_id, page_num, sentence, sentence AS sk, doc_id, (rank - 1)::INTEGER AS color FROM ("
     "SELECT *, row_number() OVER (PARTITION BY item_id, page_num, sentence ORDER BY rank) AS rn FROM onp) "
-    "WHERE rn = 1"))
+    f"WHERE rn = 1), rects AS ({_rects_sql('own', 'bl_pt', 'bl', 'item_id', 'sk')}), "
+    "fl AS (SELECT *, CASE WHEN lag(y1) OVER w IS NULL THEN 1 "
+    f"WHEN abs(y1 - lag(y1) OVER w) < {P.RECT_Y1_GAP} THEN 0 ELSE 1 END AS nw FROM rects "
+    "WINDOW w AS (PARTITION BY item_id, sk, page_num ORDER BY y1, x0)), "
+    "isl AS (SELECT *, (sum(nw) OVER (PARTITION BY item_id, sk, page_num ORDER BY y1, x0 "
+    "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1)::INTEGER AS box_no FROM fl), "
+    "box AS (SELECT item_id, page_num, sk, box_no, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 "
+    "FROM isl GROUP BY item_id, page_num, sk, box_no) "
+    "SELECT o.item_id, o.page_num, o.sentence, o.doc_id, o.color, b.box_no, b.x0, b.y0, b.x1, b.y1 FROM own o "
+    "JOIN box b ON b.item_id = o.item_id AND b.page_num = o.page_num AND b.sk = o.sk"))
 def highlight_assign(spark, sf_dir):
     """On every page, each matched sentence is coloured by the first
-    top document (in rank order) that owns it; colour = rank - 1."""
+    top document (in rank order) that owns it; colour = rank - 1.  Its boxes
+    are the line boxes of all its occurrences there, merged as in G2."""
     inp = C.Inputs.read(spark, sf_dir)
-    top = QP._top5_percent(spark, sf_dir).select("item_id", "doc_id", "rank")
-    best = QP.doc_best(spark, sf_dir).select("item_id", "q_index", "doc_id")
+    best = QP.doc_best(spark, sf_dir)
+    top = QP._top5_percent(spark, sf_dir, best).select("item_id", "doc_id", "rank")
     qs = S.query_sentences(inp.benchmark)
     ms = (top.join(best, ["item_id", "doc_id"]).join(qs, ["item_id", "q_index"])
           .select("item_id", "doc_id", "rank", "sentence").distinct())
-    pt = PG.page_text(inp.benchmark.select("item_id", "text"), "item_id")
+    bench = inp.benchmark.select("item_id", "text")
+    pt = PG.page_text(bench, "item_id")
     onp = ms.join(pt.withColumnRenamed("text", "page_text"), "item_id") \
         .where(F.col("page_text").contains(F.col("sentence")))
     w = Window.partitionBy("item_id", "page_num", "sentence").orderBy("rank")
-    return (onp.withColumn("rn", F.row_number().over(w)).where("rn = 1")
-            .select("item_id", "page_num", "sentence", "doc_id", (F.col("rank") - 1).alias("color")))
+    own = materialize(onp.withColumn("rn", F.row_number().over(w)).where("rn = 1")
+                      .select("item_id", "page_num", "sentence", F.col("sentence").alias("sk"), "doc_id",
+                              (F.col("rank") - 1).alias("color")))
+    rects = PG.sentence_rects(own, pt, PG.page_lines(bench, "item_id"), "item_id", "sk")
+    boxes = PG.merge_islands(rects, ["item_id", "sk", "page_num"]).withColumnRenamed("island", "box_no")
+    return own.join(boxes, ["item_id", "page_num", "sk"]).drop("sk")
 
 
 # ------------------------------------------------------------- assembly

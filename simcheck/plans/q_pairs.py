@@ -100,8 +100,9 @@ _PAPER = (
     "GROUP BY b.item_id, b.doc_id, qt.n_sentences) ")
 
 
-def _doc_vs_corpus(spark, sf_dir):
-    best = doc_best(spark, sf_dir)
+def _doc_vs_corpus(spark, sf_dir, best=None):
+    """Percent per (submission, document); ``best`` passes on matches that were already found."""
+    best = doc_best(spark, sf_dir) if best is None else best
     qt = C.query_totals(load(spark, sf_dir, "benchmark"))
     return (best.groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("matches"))
             .join(qt, "item_id")
@@ -128,8 +129,8 @@ _ROUNDED = (
     "FROM qt LEFT JOIN md ON md.item_id = qt.item_id) ")
 
 
-def _total_rounded(spark, sf_dir):
-    best = doc_best(spark, sf_dir)
+def _total_rounded(spark, sf_dir, best=None):
+    best = doc_best(spark, sf_dir) if best is None else best
     bench = load(spark, sf_dir, "benchmark")
     qs = S.query_sentences(bench)
     md = (best.select("item_id", "q_index").join(qs, ["item_id", "q_index"])
@@ -150,9 +151,9 @@ _TOP5P = ("top AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY pc
           "AS rank FROM dvc) ")
 
 
-def _top5_percent(spark, sf_dir):
+def _top5_percent(spark, sf_dir, best=None):
     w = Window.partitionBy("item_id").orderBy(F.col("pct").desc(), F.col("doc_id").desc())
-    return (_doc_vs_corpus(spark, sf_dir).withColumn("rank", F.row_number().over(w))
+    return (_doc_vs_corpus(spark, sf_dir, best).withColumn("rank", F.row_number().over(w))
             .where(F.col("rank") <= P.TOP_DOCUMENTS))
 
 
@@ -168,8 +169,8 @@ def top5_percent(spark, sf_dir):
     "JOIN qs ON qs.item_id = b.item_id AND qs.q_index = b.q_index WHERE t.rank <= 5"))
 def top_docs_sentences(spark, sf_dir):
     """The top-5 documents joined with their distinct matched sentences."""
-    top = _top5_percent(spark, sf_dir).select("item_id", "doc_id", "rank")
-    best = doc_best(spark, sf_dir).select("item_id", "q_index", "doc_id")
+    best = doc_best(spark, sf_dir)
+    top = _top5_percent(spark, sf_dir, best).select("item_id", "doc_id", "rank")
     qs = S.query_sentences(load(spark, sf_dir, "benchmark"))
     return (top.join(best, ["item_id", "doc_id"]).join(qs, ["item_id", "q_index"])
             .select("item_id", "doc_id", "rank", "sentence").distinct())

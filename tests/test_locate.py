@@ -39,3 +39,21 @@ def test_locate_first_page_only(spark):
     got = {r.i: r.page_num for r in PG.locate(sent, PG.page_text(df, "d"), "d", "i").collect()}
     # "alpha beta" is on both pages -> first; "x alpha" spans the page break -> not located
     assert got == {0: 0, 1: 0, 3: 1}
+
+
+def test_every_occurrence_gets_boxes(spark):
+    """A sentence that stands twice on a page, once over a line break, is boxed twice and merges on its line."""
+    s = "a (b) \\E c+ d."
+    text = f"{s} and {s}\nx y a (b)\n\\E c+ d. end"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    located = spark.createDataFrame([(1, 0, s, 0)], "doc_id long, sentence_index int, sentence string, page_num int")
+    pt, pl = PG.page_text(docs, "doc_id"), PG.page_lines(docs, "doc_id")
+    rects = PG.sentence_rects(located, pt, pl, "doc_id", "sentence_index")
+    n = len(s)
+    got = sorted((r.occurrence, r.line_no, r.x0, r.x1) for r in rects.collect())
+    x = lambda c: PG.X0 + PG.CHAR_W * c
+    assert got == [(0, 0, x(0), x(n)), (1, 0, x(n + 5), x(2 * n + 5)), (2, 1, x(4), x(9)), (2, 2, x(0), x(8))]
+    merged = PG.merge_rects(rects, ["doc_id", "sentence_index", "page_num"]).orderBy("box_no").collect()
+    assert [(m.x0, m.x1) for m in merged] == [(x(0), x(2 * n + 5)), (x(4), x(9)), (x(0), x(8))]
+    islands = PG.merge_islands(rects, ["doc_id", "sentence_index", "page_num"]).count()
+    assert islands == 3 < len(got)
