@@ -4,15 +4,16 @@ A cosine predicate has no equi-key, so Catalyst would plan it as a
 BroadcastNestedLoopJoin or a CartesianProduct.  These operators supply the
 physical strategy themselves:
 
-* **broadcast kernel** — the query side is collected only after its size is
+* **top-k kernel** — the query side is collected only after its size is
   checked against ``BROADCAST_GUARD_BYTES``; every corpus partition scores its
-  Arrow batches against that matrix with NumPy and emits only its own top-k
-  per query.  The final top-k is a ``row_number() <= k`` window, which Spark
-  pre-limits on the map side (WindowGroupLimit) before the shuffle.
-* **blocked kernel** — when both sides are large, rows get block ids; each
-  (query block, corpus block) pair meets in one ``cogroup`` group of bounded
-  size and is scored there.  Only candidates above the threshold / inside the
-  per-block top-k leave the task.
+  Arrow batches against that matrix with NumPy, keeps a running top-k and
+  emits it once, so at most k rows per query and partition are shuffled.  A
+  larger query side is cut into parts that each fit the guard, and the corpus
+  is scanned once per part; the corpus is never copied or shuffled.
+* **pair kernel** — identical vectors are one class; classes get block ids and
+  each pair of blocks meets in one ``cogroup`` group of bounded size.  Only
+  class pairs above the threshold leave the task, and they are expanded to
+  their members afterwards.
 
 Scores are cosines computed in float64 and rounded to 6 decimals before they
 are ranked or compared with a threshold, so ties (exact copies) are broken by
@@ -22,6 +23,7 @@ the keys, deterministically, in every engine.
 from __future__ import annotations
 
 import math
+from functools import reduce
 from typing import Iterator
 
 import numpy as np
@@ -31,6 +33,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from simcheck import params as P
+from simcheck.functions import vectors as V
+from simcheck.session import materialize
 
 SCORE_DECIMALS = 6
 # float32 screening margin before the exact float64 check in all-pairs kernels
@@ -55,10 +59,18 @@ def _cos(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _side_bytes(df: DataFrame, vec: str) -> tuple[int, int]:
-    stats = df.agg(F.count(F.lit(1)).alias("n"),
-                   F.coalesce(F.max(F.size(vec)), F.lit(1)).alias("d")).collect()[0]
-    n, d = int(stats["n"]), int(stats["d"])
-    return n, n * max(d, 1) * 4 + n * 64
+    """Rows, and bytes a side takes on the driver: pandas objects and a float64 matrix."""
+    stats = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size(vec)), F.lit(0)).alias("d")).first()
+    return int(stats["n"]), int(stats["d"]) * 16 + int(stats["n"]) * 256
+
+
+def _query_parts(q: DataFrame, keys: list[str], guard_bytes: int, parts: int | None = None):
+    """The query side as pandas frames that each fit the guard."""
+    if parts is None:
+        parts = max(1, math.ceil(_side_bytes(q, "__vec")[1] / max(1, guard_bytes)))
+    for i in range(parts):
+        part = q if parts == 1 else q.where(F.pmod(F.xxhash64(*keys), F.lit(parts)) == i)
+        yield part.toPandas().reset_index(drop=True)
 
 
 def _final_top_k(partial: DataFrame, q_keys: list[str], c_keys: list[str], k: int) -> DataFrame:
@@ -67,17 +79,10 @@ def _final_top_k(partial: DataFrame, q_keys: list[str], c_keys: list[str], k: in
             .where(F.col("rank") <= k))
 
 
-def _top_k_rows(qpdf: pd.DataFrame, cpdf: pd.DataFrame, q_keys, c_keys, k: int,
-                threshold, q_filter, c_filter, qmat: np.ndarray) -> pd.DataFrame:
-    """Top-k of every query against one corpus chunk (rows sorted by c_keys)."""
-    out = []
-    if len(cpdf) == 0 or len(qpdf) == 0:
-        return pd.DataFrame(columns=[*q_keys, *c_keys, "score"])
-    cmat = _matrix(cpdf["__vec"])
-    scores = _cos(qmat, cmat)
-    if q_filter is not None:
-        same = qpdf[q_filter].to_numpy()[:, None] == cpdf[c_filter].to_numpy()[None, :]
-        scores = np.where(same, scores, -np.inf)
+def _top_k_rows(qmat: np.ndarray, rows: np.ndarray, cpdf: pd.DataFrame, c_keys: list[str], k: int,
+                threshold: float | None) -> pd.DataFrame:
+    """Top-k of the queries ``rows`` against one corpus chunk (sorted by c_keys): (__q, c_keys, score)."""
+    scores = _cos(qmat[rows], _matrix(cpdf["__vec"]))
     if threshold is not None:
         scores = np.where(scores >= threshold, scores, -np.inf)
     kk = min(k, scores.shape[1])
@@ -85,98 +90,99 @@ def _top_k_rows(qpdf: pd.DataFrame, cpdf: pd.DataFrame, q_keys, c_keys, k: int,
     order = np.argsort(-scores, axis=1, kind="stable")[:, :kk]
     top = np.take_along_axis(scores, order, axis=1)
     qi, pos = np.nonzero(np.isfinite(top))
-    if len(qi) == 0:
-        return pd.DataFrame(columns=[*q_keys, *c_keys, "score"])
-    ci = order[qi, pos]
-    res = {}
-    for c in q_keys:
-        res[c] = qpdf[c].to_numpy()[qi]
-    for c in c_keys:
-        res[c] = cpdf[c].to_numpy()[ci]
-    res["score"] = top[qi, pos]
-    out.append(pd.DataFrame(res))
-    return pd.concat(out, ignore_index=True)
+    res = {"__q": rows[qi]}
+    res |= {c: cpdf[c].to_numpy()[order[qi, pos]] for c in c_keys}
+    return pd.DataFrame(res | {"score": top[qi, pos]})
+
+
+def _keep_top(found: pd.DataFrame, c_keys: list[str], k: int) -> pd.DataFrame:
+    ranked = found.sort_values(["__q", "score", *c_keys], ascending=[True, False, *[True] * len(c_keys)], kind="stable")
+    return ranked.groupby("__q", sort=False).head(k)
 
 
 def nearest(queries: DataFrame, corpus: DataFrame, q_keys: list[str], c_keys: list[str],
             k: int = 1, threshold: float | None = None, q_vec: str = "vec",
             c_vec: str = "vec", q_filter: str | None = None, c_filter: str | None = None,
-            strategy: str = "auto",
-            guard_bytes: int = P.BROADCAST_GUARD_BYTES) -> DataFrame:
+            guard_bytes: int = P.BROADCAST_GUARD_BYTES, parts: int | None = None) -> DataFrame:
     """Exact cosine top-k of every query row against the corpus.
 
     Returns ``q_keys + c_keys + [score, rank]``; rows below ``threshold`` are
     dropped before ranking.  ``q_filter``/``c_filter`` restrict each query to
-    corpus rows with an equal filter value (the pre-filter of J2).
-    Ties: score desc, then ``c_keys`` ascending.
+    corpus rows with an equal filter value (the pre-filter of J2): rows are
+    grouped by that value first and only equal groups are scored.
+    Ties: score desc, then ``c_keys`` ascending.  ``parts`` overrides the
+    number of query parts.
     """
     q = queries.select(*q_keys, *( [q_filter] if q_filter else []), F.col(q_vec).alias("__vec"))
     c = corpus.select(*c_keys, *([c_filter] if c_filter else []), F.col(c_vec).alias("__vec"))
     schema = T.StructType(
         [queries.schema[x] for x in q_keys] + [corpus.schema[x] for x in c_keys]
         + [T.StructField("score", T.DoubleType())])
+    found = [_scan_top_k(qpdf, c, q_keys, c_keys, k, threshold, q_filter, c_filter, schema)
+             for qpdf in _query_parts(q, q_keys, guard_bytes, parts)]
+    return _final_top_k(reduce(DataFrame.unionByName, found), q_keys, c_keys, k)
 
-    if strategy == "auto":
-        _, qbytes = _side_bytes(q, "__vec")
-        strategy = "broadcast" if qbytes <= guard_bytes else "blocked"
-
-    if strategy == "broadcast":
-        partial = _broadcast_top_k(q, c, q_keys, c_keys, k, threshold, q_filter, c_filter, schema)
-    else:
-        partial = _blocked_top_k(q, c, q_keys, c_keys, k, threshold, q_filter, c_filter, schema)
-    return _final_top_k(partial, q_keys, c_keys, k)
 
-
-def _broadcast_top_k(q, c, q_keys, c_keys, k, threshold, q_filter, c_filter, schema):
-    spark = q.sparkSession
-    qpdf = q.toPandas()          # size checked by the caller
-    qmat = _matrix(qpdf["__vec"])
-    bq = spark.sparkContext.broadcast((qpdf.drop(columns=["__vec"]), qmat))
-    c_sorted_keys = list(c_keys)
+def _scan_top_k(qpdf, c, q_keys, c_keys, k, threshold, q_filter, c_filter, schema):
+    """One scan of the corpus against a collected query part."""
+    bq = c.sparkSession.sparkContext.broadcast((qpdf.drop(columns=["__vec"]), _matrix(qpdf["__vec"])))
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qmeta, qm = bq.value
-        chunk = max(1, MAX_MATRIX_ENTRIES // max(1, len(qmeta)))
-        for pdf in batches:
-            pdf = pdf.sort_values(c_sorted_keys, kind="stable").reset_index(drop=True)
-            for s in range(0, len(pdf), chunk):
-                part = pdf.iloc[s:s + chunk]
-                res = _top_k_rows(qmeta, part, q_keys, c_keys, k, threshold, q_filter, c_filter, qm)
-                if len(res):
-                    yield res
+        qmeta, qmat = bq.value
+        everyone = np.arange(len(qmeta))
+        rows_of = {} if q_filter is None else {v: np.asarray(r) for v, r in qmeta.groupby(q_filter).indices.items()}
+        best = None
+        for pdf in batches if len(qmeta) else ():
+            groups = [(everyone, pdf)] if q_filter is None else [
+                (rows_of[v], g) for v, g in pdf.groupby(c_filter) if v in rows_of]
+            for rows, group in groups:
+                group = group.sort_values(list(c_keys), kind="stable")
+                chunk = max(1, MAX_MATRIX_ENTRIES // len(rows))
+                for s in range(0, len(group), chunk):
+                    res = _top_k_rows(qmat, rows, group.iloc[s:s + chunk], c_keys, k, threshold)
+                    if len(res):
+                        best = _keep_top(res if best is None else pd.concat([best, res], ignore_index=True), c_keys, k)
+        if best is not None:
+            at = best.pop("__q").to_numpy()
+            for key in q_keys:
+                best[key] = qmeta[key].to_numpy()[at]
+            yield best[schema.fieldNames()]
 
     return c.mapInPandas(kernel, schema)
 
 
-def _blocked_top_k(q, c, q_keys, c_keys, k, threshold, q_filter, c_filter, schema):
-    _, qbytes = _side_bytes(q, "__vec")
-    _, cbytes = _side_bytes(c, "__vec")
-    nqb = max(1, math.ceil(qbytes / P.BLOCK_TARGET_BYTES))
-    ncb = max(1, math.ceil(cbytes / P.BLOCK_TARGET_BYTES))
-    qr = (q.withColumn("__qb", F.pmod(F.xxhash64(*q_keys), F.lit(nqb)))
-          .withColumn("__cb", F.explode(F.sequence(F.lit(0), F.lit(ncb - 1)))))
-    cr = (c.withColumn("__cb", F.pmod(F.xxhash64(*c_keys), F.lit(ncb)))
-          .withColumn("__qb", F.explode(F.sequence(F.lit(0), F.lit(nqb - 1)))))
-
-    def kernel(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
-        if len(qpdf) == 0 or len(cpdf) == 0:
-            return pd.DataFrame(columns=schema.fieldNames())
-        cpdf = cpdf.sort_values(list(c_keys), kind="stable").reset_index(drop=True)
-        qpdf = qpdf.reset_index(drop=True)
-        qm = _matrix(qpdf["__vec"])
-        outs = []
-        chunk = max(1, MAX_MATRIX_ENTRIES // max(1, len(qpdf)))
-        for s in range(0, len(cpdf), chunk):
-            res = _top_k_rows(qpdf, cpdf.iloc[s:s + chunk], q_keys, c_keys, k,
-                              threshold, q_filter, c_filter, qm)
-            if len(res):
-                outs.append(res)
-        if not outs:
-            return pd.DataFrame(columns=schema.fieldNames())
-        return pd.concat(outs, ignore_index=True)[schema.fieldNames()]
+def vector_classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Classes (cd, ci, vec) of identical vectors, named by the first (doc, idx), and
+    members (cd, ci, doc, idx), both written once."""
+    s = materialize(vectors)
+    classes = materialize(s.groupBy("vec").agg(F.min(F.struct("doc", "idx")).alias("c"))
+                          .select(F.col("c.doc").alias("cd"), F.col("c.idx").alias("ci"), "vec"))
+    return classes, materialize(s.join(classes, "vec").select("cd", "ci", "doc", "idx"))
+
+
+def side(df: DataFrame, tag: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Columns renamed for one side of a self-join."""
+    return df.select(*[F.col(c).alias(c if c in keep else f"{c}_{tag}") for c in df.columns])
 
-    return (qr.groupBy("__qb", "__cb").cogroup(cr.groupBy("__qb", "__cb"))
-            .applyInPandas(kernel, schema))
+
+def expand_classes(linked: DataFrame, classes: DataFrame, members: DataFrame, keep) -> DataFrame:
+    """Pairs of rows of different documents from linked class pairs.
+
+    ``linked``: (cd_a, ci_a, cd_b, ci_b, score), each pair of classes once.
+    Every class is linked with itself; ``keep`` is the condition on the score.
+    """
+    keys = ["cd_a", "ci_a", "cd_b", "ci_b"]
+    own = classes.select(F.col("cd").alias("cd_a"), F.col("ci").alias("ci_a"), F.col("cd").alias("cd_b"),
+                         F.col("ci").alias("ci_b"), F.round(V.cosine("vec", "vec"), SCORE_DECIMALS).alias("score"))
+    pairs = (linked.select(*keys, "score").unionByName(own).where(keep(F.col("score")))
+             .join(side(members, "a"), keys[:2]).join(side(members, "b"), keys[2:]))
+    same = (F.col("cd_a") == F.col("cd_b")) & (F.col("ci_a") == F.col("ci_b"))
+    # within one class both orders come out of the join, across classes one does
+    pairs = pairs.where(F.when(same, F.col("doc_a") < F.col("doc_b")).otherwise(F.col("doc_a") != F.col("doc_b")))
+    swap = F.col("doc_a") > F.col("doc_b")
+    pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
+    return pairs.select(pick("doc_a", "doc_b").alias("doc_a"), pick("idx_a", "idx_b").alias("idx_a"),
+                        pick("doc_b", "doc_a").alias("doc_b"), pick("idx_b", "idx_a").alias("idx_b"), "score")
 
 
 def similar_pairs(sentences: DataFrame, doc_col: str, idx_col: str, threshold: float,
@@ -184,14 +190,16 @@ def similar_pairs(sentences: DataFrame, doc_col: str, idx_col: str, threshold: f
                   strict: bool = False) -> DataFrame:
     """All sentence pairs of *different* documents with cosine >= threshold.
 
-    Output ``doc_a, idx_a, doc_b, idx_b, score`` with ``doc_a < doc_b``.  The
-    self-join is blocked: block b is paired with every block j >= b inside one
-    cogroup group, so each unordered pair is scored exactly once and no task
-    holds more than two blocks.  A float32 matmul screens, float64 confirms.
+    Output ``doc_a, idx_a, doc_b, idx_b, score`` with ``doc_a < doc_b``.
+    Identical vectors are scored once, as a class.  The self-join of classes
+    is blocked: block b is paired with every block j >= b inside one cogroup
+    group, so each unordered pair is scored exactly once and no task holds
+    more than two blocks.  A float32 matmul screens, float64 confirms.
     ``strict`` keeps ``score > threshold`` instead of ``>=``.
     """
-    s = sentences.select(F.col(doc_col).alias("doc"), F.col(idx_col).alias("idx"),
-                         F.col(vec).alias("__vec"))
+    classes, members = vector_classes(sentences.select(F.col(doc_col).alias("doc"), F.col(idx_col).alias("idx"),
+                                                       F.col(vec).alias("vec")))
+    s = classes.select(F.col("cd").alias("doc"), F.col("ci").alias("idx"), F.col("vec").alias("__vec"))
     if blocks is None:
         _, nbytes = _side_bytes(s, "__vec")
         blocks = max(4, math.ceil(nbytes / P.BLOCK_TARGET_BYTES))
@@ -205,10 +213,10 @@ def similar_pairs(sentences: DataFrame, doc_col: str, idx_col: str, threshold: f
                      F.col("doc").alias("rdoc"), F.col("idx").alias("ridx"),
                      F.col("__vec").alias("__rvec")))
     schema = T.StructType([
-        T.StructField("doc_a", sentences.schema[doc_col].dataType),
-        T.StructField("idx_a", sentences.schema[idx_col].dataType),
-        T.StructField("doc_b", sentences.schema[doc_col].dataType),
-        T.StructField("idx_b", sentences.schema[idx_col].dataType),
+        T.StructField("cd_a", sentences.schema[doc_col].dataType),
+        T.StructField("ci_a", sentences.schema[idx_col].dataType),
+        T.StructField("cd_b", sentences.schema[doc_col].dataType),
+        T.StructField("ci_b", sentences.schema[idx_col].dataType),
         T.StructField("score", T.DoubleType()),
     ])
     cols = schema.fieldNames()
@@ -249,40 +257,30 @@ def similar_pairs(sentences: DataFrame, doc_col: str, idx_col: str, threshold: f
             a_rel, b = np.nonzero(sc[rows] >= threshold - SCREEN_MARGIN)
             a = rows[a_rel] + s0
             b = b + col0
-            keep = ld[a] != rd[b]
-            a, b = a[keep], b[keep]
-            if len(a) == 0:
-                continue
             exact = np.round(np.einsum("ij,ij->i", L[a], R[b])
                              / (np.linalg.norm(L[a], axis=1) * np.linalg.norm(R[b], axis=1)),
                              SCORE_DECIMALS)
             ok = exact > threshold if strict else exact >= threshold
             a, b, exact = a[ok], b[ok], exact[ok]
-            swap = ld[a] > rd[b]
-            outs.append(pd.DataFrame({
-                "doc_a": np.where(swap, rd[b], ld[a]),
-                "idx_a": np.where(swap, ri[b], li[a]),
-                "doc_b": np.where(swap, ld[a], rd[b]),
-                "idx_b": np.where(swap, li[a], ri[b]),
-                "score": exact,
-            }))
+            outs.append(pd.DataFrame({"cd_a": ld[a], "ci_a": li[a], "cd_b": rd[b], "ci_b": ri[b], "score": exact}))
         if not outs:
             return pd.DataFrame(columns=cols)
         return pd.concat(outs, ignore_index=True)
 
-    return (left.groupBy("__pi", "__pj").cogroup(right.groupBy("__ri", "__rj"))
-            .applyInPandas(kernel, schema))
+    linked = materialize(left.groupBy("__pi", "__pj").cogroup(right.groupBy("__ri", "__rj"))
+                         .applyInPandas(kernel, schema))
+    return expand_classes(linked, classes, members, lambda c: c > threshold if strict else c >= threshold)
 
 
 def best_per_group(queries: DataFrame, corpus: DataFrame, q_keys: list[str], group_col: str,
                    order_col: str, threshold: float, vec: str = "vec",
-                   guard_bytes: int = P.BROADCAST_GUARD_BYTES) -> DataFrame:
+                   guard_bytes: int = P.BROADCAST_GUARD_BYTES, parts: int | None = None) -> DataFrame:
     """Per (query row, corpus group): best score >= threshold and its first arg-max.
 
     J10/A11: the column max over one document's sentences and the lowest
-    ``order_col`` reaching it.  Broadcast kernel when the query side fits the
-    guard, blocked cogroup otherwise; each batch/group reduces its own
-    candidates, then a group-by with a partial ``max(struct)`` merges them.
+    ``order_col`` reaching it.  The corpus is scanned once per query part that
+    fits the guard; each batch reduces its own candidates, then a group-by
+    with a partial ``max(struct)`` merges them.
     Returns ``q_keys + [group_col, score, arg]``.
     """
     q = queries.select(*q_keys, F.col(vec).alias("__vec"))
@@ -305,54 +303,25 @@ def best_per_group(queries: DataFrame, corpus: DataFrame, q_keys: list[str], gro
         df = pd.DataFrame(res).sort_values(["score", "arg"], ascending=[False, True], kind="stable")
         return df.drop_duplicates([*q_keys, group_col])[cols]
 
-    _, qbytes = _side_bytes(q, "__vec")
-    if qbytes > guard_bytes:
-        partial = _blocked_groups(q, c, q_keys, group_col, order_col, schema, reduce_chunk)
-    else:
-        partial = _broadcast_groups(q, c, q_keys, schema, reduce_chunk)
+    found = [_scan_groups(qpdf, c, schema, reduce_chunk) for qpdf in _query_parts(q, q_keys, guard_bytes, parts)]
+    partial = reduce(DataFrame.unionByName, found)
     best = F.max(F.struct(F.col("score"), (-F.col("arg")).alias("neg"))).alias("b")
     return (partial.groupBy(*q_keys, group_col).agg(best)
             .select(*q_keys, group_col, F.col("b.score").alias("score"),
                     (-F.col("b.neg")).cast(corpus.schema[order_col].dataType).alias("arg")))
 
 
-def _broadcast_groups(q, c, q_keys, schema, reduce_chunk):
-    spark = q.sparkSession
-    qpdf = q.toPandas()          # size checked by the caller
-    qm = _matrix(qpdf["__vec"])
-    bq = spark.sparkContext.broadcast((qpdf.drop(columns=["__vec"]), qm))
+def _scan_groups(qpdf, c, schema, reduce_chunk):
+    """One scan of the corpus against a collected query part."""
+    bq = c.sparkSession.sparkContext.broadcast((qpdf.drop(columns=["__vec"]), _matrix(qpdf["__vec"])))
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         qmeta, qmat = bq.value
         chunk = max(1, MAX_MATRIX_ENTRIES // max(1, len(qmeta)))
-        for pdf in batches:
+        for pdf in batches if len(qmeta) else ():
             for s0 in range(0, len(pdf), chunk):
                 out = reduce_chunk(qmeta, qmat, pdf.iloc[s0:s0 + chunk])
                 if out is not None:
                     yield out
 
     return c.mapInPandas(kernel, schema)
-
-
-def _blocked_groups(q, c, q_keys, group_col, order_col, schema, reduce_chunk):
-    """Both sides large: (query block, corpus block) pairs meet in one cogroup group."""
-    _, qbytes = _side_bytes(q, "__vec")
-    _, cbytes = _side_bytes(c, "__vec")
-    nqb = max(1, math.ceil(qbytes / P.BLOCK_TARGET_BYTES))
-    ncb = max(1, math.ceil(cbytes / P.BLOCK_TARGET_BYTES))
-    qr = (q.withColumn("__qb", F.pmod(F.xxhash64(*q_keys), F.lit(nqb)))
-          .withColumn("__cb", F.explode(F.sequence(F.lit(0), F.lit(ncb - 1)))))
-    cr = (c.withColumn("__cb", F.pmod(F.xxhash64(group_col, order_col), F.lit(ncb)))
-          .withColumn("__qb", F.explode(F.sequence(F.lit(0), F.lit(nqb - 1)))))
-
-    def kernel(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
-        if len(qpdf) == 0 or len(cpdf) == 0:
-            return pd.DataFrame(columns=schema.fieldNames())
-        qpdf = qpdf.reset_index(drop=True)
-        qm = _matrix(qpdf["__vec"])
-        chunk = max(1, MAX_MATRIX_ENTRIES // max(1, len(qpdf)))
-        outs = [reduce_chunk(qpdf, qm, cpdf.iloc[s0:s0 + chunk]) for s0 in range(0, len(cpdf), chunk)]
-        outs = [o for o in outs if o is not None]
-        return pd.concat(outs, ignore_index=True) if outs else pd.DataFrame(columns=schema.fieldNames())
-
-    return qr.groupBy("__qb", "__cb").cogroup(cr.groupBy("__qb", "__cb")).applyInPandas(kernel, schema)

@@ -42,12 +42,12 @@ def _brute_topk(q, c, k):
     return out
 
 
-@pytest.mark.parametrize("strategy", ["broadcast", "blocked"])
-def test_nearest_equals_brute_force(spark, data, strategy):
+@pytest.mark.parametrize("parts", [1, 3])
+def test_nearest_equals_brute_force(spark, data, parts):
     q, c = data
     qdf = _frame(spark, q, "q")
     cdf = _frame(spark, c, "c")
-    got = nearest(qdf, cdf, ["q_idx"], ["c_doc", "c_idx"], k=3, strategy=strategy).collect()
+    got = nearest(qdf, cdf, ["q_idx"], ["c_doc", "c_idx"], k=3, parts=parts).collect()
     want = _brute_topk(q, c, 3)
     by_q = {}
     for r in got:
@@ -89,7 +89,19 @@ def test_similar_pairs_equals_dense_matrix(spark, data):
     assert got == want and len(want) > 0
 
 
-@pytest.mark.parametrize("guard", [64 << 20, 0])
+def test_top_k_emits_k_rows_per_query_and_partition(spark, data, monkeypatch):
+    """Whatever the number of batches and chunks, a partition yields its running top-k once."""
+    from simcheck.operators import similarity as M
+    seen = []
+    monkeypatch.setattr(M, "_final_top_k", lambda partial, *a: seen.append(partial) or partial)
+    monkeypatch.setattr(M, "MAX_MATRIX_ENTRIES", 20)
+    q, c = data
+    nearest(_frame(spark, q, "q"), _frame(spark, c, "c").repartition(3), ["q_idx"], ["c_idx"], k=2)
+    rows = seen[0].withColumn("p", F.spark_partition_id()).groupBy("p", "q_idx").count().collect()
+    assert rows and max(r["count"] for r in rows) <= 2
+
+
+@pytest.mark.parametrize("guard", [64 << 20, 2000])
 def test_best_per_group_first_argmax(spark, data, guard):
     q, c = data
     qdf = _frame(spark, q, "q")
