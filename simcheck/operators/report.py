@@ -15,10 +15,14 @@ from simcheck import params as P
 
 def nest_pages(rows: DataFrame, key: str, doc_col: str | None, page_col: str,
                item_fields: list[str], page_name: str, items_name: str) -> DataFrame:
-    """Group (key[, doc], page, item...) rows into key[, doc] -> pages[] -> items[]."""
+    """Group (key[, doc], page, item...) rows into key[, doc] -> pages[] -> items[].
+
+    Items of a page stand in the order of ``q_index``, that of the first match.
+    """
     keys = [key] + ([doc_col] if doc_col else [])
+    ordered = F.sort_array(F.collect_list(F.struct("q_index", F.struct(*item_fields).alias("item"))))
     pages = (rows.groupBy(*keys, page_col)
-             .agg(F.collect_list(F.struct(*item_fields)).alias(items_name)))
+             .agg(F.transform(ordered, lambda x: x["item"]).alias(items_name)))
     return (pages.groupBy(*keys)
             .agg(F.sort_array(F.collect_list(F.struct(F.col(page_col).alias(page_name), items_name)))
                  .alias("page_result")))
@@ -28,15 +32,15 @@ def check_report(boxes: DataFrame, docs: DataFrame, totals: DataFrame, created_a
                  duration: float | None = None) -> DataFrame:
     """K4: one JSON report per file_check_id.
 
-    ``boxes``: (item_id, doc_id, page_num, sentence, box_no, x0, y0, x1, y1)
+    ``boxes``: (item_id, doc_id, page_num, sentence, q_index, box_no, x0, y0, x1, y1)
     ``docs``: (item_id, doc_id, rank, similarity_value)
     ``totals``: (item_id, total_percent)
     """
     b = boxes.repartition("item_id")
-    content = (b.groupBy("item_id", "doc_id", "page_num", "sentence")
+    content = (b.groupBy("item_id", "doc_id", "page_num", "sentence", "q_index")
                .agg(F.sort_array(F.collect_list(F.struct("box_no", F.array("x0", "y0", "x1", "y1").alias("r"))))
                     .alias("bx"))
-               .select("item_id", "doc_id", "page_num", F.col("sentence").alias("content"),
+               .select("item_id", "doc_id", "page_num", "q_index", F.col("sentence").alias("content"),
                        F.transform("bx", lambda x: x["r"]).alias("rects")))
     pages = nest_pages(content, "item_id", "doc_id", "page_num", ["content", "rects"],
                        "pageNumber", "similarity_content")
@@ -62,7 +66,11 @@ def check_report(boxes: DataFrame, docs: DataFrame, totals: DataFrame, created_a
     return rep.select("file_check_id", F.to_json("report").alias("report_json"))
 
 
-def write_reports(reports: DataFrame, path: str) -> None:
-    """K4 sink: one folder per file_check_id (a rerun overwrites, so it is idempotent)."""
-    (reports.select("file_check_id", F.col("report_json").alias("value"))
-     .write.mode("overwrite").partitionBy("file_check_id").text(path))
+def write_reports(reports: DataFrame, path: str, run_id: str) -> None:
+    """K4 sink: the reports of one run as JSON lines under ``run=<run_id>``.
+
+    Only that partition is overwritten, so writing a run again is idempotent
+    and the reports of other runs stay; a run is one folder, not one per check.
+    """
+    (reports.select(F.lit(run_id).alias("run"), F.col("report_json").alias("value"))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").text(path))

@@ -46,7 +46,7 @@ def correct(sentences: DataFrame, keys: list[str], table: DataFrame,
     """Corrected text aligned with each sentence: keys + (sentence, suggestion, n_fixes)."""
     toks = sentences.select(*keys, sentence_col,
                             F.posexplode(F.split(sentence_col, " ")).alias("pos", "tok"))
-    t = broadcast_if_small(table, row_bytes=64)
+    t = broadcast_if_small(table)
     j = toks.join(t, F.lower(toks["tok"]) == t["wrong"], "left")
     fixed = F.coalesce(F.col("right"), F.col("tok"))
     g = j.groupBy(*keys, sentence_col).agg(

@@ -144,24 +144,25 @@ def page_report(spark, sf_dir):
 
 def report_boxes(spark, sf_dir, hits=None):
     """Merged boxes of the matched sentences of every submission's top-5 documents:
-    (item_id, doc_id, page_num, sentence, box_no, x0, y0, x1, y1)."""
+    (item_id, doc_id, page_num, sentence, q_index, box_no, x0, y0, x1, y1)."""
     inp = C.Inputs.read(spark, sf_dir)
     h = C.hits(spark, sf_dir) if hits is None else hits
     qs = S.query_sentences(inp.benchmark)
     top = C.top_documents(h).select("item_id", "doc_id")
     ms = (h.join(top, ["item_id", "doc_id"]).join(qs, ["item_id", "q_index"])
-          .select("item_id", "doc_id", "sentence").distinct())
+          .groupBy("item_id", "doc_id", "sentence").agg(F.min("q_index").alias("q_index")))
     bench = inp.benchmark.select("item_id", "text")
     pt = PG.page_text(bench, "item_id")
     pl = PG.page_lines(bench, "item_id")
     # the sentence key carries doc_id, so one sentence is located once per document
-    ms_k = ms.withColumn("sk", F.struct("doc_id", "sentence"))
+    ms_k = ms.withColumn("sk", F.struct("doc_id", "sentence", "q_index"))
     loc = PG.locate(ms_k, pt, "item_id", "sk")
     loc = loc.select("item_id", "page_num", "sk", F.col("sk.sentence").alias("sentence"))
     rects = PG.sentence_rects(loc, pt, pl, "item_id", "sk")
     boxes = PG.merge_rects(rects, ["item_id", "sk", "page_num"])
     return boxes.select("item_id", F.col("sk.doc_id").alias("doc_id"), "page_num",
-                        F.col("sk.sentence").alias("sentence"), "box_no", "x0", "y0", "x1", "y1")
+                        F.col("sk.sentence").alias("sentence"), F.col("sk.q_index").alias("q_index"),
+                        "box_no", "x0", "y0", "x1", "y1")
 
 
 @register("highlight_assign", sql=(

@@ -98,7 +98,7 @@ def expand_archives(spark, sf_dir):
     return FS.expand_archives(arch).select(TX.basename("archive").alias("archive"), "member", "size")
 
 
-@register("load_sentence_list")
+@register("load_sentence_list", sql=f"WITH {_CS} SELECT sentence_index AS pos, sentence FROM cs")
 def load_sentence_list(spark, sf_dir):
     """Per-document sentence lists written as JSON arrays, read back as rows."""
     cs = _cs(spark, sf_dir)

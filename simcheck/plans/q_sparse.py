@@ -56,30 +56,16 @@ def token_min_count(spark, sf_dir):
     return SP.frequent_tokens(_tok(spark, sf_dir))
 
 
-def _bow_all(spark, sf_dir):
-    """In-row term counts of every corpus sentence, written once (one tokenising pass)."""
-    return materialize(SP.sentence_bow(_cs(spark, sf_dir), KEYS))
-
-
-def _bow(spark, sf_dir, bow_all=None):
-    """A13 + A14: the dictionary is every token seen more than once (sum of tf)."""
-    bow_all = _bow_all(spark, sf_dir) if bow_all is None else bow_all
-    vocab = (bow_all.groupBy("token").agg(F.sum("tf").alias("cnt"))
-             .where(F.col("cnt") > 1).select("token"))
-    return bow_all.join(broadcast_if_small(vocab, row_bytes=48), "token", "left_semi")
+def _idf(spark, sf_dir):
+    """Dictionary (every token seen more than once) with its idf, written once."""
+    cs = _cs(spark, sf_dir)
+    return materialize(SP.idf_table(SP.token_stats(cs), cs.count()))
 
 
 @register("bag_of_words", sql=f"WITH {_CS}, {_TOK}, {_VOCAB}, {_BOW} SELECT * FROM bow")
 def bag_of_words(spark, sf_dir):
     """(sentence, token, tf) over the filtered dictionary."""
-    return _bow(spark, sf_dir)
-
-
-def _tfidf(spark, sf_dir):
-    bow = _bow(spark, sf_dir)
-    n = _cs(spark, sf_dir).count()
-    idf = broadcast_if_small(SP.idf(bow, n), row_bytes=56)
-    return SP.tfidf(bow, KEYS, idf), idf
+    return SP.bag_of_words(_cs(spark, sf_dir), KEYS, _idf(spark, sf_dir).select("token"))
 
 
 @register("tfidf_weights", sql=(
@@ -87,7 +73,7 @@ def _tfidf(spark, sf_dir):
     "SELECT doc_id, sentence_index, token, round(weight, 6) AS weight FROM tfidf"))
 def tfidf_weights(spark, sf_dir):
     """Tf * log2(N/df), L2-normalised per sentence."""
-    w, _ = _tfidf(spark, sf_dir)
+    w = SP.weighted_tokens(_cs(spark, sf_dir), KEYS, _idf(spark, sf_dir))
     return w.withColumn("weight", F.round("weight", 6))
 
 
@@ -130,22 +116,48 @@ _QTOK = ("qs AS (" + Q.kept_sentences("benchmark", "item_id", "q_index") + "), "
     "rk AS (SELECT *, row_number() OVER (PARTITION BY item_id, q_index ORDER BY score DESC, doc_id, sentence_index) AS rn FROM sc) "
     f"SELECT item_id, q_index, doc_id, sentence_index, score FROM rk WHERE rn = 1 AND score >= {P.MATCH_THRESHOLD}"))
 def tfidf_top1(spark, sf_dir):
-    """TF-IDF cosine top-1 of every submitted sentence, kept when >= 0.9.
+    """TF-IDF cosine top-1 of every submitted sentence, kept when >= 0.9."""
+    return _tfidf_top1(spark, sf_dir)
 
-    Inverted-index join on ``token``: the (small, size-checked) query side is
-    broadcast, the corpus weights stream past it; a partial sum per
+
+def _tfidf_top1(spark, sf_dir):
+    """Inverted-index join on ``token``.
+
+    The submissions' tokens go first: only corpus sentences that hold one of
+    them are weighted, and only those tokens leave the row.  A partial sum per
     (query, corpus sentence) is followed by a top-1 window that Spark
     pre-limits before its shuffle.
     """
-    cw, idf = _tfidf(spark, sf_dir)
+    idf = _idf(spark, sf_dir)
     qs = S.query_sentences(load(spark, sf_dir, "benchmark"))
-    # unknown query tokens drop out at the idf join (idf covers the dictionary only)
-    qbow = SP.sentence_bow(qs, ["item_id", "q_index"])
-    qw = SP.tfidf(qbow, ["item_id", "q_index"], idf).withColumnRenamed("weight", "qw")
-    qw = broadcast_if_small(qw, row_bytes=64)
-    sc = (cw.join(qw, "token")
+    # unknown query tokens drop out (the dictionary does not grow)
+    qw = materialize(SP.weighted_tokens(qs, ["item_id", "q_index"], idf).withColumnRenamed("weight", "qw"))
+    cw = SP.weighted_tokens(_cs(spark, sf_dir), KEYS, idf, only=qw.select("token").distinct())
+    sc = (cw.join(broadcast_if_small(qw), "token")
           .groupBy("item_id", "q_index", "doc_id", "sentence_index")
           .agg(F.round(F.sum(F.col("qw") * F.col("weight")), 6).alias("score"))
           .where(F.col("score") >= P.MATCH_THRESHOLD))
     w = Window.partitionBy("item_id", "q_index").orderBy(F.col("score").desc(), "doc_id", "sentence_index")
-    return sc.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+    return materialize(sc.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn"))
+
+
+_QT = "qt AS (SELECT item_id, count(*) AS n FROM qs GROUP BY item_id)"
+
+
+@register("tfidf_percent", sql=(
+    f"WITH {_CS}, {_TOK}, {_VOCAB}, {_BOW}, {_TFIDF}, {_QTOK}, "
+    "sc AS (SELECT q.item_id, q.q_index, c.doc_id, c.sentence_index, round(sum(q.weight * c.weight), 6) AS score "
+    "FROM qw q JOIN tfidf c ON c.token = q.token GROUP BY q.item_id, q.q_index, c.doc_id, c.sentence_index), "
+    f"hit AS (SELECT DISTINCT item_id, q_index FROM sc WHERE score >= {P.MATCH_THRESHOLD}), {_QT}, "
+    "m AS (SELECT item_id, count(*) AS m FROM hit GROUP BY item_id) "
+    "SELECT qt.item_id, coalesce(m.m, 0) AS matches, qt.n AS n_sentences, "
+    "round_even(coalesce(m.m, 0) / qt.n, 2) * 100 AS percent FROM qt LEFT JOIN m ON m.item_id = qt.item_id"))
+def tfidf_percent(spark, sf_dir):
+    """round(matches / n, 2) * 100 per submission from the TF-IDF matches."""
+    qs = S.query_sentences(load(spark, sf_dir, "benchmark"))
+    m = _tfidf_top1(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("m"))
+    n = qs.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_sentences"))
+    matches = F.coalesce("m", F.lit(0))
+    return n.join(m, "item_id", "left").select(
+        "item_id", matches.alias("matches"), "n_sentences",
+        (F.bround(matches / F.col("n_sentences"), 2) * 100).alias("percent"))

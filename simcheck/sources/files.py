@@ -83,14 +83,24 @@ def write_zip_archives(df: DataFrame, key_col: str, name_col: str, text_col: str
 
 
 def load_sentence_list(spark: SparkSession, path: str) -> DataFrame:
-    """Files holding JSON arrays of strings -> (file, pos, sentence).
+    """Files holding JSON arrays of strings -> (file, list_no, pos, sentence, status).
 
-    The JSON reader cannot turn a top-level scalar array into rows, so each
-    line is parsed with ``from_json`` and exploded with its position.
+    A file is one array, however it is indented, or one array per line.  The
+    JSON reader cannot turn a top-level scalar array into rows, so texts are
+    parsed with ``from_json`` and exploded with their position.  What does not
+    parse becomes one row with status ``error``, never a lost file.
     """
-    raw = spark.read.text(path).select(F.input_file_name().alias("file"), "value")
-    arr = F.from_json("value", "array<string>")
-    return raw.select("file", F.posexplode(arr).alias("pos", "sentence"))
+    schema = "array<string>"
+    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    whole = F.from_json("value", schema)
+    lines = F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")
+    lists = F.when(whole.isNotNull() & (F.size(lines) == 1), F.array(whole)) \
+        .when(F.exists(lines, lambda x: F.from_json(x, schema).isNull()), F.array(whole)) \
+        .otherwise(F.transform(lines, lambda x: F.from_json(x, schema)))
+    found = raw.select("file", F.posexplode_outer(lists).alias("list_no", "items"))
+    status = F.when(F.col("items").isNull(), "error").otherwise("ok").alias("status")
+    return found.select("file", "list_no", F.posexplode_outer("items").alias("pos", "sentence"), status) \
+        .where((F.col("status") == "error") | F.col("pos").isNotNull())
 
 
 def read_requested_objects(spark: SparkSession, root: str, requests: DataFrame,

@@ -34,3 +34,18 @@ def test_bands(spark):
     df = spark.createDataFrame([(30.0,), (30.5,), (60.0,), (90.0,), (95.0,)], "p double")
     got = [r[0] for r in df.select(band_of(F.col("p"))).collect()]
     assert got == [30, 60, 60, 90, None]
+
+
+def test_weights_beyond_the_broadcast_guard(spark):
+    """The join form and the in-row form give the same weights."""
+    from simcheck.operators import sparse as SP
+    rows = [(1, 0, "a b b c"), (1, 1, "a a d"), (2, 0, "c d e"), (2, 1, "once only"), (3, 0, "a b c d")]
+    s = spark.createDataFrame(rows, "doc_id long, sentence_index int, sentence string")
+    idf = SP.idf_table(SP.token_stats(s), len(rows))
+    pick = spark.createDataFrame([("a",), ("d",), ("zz",)], "token string")
+    keys = ["doc_id", "sentence_index"]
+    for only in (None, pick):
+        got = [sorted((r.doc_id, r.sentence_index, r.token, round(r.weight, 9)) for r in SP.weighted_tokens(
+            s, keys, idf, only=only, guard_bytes=g).collect()) for g in (0, 1 << 20)]
+        assert got[0] == got[1] and got[0]
+    assert {r.token for r in idf.collect()} == {"a", "b", "c", "d"}

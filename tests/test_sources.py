@@ -38,6 +38,30 @@ def test_sentence_list_round_trip(spark):
     assert back == [(0, "a \"q\""), (0, "c"), (1, "b")]
 
 
+def test_sentence_lists_of_any_layout(spark):
+    """Indented arrays, one-line arrays and lists per line are read; what is no list is reported."""
+    d = tempfile.mkdtemp(prefix="simcheck-lists-")
+    for name, body in [("indented.json", '[\n    "a",\n    "b, c"\n]\n'), ("line.json", '["d"]\n'),
+                       ("lines.json", '["e","f"]\n["g"]\n'), ("bad.json", '{"x": 1}'), ("none.json", "[]")]:
+        with open(f"{d}/{name}", "w", encoding="utf-8") as f:
+            f.write(body)
+    rows = FS.load_sentence_list(spark, d).collect()
+    got = sorted((os.path.basename(r.file), r.list_no, r.pos, r.sentence) for r in rows if r.status == "ok")
+    assert got == [("indented.json", 0, 0, "a"), ("indented.json", 0, 1, "b, c"), ("line.json", 0, 0, "d"),
+                   ("lines.json", 0, 0, "e"), ("lines.json", 0, 1, "f"), ("lines.json", 1, 0, "g")]
+    assert [os.path.basename(r.file) for r in rows if r.status == "error"] == ["bad.json"]
+
+
+def test_reports_of_earlier_runs_stay(spark):
+    from simcheck.operators.report import write_reports
+    out = tempfile.mkdtemp(prefix="simcheck-reports-") + "/r"
+    one = lambda i: spark.createDataFrame([(f"chk_{i}", f'{{"n":{i}}}')], "file_check_id string, report_json string")
+    write_reports(one(1), out, "a")
+    write_reports(one(2), out, "b")
+    write_reports(one(3), out, "b")          # the same run again
+    assert sorted(r.value for r in spark.read.text(out).collect()) == ['{"n":1}', '{"n":3}']
+
+
 def test_time_stamps(spark):
     df = spark.createDataFrame([("2024-03-05 07:08:09",)], "t string").select(F.to_timestamp("t").alias("t"))
     r = df.select(TX.utc_iso("t").alias("a"), TX.job_id("t").alias("b")).first()
