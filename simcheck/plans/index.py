@@ -5,8 +5,9 @@ it.  Here the same split: the first query that needs corpus sentences writes
 ``(doc_id, sentence_index, sentence, vec)`` as parquet into the shared
 checkpoint folder, sorted by ``doc_id`` within files (row-group statistics let
 lookups by document skip data), and every later query reads that table.  The
-location is keyed by the input file's path, size and modification time, so a
-changed input builds a new index.  A partial write is never read: the index
+location is keyed by path, size and modification time of every input file and
+by the parameters of the splitter and the encoder, so a changed input or a
+changed parameter builds a new index.  A partial write is never read: the index
 is used only when Spark's ``_SUCCESS`` marker exists.
 """
 
@@ -16,6 +17,7 @@ import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 
+from simcheck import params as P
 from simcheck.operators import sentences as S
 from simcheck.session import checkpoint_root
 from simcheck.sources.tables import load, table_path
@@ -37,9 +39,14 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def _signature(spark: SparkSession, path: str) -> str:
     fs, p = _fs_status(spark, path)
-    st = fs.getFileStatus(p)
-    raw = f"{st.getPath().toString()}|{st.getLen()}|{st.getModificationTime()}"
-    return hashlib.md5(raw.encode()).hexdigest()[:16]
+    files = fs.listFiles(p, True)
+    raw = []
+    while files.hasNext():
+        st = files.next()
+        raw.append(f"{st.getPath().toString()}|{st.getLen()}|{st.getModificationTime()}")
+    built_with = [P.BOILERPLATE_PATTERNS, P.MIN_SENTENCE_WORDS, P.HASH_DIM, P.WS_CLASS, P.SECTION_NUMBER_RE,
+                  P.SENTENCE_END_RE, P.SENTENCE_SEP]
+    return hashlib.sha256(repr((sorted(raw), built_with)).encode()).hexdigest()
 
 
 def corpus_index_path(spark: SparkSession, sf_dir: str) -> str:

@@ -49,3 +49,35 @@ def test_weights_beyond_the_broadcast_guard(spark):
             s, keys, idf, only=only, guard_bytes=g).collect()) for g in (0, 1 << 20)]
         assert got[0] == got[1] and got[0]
     assert {r.token for r in idf.collect()} == {"a", "b", "c", "d"}
+
+
+def test_evaluation_documents_hold_their_share(spark):
+    """The parts recover the label: corpus and near-copy sentences make the share, the rest is new."""
+    from simcheck.plans import q_eval as E
+    sf = "/root/testdata/sf0.001"
+    lists = {p: {r.sentence for r in df.collect()} for p, df in E.eval_lists(spark, sf).items()}
+    assert not lists["in"] & lists["fresh"]
+    for avg in (40, 400):
+        for r in E.build_eval_docs(spark, sf, avg).collect():
+            want = {p: min(len(lists[p]), E.part_size(p, r.share, avg)) for p in E.PARTS}
+            assert (r.n_in, r.n_near, r.n_fresh) == (want["in"], want["near"], want["fresh"])
+    docs = E.build_eval_docs(spark, sf, 40).collect()
+    assert len(docs) == 30 and len({r.text for r in docs}) == 30
+    n = len(lists["in"])
+    assert len({(7 + k * E._step(n)) % n for k in range(n)}) == n
+
+
+def test_word_vectors_survive_saving(spark):
+    """A trained model is saved, loaded and asked for one word."""
+    from pyspark.ml.feature import Word2VecModel
+
+    from simcheck.plans.q_ml import word_model, word_vector
+    from simcheck.session import scratch_dir
+    docs = spark.createDataFrame([("red green blue red",), ("green blue sky",)], "text string")
+    model = word_model(docs)
+    path = scratch_dir(spark, "test-w2v")
+    model.save(path)
+    again = Word2VecModel.load(path)
+    (row,) = word_vector(again, "green").collect()
+    assert len(row["vector"]) == 100 and row["vector"] == word_vector(model, "green").first()["vector"]
+    assert word_vector(again, "absent").count() == 0
