@@ -125,6 +125,25 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+ORACLES["op4_minhash"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ')
+        ELSE array_to_string(w[i:i + 4], ' ') END AS shingle
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS i FROM d)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS alike FROM s a JOIN s b ON a.shingle = b.shingle
+        AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y
+      WHERE 100 * alike >= 85 * (a.n + b.n - alike)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y),
+c AS (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN c ON c.doc_id = d.doc_id
+"""
+
+
 @query
 def op9_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(table(spark, sf_dir, "documents"))
@@ -155,3 +174,26 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 def op8_merged_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = suffix.suffix_dedup(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+
+# bytes as pairs of hexadecimal digits, windows as 200 of them
+ORACLES["op8_merged_transforms"] = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 200) AS win
+      FROM (SELECT doc_id, h, unnest(range(greatest(n - 99, 0))) AS p FROM d)),
+f AS (SELECT win, min((doc_id, p)) AS at FROM w GROUP BY win HAVING count(*) > 1),
+late AS (SELECT doc_id, p FROM w JOIN f ON f.win = w.win WHERE (doc_id, p) <> f.at),
+m AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER o + 100 THEN 0 ELSE 1 END AS new FROM late
+      WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+g AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM m),
+r AS (SELECT doc_id, run, min(p) AS s, max(p) + 100 AS e FROM g GROUP BY doc_id, run),
+x AS (SELECT doc_id, sum(e - s)::BIGINT AS n_removed, count(*) AS n_spans FROM r GROUP BY doc_id),
+k AS (SELECT doc_id, s AS stop, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS start FROM r
+      UNION ALL SELECT d.doc_id, n, coalesce((SELECT max(e) FROM r WHERE r.doc_id = d.doc_id), 0) FROM d),
+t AS (SELECT k.doc_id, string_agg(substr(h, 2 * start + 1, 2 * (stop - start)), '' ORDER BY start) AS kept
+      FROM k JOIN d ON d.doc_id = k.doc_id GROUP BY k.doc_id)
+SELECT d.doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(kept)) AS kept_sha256
+FROM d JOIN t ON t.doc_id = d.doc_id LEFT JOIN x ON x.doc_id = d.doc_id
+"""
