@@ -46,6 +46,19 @@ def query_sentences(benchmark: DataFrame) -> DataFrame:
     return kept_sentences(benchmark.select("item_id", "text"), "item_id", index_col="q_index")
 
 
+def paper_chunks(df: DataFrame, id_col: str, index_col: str = "sentence_index", text_col: str = "text") -> DataFrame:
+    """P4+P5: the research path's sentence list: (id, n_all, index, sentence).
+
+    Sentences with more than six pieces, cut into chunks of bounded size and
+    numbered 0.. per id; ``n_all`` counts all sentences, kept or not.
+    """
+    pieces = F.filter(TX.sentence_pieces(TX.clean_text(text_col)), lambda s: s != "")
+    kept = F.filter(F.col("__p"), lambda s: TX.keep_min_pieces(s))
+    chunks = F.flatten(F.transform(kept, lambda s: TX.chunk_words(F.split(s, " "))))
+    return (df.select(id_col, pieces.alias("__p"))
+            .select(id_col, F.size("__p").cast("long").alias("n_all"), F.posexplode(chunks).alias(index_col, "sentence")))
+
+
 def encode(df: DataFrame, sentence_col: str = "sentence", out_col: str = "vec",
            encoder=None) -> DataFrame:
     """Attach a sentence vector.  Default = native hashed-token vector."""

@@ -176,6 +176,81 @@ def top_docs_sentences(spark, sf_dir):
             .select("item_id", "doc_id", "rank", "sentence").distinct())
 
 
+# ------------------------------------- paper path on its own sentence list
+
+def _chunks_sql(table: str, id_col: str, idx: str, name: str) -> str:
+    """CTEs {name}_s (all sentences), {name} (numbered P4+P5 chunks)."""
+    return (
+        f"{name}_s AS ({Q.split_sentences(table, id_col)}), "
+        f"{name}_w AS (SELECT {id_col}, pos, unnest(ws) AS word, unnest(range(len(ws))) AS wi FROM (SELECT {id_col}, pos, "
+        f"string_split(sentence, ' ') AS ws FROM {name}_s WHERE {Q.space_pieces('sentence')} > {P.PAPER_MIN_PIECES})), "
+        f"{name}_l AS (SELECT *, len(string_split(word, '_')) AS l FROM {name}_w), "
+        f"{name}_r({id_col}, pos, wi, chunk, n) AS (SELECT {id_col}, pos, wi, 0, l FROM {name}_l WHERE wi = 0 UNION ALL "
+        f"SELECT r.{id_col}, r.pos, w.wi, CASE WHEN r.n + w.l > {P.CHUNK_MAX_SUBTOKENS} THEN r.chunk + 1 ELSE r.chunk END, "
+        f"CASE WHEN r.n + w.l > {P.CHUNK_MAX_SUBTOKENS} THEN w.l ELSE r.n + w.l END FROM {name}_r r JOIN {name}_l w "
+        f"ON w.{id_col} = r.{id_col} AND w.pos = r.pos AND w.wi = r.wi + 1), "
+        f"{name} AS (SELECT {id_col}, (row_number() OVER (PARTITION BY {id_col} ORDER BY pos, chunk) - 1)::INTEGER AS {idx}, "
+        f"sentence FROM (SELECT r.{id_col}, r.pos, r.chunk, string_agg(w.word, ' ' ORDER BY w.wi) AS sentence "
+        f"FROM {name}_r r JOIN {name}_l w ON w.{id_col} = r.{id_col} AND w.pos = r.pos AND w.wi = r.wi "
+        f"GROUP BY r.{id_col}, r.pos, r.chunk))")
+
+
+_CHUNKED = (
+    f"WITH RECURSIVE {_chunks_sql('documents', 'doc_id', 'sentence_index', 'pd')}, "
+    f"{_chunks_sql('benchmark', 'item_id', 'q_index', 'pq')}, "
+    f"pv AS ({Q.encode('SELECT * FROM pd')}), qv AS ({Q.encode('SELECT * FROM pq')}), "
+    "na AS (SELECT item_id, count(*) AS n_all FROM pq_s GROUP BY item_id), "
+    "nk AS (SELECT item_id, count(*) AS n_kept FROM pq GROUP BY item_id), "
+    "best AS (SELECT DISTINCT q.item_id, q.q_index, c.doc_id FROM qv q, pv c "
+    f"WHERE {Q.cos('q.vec', 'c.vec')} >= {P.PAPER_THRESHOLD}) ")
+
+
+def _chunk_matches(spark, sf_dir):
+    """(item_id, q_index, n_all, sentence) of the submissions' chunks and their matches per document."""
+    inp = C.Inputs.read(spark, sf_dir)
+    q = materialize(S.paper_chunks(inp.benchmark, "item_id", "q_index"))
+    best = best_per_group(S.encode(q), S.encode(S.paper_chunks(inp.documents, "doc_id")), ["item_id", "q_index"],
+                          "doc_id", "sentence_index", P.PAPER_THRESHOLD)
+    return q, materialize(best.select("item_id", "q_index", "doc_id"))
+
+
+def _denominators(q):
+    return q.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_kept"), F.first("n_all").alias("n_all"))
+
+
+@register("paper_doc_percent", sql=_CHUNKED + (
+    "SELECT b.item_id, b.doc_id, b.matches, n_kept, n_all, trunc(matches * 100 / n_kept)::INTEGER AS pct_kept, "
+    "trunc(matches * 100 / n_all)::INTEGER AS pct_all FROM (SELECT item_id, doc_id, count(*) AS matches FROM best "
+    "GROUP BY item_id, doc_id) b JOIN nk ON nk.item_id = b.item_id JOIN na ON na.item_id = b.item_id"))
+def paper_doc_percent(spark, sf_dir):
+    """J10/A6 on the research path's own sentences: int(matches * 100 / n) per document,
+    over the kept chunks and over all sentences."""
+    q, best = _chunk_matches(spark, sf_dir)
+    pct = lambda n: (F.col("matches") * 100 / F.col(n)).cast("int")
+    return (best.groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("matches")).join(_denominators(q), "item_id")
+            .select("item_id", "doc_id", "matches", "n_kept", "n_all", pct("n_kept").alias("pct_kept"),
+                    pct("n_all").alias("pct_all")))
+
+
+@register("paper_total_percent", sql=_CHUNKED + (
+    ", m AS (SELECT b.item_id, count(DISTINCT q.sentence) AS m FROM best b JOIN pq q ON q.item_id = b.item_id "
+    "AND q.q_index = b.q_index GROUP BY b.item_id) "
+    "SELECT nk.item_id, coalesce(m.m, 0) AS m, n_kept, n_all, "
+    "trunc(round_even(coalesce(m.m, 0) / n_kept, 2) * 100)::INTEGER AS percent_kept, "
+    "trunc(round_even(coalesce(m.m, 0) / n_all, 2) * 100)::INTEGER AS percent_all "
+    "FROM nk JOIN na ON na.item_id = nk.item_id LEFT JOIN m ON m.item_id = nk.item_id"))
+def paper_total_percent(spark, sf_dir):
+    """A7 on the research path's own sentences: distinct matched chunks over all documents,
+    int(round(m / n, 2) * 100) over the kept chunks and over all sentences."""
+    q, best = _chunk_matches(spark, sf_dir)
+    m = (best.select("item_id", "q_index").distinct().join(q, ["item_id", "q_index"])
+         .groupBy("item_id").agg(F.countDistinct("sentence").alias("m")))
+    found = F.coalesce("m", F.lit(0))
+    pct = lambda n: (F.bround(found / F.col(n), 2) * 100).cast("int")
+    return _denominators(q).join(m, "item_id", "left").select(
+        "item_id", found.alias("m"), "n_kept", "n_all", pct("n_kept").alias("percent_kept"), pct("n_all").alias("percent_all"))
+
+
 def band_of(pct):
     lo, mid, hi = P.SCORE_BANDS
     return (F.when(pct <= lo, F.lit(lo)).when(pct <= mid, F.lit(mid))
