@@ -11,6 +11,8 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -76,9 +78,32 @@ def materialize(df):
     """
     path = scratch_dir(df.sparkSession, "stage")
     df.write.mode("overwrite").parquet(path)
+    for made in _WATCHED:
+        made.append(path)
     return df.sparkSession.read.parquet(path)
 
 
+_WATCHED: list[list[str]] = []
+
+
+@contextmanager
+def materialized() -> Iterator[list[str]]:
+    """Collects the folders that ``materialize`` writes inside the block."""
+    made: list[str] = []
+    _WATCHED.append(made)
+    try:
+        yield made
+    finally:
+        _WATCHED.remove(made)
+
+
+def drop_folders(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes intermediate tables whose last reader is done."""
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 _SHIPPED: set[str] = set()
 
 
