@@ -17,7 +17,10 @@
 
 Buckets hold anchors or distinct strings, packed by Arrow batch after equal
 ones of a batch are joined; their number follows the shuffle partitions, so
-buckets stay small on large inputs.  The texts are joined with the places
+buckets stay small on large inputs.  An anchor that occurs more than ``HOT``
+times (the edge of a passage that very many documents hold, each going on in
+its own way) would still fill one bucket: its windows are sent one by one, by
+their own hash, so equal ones meet and the others spread.  The texts are joined with the places
 found in them by document, through a shuffle of the documents that have any
 while their ids fit a measured broadcast, else of all.
 
@@ -30,6 +33,7 @@ ignored.  Very long texts are read in pieces with an overlap.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +52,7 @@ DEPTH = (LENGTH - (BLOCK - 1)) // BLOCK
 PIECE = 1 << 20
 SHARD_SYMBOLS = 1 << 15
 BUCKETS_PER_PARTITION = 8
+HOT = 50_000
 ROWS_OUT = 2048
 NO_ID = (1 << 63) - 1
 
@@ -191,23 +196,39 @@ def _joined_runs(doc: np.ndarray, first: np.ndarray, count: np.ndarray) -> pd.Da
     return pd.DataFrame({"doc": doc[at], "first": first[at], "count": first[last] + count[last] - first[at]})
 
 
+def split_hot(spans, hots: list[bool]) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """The spans, those of hot anchors as single windows under a hash of their own."""
+    for span, hot in zip(spans, hots, strict=True):
+        if not hot:
+            yield span
+            continue
+        first, _, count, _, data = span
+        for k in range(count):
+            window = data[k:k + LENGTH]
+            code = int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True)
+            yield first + k, 0, 1, code, window
+
+
 def span_rows(texts: DataFrame, n_buckets: int) -> DataFrame:
-    """Packed distinct spans by bucket; rows of bucket -1 are runs known to start earlier."""
+    """Packed distinct spans by bucket; rows of negative buckets are runs known to start earlier."""
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in SPANS.split(", ")]
         for pdf in batches:
             seen: dict[tuple[int, bytes], tuple[int, int]] = {}
             keep, late = [], []
-            for doc, text, ats, codes in sorted(zip(pdf["doc"].tolist(), pdf["text"], pdf["ats"], pdf["codes"], strict=True),
-                                                key=lambda r: r[0]):
+            for doc, text, ats, codes, hots in sorted(zip(pdf["doc"].tolist(), pdf["text"], pdf["ats"], pdf["codes"],
+                                                          pdf["hots"], strict=True), key=lambda r: r[0]):
                 raw = text.encode()
                 order = np.argsort(ats)
                 ats = np.asarray(ats)[order]
                 low, count = (ats >> 8) & 255, ats & 255
                 first = (ats >> 16) - low
-                for f, lo, n, code in zip(first.tolist(), low.tolist(), count.tolist(),
-                                          np.asarray(codes)[order].tolist(), strict=True):
-                    span = raw[f:f + n + LENGTH - 1]
+                spans = zip(first.tolist(), low.tolist(), count.tolist(), np.asarray(codes)[order].tolist(),
+                            [raw[f:f + n + LENGTH - 1] for f, n in zip(first.tolist(), count.tolist(), strict=True)],
+                            strict=True)
+                if len(hots) and any(hots):
+                    spans = split_hot(spans, np.asarray(hots)[order].tolist())
+                for f, lo, n, code, span in spans:
                     place = seen.get((code, span))
                     if place is None:
                         seen[code, span] = (doc, f)
@@ -217,7 +238,8 @@ def span_rows(texts: DataFrame, n_buckets: int) -> DataFrame:
             out = []
             if late:
                 runs = _joined_runs(*np.array(late, np.int64).T)
-                out.append((-1, len(runs), b"", *_small(runs["doc"].to_numpy()), *_small(runs["first"].to_numpy()), b"",
+                spread = int(_spread(runs["doc"].to_numpy()[:1], n_buckets)[0])
+                out.append((-1 - spread, len(runs), b"", *_small(runs["doc"].to_numpy()), *_small(runs["first"].to_numpy()), b"",
                             runs["count"].to_numpy(np.int64).tobytes(), b""))
             if keep:
                 code, doc, first, low, count = (np.array([k[i] for k in keep], np.int64) for i in range(5))
@@ -331,7 +353,12 @@ def suffix_dedup(docs: DataFrame, n_buckets: int | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) of every row; kept is binary."""
     spark: SparkSession = docs.sparkSession
     n_buckets = n_buckets or BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shared = materialize(_arrays(shared_anchors(docs, n_buckets), at="ats", code="codes"))
+    anchored = materialize(shared_anchors(docs, n_buckets))
+    hot = materialize(anchored.groupBy("code").count().filter(F.col("count") > HOT)
+                      .select("code", F.lit(True).alias("hot")))
+    marked = (anchored.join(small_or_shuffled(hot, 24), "code", "left")
+              .withColumn("hot", F.coalesce("hot", F.lit(False))))
+    shared = materialize(_arrays(marked, at="ats", code="codes", hot="hots"))
     spans = span_rows(joined_with(docs, shared, "inner"), n_buckets)
     runs = materialize(_arrays(late_runs(spans), first="firsts", count="counts"))
 
