@@ -53,7 +53,7 @@ from simcheck.session import materialize
 WIDTH, PERCENT = 5, 85
 COORDINATES, POSTED = 192, 24
 LOSS = 1e-8
-BLOCK = 1024
+BLOCK = 512
 NO_ID = (1 << 63) - 1
 ROWS_OUT = 2048
 
