@@ -31,24 +31,13 @@ def _clean_lines(text) -> F.Column:
 def page_lines(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """(id, page_num, line_no, text, line_start, line_end, x0, y0, x1, y1); empty lines skipped."""
     cl = df.select(id_col, _clean_lines(F.col(text_col)).alias("__cl"))
-    init = F.struct(F.array().cast("array<int>").alias("offs"), F.lit(0).alias("cur"))
-
-    def step(acc, e):
-        start = F.when(e["i"] % LINES_PER_PAGE == 0, F.lit(0)).otherwise(acc["cur"])
-        n = F.length(e["t"])
-        cur = F.when(n > 0, start + n + 1).otherwise(start)
-        return F.struct(F.concat(acc["offs"], F.array(start)).alias("offs"), cur.alias("cur"))
-
-    indexed = F.transform("__cl", lambda x, i: F.struct(x.alias("t"), i.alias("i")))
-    offs = F.aggregate(indexed, init, step, lambda acc: acc["offs"])
-    z = cl.select(id_col, F.posexplode(F.arrays_zip(F.col("__cl").alias("t"), offs.alias("o")))
-                  .alias("i", "z"))
+    z = (cl.select(id_col, F.posexplode(_page_slices("__cl")).alias("page_num", "__ls"))
+         .select(id_col, "page_num", F.posexplode(F.arrays_zip(F.col("__ls").alias("t"), _offsets("__ls").alias("o")))
+                 .alias("line_no", "z")))
     n = F.length("z.t")
-    line = (F.col("i") % LINES_PER_PAGE)
+    line = F.col("line_no")
     return (z.where(n > 0).select(
-        id_col,
-        (F.col("i") / LINES_PER_PAGE).cast("int").alias("page_num"),
-        line.cast("int").alias("line_no"),
+        id_col, "page_num", "line_no",
         F.col("z.t").alias("text"),
         F.col("z.o").alias("line_start"),
         (F.col("z.o") + n).alias("line_end"),
@@ -58,15 +47,28 @@ def page_lines(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
         (F.lit(Y0) + F.lit(LINE_H) * line + F.lit(BOX_H)).alias("y1")))
 
 
+def _page_slices(lines: str) -> F.Column:
+    """The lines cut into pages."""
+    n_pages = F.ceil(F.size(lines) / F.lit(LINES_PER_PAGE)).cast("int")
+    return F.transform(F.sequence(F.lit(0), n_pages - 1), lambda p: F.slice(lines, p * LINES_PER_PAGE + 1, LINES_PER_PAGE))
+
+
+def _offsets(lines: str) -> F.Column:
+    """Start of each line in its page's text; a fold over one page, so its cost is bounded."""
+    zero = F.struct(F.array().cast("array<int>").alias("offs"), F.lit(0).alias("cur"))
+
+    def step(acc, t):
+        after = F.when(F.length(t) > 0, acc["cur"] + F.length(t) + 1).otherwise(acc["cur"])
+        return F.struct(F.array_append(acc["offs"], acc["cur"]).alias("offs"), after.alias("cur"))
+
+    return F.aggregate(F.col(lines), zero, step, lambda acc: acc["offs"])
+
+
 def page_text(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """(id, page_num, text): non-empty cleaned lines of each page joined by a space."""
     cl = df.select(id_col, _clean_lines(F.col(text_col)).alias("__cl"))
-    n_pages = F.ceil(F.size("__cl") / F.lit(LINES_PER_PAGE)).cast("int")
-    pages = F.transform(
-        F.sequence(F.lit(0), n_pages - 1),
-        lambda p: F.struct(p.alias("page_num"), F.array_join(
-            F.filter(F.slice("__cl", p * LINES_PER_PAGE + 1, LINES_PER_PAGE), lambda x: x != ""),
-            " ").alias("text")))
+    pages = F.transform(_page_slices("__cl"), lambda ls, p: F.struct(
+        p.alias("page_num"), F.array_join(F.filter(ls, lambda x: x != ""), " ").alias("text")))
     return (cl.select(id_col, F.explode(pages).alias("p"))
             .select(id_col, "p.page_num", "p.text").where(F.col("text") != ""))
 
