@@ -39,6 +39,7 @@ from simcheck.session import materialize
 WEIGHTS = (3, 1, 2)
 TILTS = (-0.5, 0.0, 0.5)
 BUDGET, CAP = 1.5, 2.0
+NO_ID = (1 << 63) - 1
 
 
 def word_count(col: str = "text") -> Column:
@@ -129,16 +130,20 @@ def assemble(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     texts stay whole.  Rows that share a doc_id are told apart by source and
     text; equal ones are interchangeable.
     """
-    def nth(*order) -> Column:
-        return F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))
+    # Rows are numbered within an id and joined on the id; the number is a
+    # condition beside the key, so the join keeps the windows' partitioning and
+    # texts are shuffled once before the final sort.
+    def numbered(df: DataFrame, name: str, *order) -> DataFrame:
+        key = F.coalesce("doc_id", F.lit(NO_ID))
+        return (df.withColumn(f"{name}_id", key)
+                .withColumn(f"{name}_nth", F.row_number().over(Window.partitionBy(f"{name}_id").orderBy(*order))))
 
     passes = F.filter(F.array(F.when((F.col("first") > 0) & (F.col("first") * 2 >= F.col("size")), F.col("position")),
                               F.when((F.col("second") > 0) & (F.col("second") * 2 >= F.col("size")), F.col("second_position"))),
                       lambda p: p.isNotNull())
-    due_rows = (mixed.withColumn("__m_nth", nth("source", "text_key", "position", "second_position"))
-                .select(F.col("doc_id").alias("__m_id"), "__m_nth", passes.alias("__passes"))
-                .filter(F.size("__passes") > 0))
-    return (docs.withColumn("__nth", nth("source", F.xxhash64(text_of())))
-            .join(due_rows, F.col("doc_id").eqNullSafe(F.col("__m_id")) & (F.col("__nth") == F.col("__m_nth")))
+    due_rows = (numbered(mixed, "__m", "source", "text_key", "position", "second_position")
+                .select("__m_id", "__m_nth", passes.alias("__passes")).filter(F.size("__passes") > 0))
+    return (numbered(docs, "__d", "source", F.xxhash64(text_of()))
+            .join(due_rows, (F.col("__d_id") == F.col("__m_id")) & (F.col("__d_nth") - F.col("__m_nth") == 0))
             .withColumn("__position", F.explode("__passes"))
             .orderBy("__position", "doc_id").select(*docs.columns))
