@@ -37,8 +37,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from simcheck.llm.common import BROADCAST_BYTES, LOWER, UPPER, WS, text_of
 from simcheck.session import materialize, scratch_dir
@@ -264,35 +266,40 @@ class LineIndex:
                 .groupBy("doc").agg(F.collect_set("key").alias("keys")))
 
 
-OUT = "n_lines long, n_dropped long, kept_text string"
+ROWS_OUT = 512
+NEW = {"n_lines": T.LongType(), "n_dropped": T.LongType(), "kept_text": T.StringType()}
 
 
 def strip_lines(docs: DataFrame, drops: DataFrame) -> DataFrame:
-    """``docs`` with n_lines, n_dropped and kept_text."""
-    joined = docs.withColumn("__doc", doc_key()).join(
-        drops.withColumnRenamed("doc", "__doc").withColumnRenamed("keys", "__keys"), "__doc", "left")
-    lines = F.split(text_of(), "\n")
-
-    @F.pandas_udf("struct<n_dropped: long, kept_text: string>")
-    def kept(text: pd.Series, keys: pd.Series) -> pd.DataFrame:
-        dropped, out = [], []
-        for t, drop in zip(text, keys, strict=True):
-            if drop is None or not len(drop):
-                dropped.append(0)
-                out.append(t)
-                continue
-            gone = {bytes(k) for k in drop}
-            all_lines = t.split("\n")
-            stay = [x for x in all_lines if hashlib.md5(_key(x)).digest() not in gone]
-            dropped.append(len(all_lines) - len(stay))
-            out.append("\n".join(stay))
-        return pd.DataFrame({"n_dropped": dropped, "kept_text": out})
-
-    done = joined.withColumn("__kept", kept(text_of(), F.col("__keys")))
-    return (done.withColumn("n_lines", F.size(lines).cast("long"))
-            .withColumn("n_dropped", F.col("__kept.n_dropped"))
-            .withColumn("kept_text", F.col("__kept.kept_text"))
-            .drop("__doc", "__keys", "__kept"))
+    """``docs`` with n_lines, n_dropped and kept_text (columns of these names are replaced).
+
+    Other columns pass through as Arrow arrays.  Results leave a task in small
+    batches, so whole texts never pile up on either side of the exchange.
+    """
+    joined = (docs.drop(*NEW).withColumn("__doc", doc_key())
+              .join(drops.withColumnRenamed("doc", "__doc").withColumnRenamed("keys", "__keys"), "__doc", "left")
+              .drop("__doc"))
+    names = [c for c in joined.columns if c != "__keys"]
+    schema = T.StructType([*[joined.schema[c] for c in names], *[T.StructField(n, t) for n, t in NEW.items()]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS_OUT):
+                part = batch.slice(start, ROWS_OUT)
+                lines, dropped, kept = [], [], []
+                for text, keys in zip(part.column("text").to_pylist(), part.column("__keys").to_pylist(), strict=True):
+                    own = (text or "").split("\n")
+                    stay = own
+                    if keys:
+                        gone = set(keys)
+                        stay = [x for x in own if hashlib.md5(_key(x)).digest() not in gone]
+                    lines.append(len(own))
+                    dropped.append(len(own) - len(stay))
+                    kept.append("\n".join(stay))
+                new = [pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.string())]
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in names] + new, [*names, *NEW])
+
+    return joined.mapInArrow(run, schema)
 
 
 def _key(line: str) -> bytes:
