@@ -163,8 +163,8 @@ def top_k(embeddings: DataFrame, k: int = K, step: int = STEP, n_pivots: int = P
     exact_float = dim * size * size < 1 << 53
 
     def sample(rows: DataFrame, n: int) -> np.ndarray:
-        drawn = rows.groupBy("v").agg(F.min("vec_id").alias("vec_id")).orderBy(F.xxhash64("vec_id"), "vec_id").limit(n)
-        return _matrix([r["v"] for r in drawn.collect()], dim)      # n vectors at most
+        drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(n).collect()      # n vectors at most
+        return np.unique(_matrix([r["v"] for r in drawn], dim), axis=0) if drawn else np.zeros((0, dim))
 
     pivots, centres = sample(vectors, n_pivots), sample(queries, n_groups)
     if not len(centres):
