@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simcheck.llm import bpe, line_dedup, mixing, near_dedup, quality
-from simcheck.llm.common import small_or_shuffled, table
+from simcheck.llm.common import bound_batches, small_or_shuffled, table
 from simcheck.llm.queries import tokenizer_path
 from simcheck.session import drop_folders, materialize, materialized, ship_package
 
@@ -29,6 +29,7 @@ def stage(fn):
     @wraps(fn)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ship_package(spark)
+        bound_batches(spark)
         drop_folders(spark, _DONE)
         _DONE.clear()
         with materialized() as made:

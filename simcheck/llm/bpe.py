@@ -33,12 +33,13 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 END = 0x1000           # added to the code of a word's last symbol
-CACHED_WORDS = 400_000
-CACHED_PAIRS = 1_000_000
+CACHED_WORDS = 200_000
+CACHED_PAIRS = 300_000
 DECODE_STEP = 1 << 16
 ROWS_OUT = 512
 
@@ -209,6 +210,7 @@ def encode(docs: DataFrame, vocabulary: str, with_text: bool = False) -> DataFra
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = _bpe(sent)
+        bpe.words.clear()       # a reused worker keeps the vocabulary, not the last task's words
         for pdf in batches:
             for k in range(0, len(pdf), ROWS_OUT):
                 part = pdf.iloc[k:k + ROWS_OUT]
@@ -217,6 +219,8 @@ def encode(docs: DataFrame, vocabulary: str, with_text: bool = False) -> DataFra
                 if with_text:
                     out["decoded"] = [bpe.decode(x) for x in ids]
                 yield pd.DataFrame(out)
+        bpe.words.clear()
+        pa.default_memory_pool().release_unused()
 
     schema = "doc_id long, n_tokens long, ids binary" + (", decoded string" if with_text else "")
     return docs.select("doc_id", "text").mapInPandas(run, schema)

@@ -14,7 +14,20 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_BYTES = 8 << 20
 
 
+#: Rows and bytes of an Arrow batch; Spark's defaults hold 10,000 whole texts at once on both sides.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"),
+         "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16777216b")}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for this session, unless it asks for others than the defaults."""
+    for key, (default, ours) in BATCH.items():
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, ours)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
