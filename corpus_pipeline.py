@@ -16,6 +16,9 @@ from simcheck.llm.common import bound_batches, small_or_shuffled, table
 from simcheck.llm.queries import tokenizer_path
 from simcheck.session import drop_folders, materialize, materialized, ship_package
 
+#: Least shingle similarity, in percent, at which the near-dedup stage links documents; op4's own contract is 85.
+NEAR_PERCENT = 80
+
 _DONE: list[str] = []
 
 
@@ -61,8 +64,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash near-dedup: the document with the smallest id of each component stays."""
-    found = near_dedup.near_duplicates(docs.select("doc_id", "text"))
+    """MinHash near-dedup at similarity 0.8: the document with the smallest id of each component stays."""
+    found = near_dedup.near_duplicates(docs.select("doc_id", "text"), percent=NEAR_PERCENT)
     gone = materialize(found.filter("not kept").select(F.coalesce("doc_id", F.lit(near_dedup.NO_ID)).alias("__gone"))
                        .distinct())
     key = F.coalesce("doc_id", F.lit(near_dedup.NO_ID))

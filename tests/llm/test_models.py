@@ -197,6 +197,32 @@ def test_pipeline_keeps_columns_and_order_of_stages(spark):
     assert len(done) == len(by["mixing"]) and all(len(r.ids) == 4 * r.n_tokens for r in done)
 
 
+def test_near_dedup_stage_links_from_080(spark):
+    """Copies at 0.80 to 0.85 go and one at 0.79 stays, as brute force over all pairs says."""
+    rng = random.Random(12)
+    new = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    rows, near = [], 0
+    for _ in range(30):
+        base = new(150)
+        rows.append(base)
+        for run in range(8, 14):                # similarity 0.848, 0.836, 0.825, 0.814, 0.802, 0.791
+            at = rng.randrange(5, 130)
+            rows.append(base[:at] + new(run) + base[at + run:])
+    sets = [{tuple(w[k:k + 5]) for k in range(len(w) - 4)} for w in rows]
+    root = list(range(len(rows)))
+    for b, t in enumerate(sets):
+        for a, s in enumerate(sets[:b]):
+            both = len(s & t)
+            if 100 * both >= 80 * (len(s) + len(t) - both):
+                near += 100 * both < 85 * (len(s) + len(t) - both)
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    assert near >= 150
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string").repartition(3)
+    got = corpus_pipeline.drop_near_copies(spark, d, "").collect()
+    assert sorted(r.doc_id for r in got) == sorted(set(root))
+
+
 def test_pipeline_on_empty_documents(spark):
     now = spark.read.parquet(f"{SMOKE}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
