@@ -9,10 +9,11 @@ addresses with spelled-out signs, four numbers with other separators, digit
 groups with brackets, dots or slashes.  Proposals may overlap one another and
 the base spans.  Boosted trees score a proposal by its format (digits,
 separators, lengths, parts, Luhn) and context (the words and marks around it).
-They learn from the corpus itself, from positive and unlabelled cases: a
-proposal on a base span of its kind is an example, every other proposal counts
-as a counter-example, so a proposal that is no base span is accepted only if
-examples far outnumber its like.  Scores are calibrated by isotonic regression
+They learn from the corpus itself.  Examples are the proposals on a base span
+of their kind, and each base span once more rewritten into a looser form in its
+place.  Counter-examples are only proposals with evidence against their kind
+(``contradicted``) and those on a base span of another kind.  The rest, from
+which spans are added, has no label and takes no part in fitting.  Scores are calibrated by isotonic regression
 on proposals that the trees did not see, and a kind's threshold is the lowest
 score with a calibrated precision of ``precision`` and at least ``support``
 examples; without one the kind gets no spans beside its base spans.  Accepted
@@ -32,6 +33,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -176,18 +178,77 @@ def features(text: str, kind: int, start: int, end: int) -> list[float]:
 
 
 def proposals(text: str, good: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, list[float]]]:
-    """Loose spans (kind, start, end, label, features): label 1 on a base span of the kind, else 0."""
+    """Loose spans (kind, start, end, label, features).
+
+    Label 1: on a base span of the kind, or such a span rewritten (at the base
+    span's place, so it is never added).  0: against the evidence.  -1: open.
+    """
     out = []
     has_digit = bool(good) or _DIGITS.search(text) is not None
     for k, kind in enumerate(KINDS):
         if not (_MAYBE_MAIL.search(text) if kind == "email" else has_digit):
             continue
         base = Taken([(s, e) for g, s, e in good if g == k])
-        out += [(k, s, e, int(base.meets(s, e)), features(text, k, s, e))
-                for s, e in (m.span() for m in LOOSE[kind].finditer(text))]
+        others = Taken([(s, e) for g, s, e in good if g != k])
+        for s, e in (m.span() for m in LOOSE[kind].finditer(text)):
+            label = 1 if base.meets(s, e) else 0 if others.meets(s, e) or contradicted(text, k, s, e) else -1
+            out.append((k, s, e, label, features(text, k, s, e)))
+        for s, e in ((s, e) for g, s, e in good if g == k):
+            before, form, after = text[max(0, s - 256):s], looser(k, text[s:e]), text[e:e + 256]
+            out.append((k, s, e, 1, features(before + form + after, k, len(before), len(before) + len(form))))
     return out
 
 
+_SEPARATOR = re.compile(r"[\x20().\-/]+")
+_DATE = re.compile(r"(?:19|20)[0-9]{2}[-/. ][0-9]{1,2}[-/. ][0-9]{1,2}(?:[-/. ][0-9]+)*|[0-9]{1,2}[-/.][0-9]{1,2}[-/.](?:19|20)[0-9]{2}")
+_THOUSANDS = re.compile(r"[0-9]{1,3}(?:\.[0-9]{3}){2,}")
+_DOT_SPELLED = re.compile(r"(?i)[(\[{\s]dot[)\]}\s]")
+
+
+def contradicted(text: str, kind: int, start: int, end: int) -> bool:
+    """Whether a proposal has evidence against being of its kind."""
+    s, name = text[start:end], KINDS[kind]
+    groups = re.findall(r"[0-9]+", s)
+    digits = "".join(groups)
+    if name == "email":
+        last = re.split(r"[^A-Za-z0-9-]", s)[-1]
+        sure = "@" in s or re.search(r"(?i)[(\[{]at[)\]}]", s) or _DOT_SPELLED.search(s)
+        return not sure or not last.isalpha() or len(last) < 2
+    if text[start - 1:start].isdigit() or text[end:end + 1].isdigit():
+        return True
+    if name == "ip":
+        return "-" in s or any(int(g) > 255 for g in groups)
+    if name == "card":
+        return not (16 <= len(digits) <= 19 and luhn(digits))
+    bare = len(groups) == 1 and s[:1] != "+"
+    four = s.count(".") == 3 and len(groups) == 4 and s.replace(".", "").isdigit()
+    return (bare or four or not 8 <= len(digits) <= 15 or max(map(len, groups)) < 2
+            or bool(_DATE.fullmatch(s) or _THOUSANDS.fullmatch(s)))
+
+
+def looser(kind: int, s: str) -> str:
+    """A base span rewritten into one of the forms that only the generators know."""
+    name, draw = KINDS[kind], crc32(s.encode())
+    if name == "email":
+        at, dot = ((" (at) ", " (dot) "), (" [at] ", " [dot] "), (" at ", " dot "), ("(at)", "."))[draw % 4]
+        user, host = s.rsplit("@", 1)
+        return user + at + host.replace(".", dot)
+    if name == "ip":
+        return s.replace(".", ("[.]", "(.)", " . ")[draw % 3])
+    groups = [g for g in _SEPARATOR.split(s.lstrip("+")) if g]
+    digits = "".join(groups)
+    fours = [digits[k:k + 4] for k in range(0, len(digits), 4)]
+    if name == "card":
+        return (".", "/", "_", "  ")[draw % 4].join(fours)
+    if len(groups) < 2:
+        return " ".join(fours)
+    if len(digits) - len(groups[0]) >= 8 and len(groups) > 2 and draw % 4:      # without the country
+        groups = groups[1:]
+        if draw % 4 == 1:
+            return f"({groups[0]}) " + "-".join(groups[1:])
+    return (".", "-", " ", "/")[draw // 4 % 4].join(groups)
+
+
 SPAN = "struct<kind: int, start: int, end: int>"
 PROPOSAL = "struct<kind: int, start: int, end: int, label: int, x: array<double>>"
 
@@ -222,13 +283,13 @@ def fit(found: DataFrame, max_rows: int = MAX_ROWS, rounds: int = ROUNDS, depth:
     rows = (found.select("doc_id", F.explode("proposed").alias("p"))
             .select("doc_id", "p.kind", "p.start", F.col("p.label").cast("double").alias("label"), "p.x")
             .withColumn("draw", F.xxhash64("doc_id", "start", "kind"))
-            .orderBy("draw", "doc_id", "start", "kind", "label").limit(max_rows))
+            .filter("label >= 0").orderBy("draw", "doc_id", "start", "kind", "label", "x").limit(max_rows))
     sample = materialize(rows.coalesce(1)).coalesce(1)
     seen = F.pmod(F.col("draw"), F.lit(10)) < 7
     n, ones = sample.filter(seen).agg(F.count(F.lit(1)), F.sum("label")).first()
     if not n or ones in (0, n):
         return PiiModel(None, {})
-    trees = fit_boosted(materialize(sample.filter(seen).sort("draw", "doc_id", "start", "kind", "label").coalesce(1)
+    trees = fit_boosted(materialize(sample.filter(seen).sort("draw", "doc_id", "start", "kind", "label", "x").coalesce(1)
                                     .select("label", array_to_vector("x").alias("x"))).coalesce(1), rounds, depth, seed)
     rest = sample.filter(~seen).select("kind", "label", "x").toPandas()   # below max_rows rows
     bounds = {}

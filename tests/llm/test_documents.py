@@ -346,6 +346,29 @@ def test_boosted_trees_add_look_alikes_and_spare_others(spark):
     assert pii.redact("call +1 (555) 010-4477 now", [(3, 5, 22)]) == "call <phone> now"
 
 
+def test_boosted_trees_add_planted_look_alikes(spark):
+    """A loose phone, a spelled-out address and a bracketed ip are added; contradicted forms are not."""
+    rng = random.Random(14)
+    digits = lambda n: "".join(rng.choice("123456789") for _ in range(n))
+    rows = []
+    for i in range(240):
+        rows += [(6 * i, f"call +1 ({digits(3)}) {digits(3)}-{digits(4)} today"),
+                 (6 * i + 1, f"order {digits(8)} shipped"),
+                 (6 * i + 2, f"write to u{digits(3)}@mail{digits(2)}.com soon"),
+                 (6 * i + 3, "we met at home. Then it rained"),
+                 (6 * i + 4, f"host 10.{rng.randint(0, 255)}.7.{rng.randint(0, 255)} is up"),
+                 (6 * i + 5, f"release 7.{rng.randint(300, 999)}.2.1 is out")]
+    planted = {5000: ("call (555) 010-4477 today", ("phone", "(555) 010-4477")),
+               5001: ("write to john (at) mail (dot) com soon", ("email", "john (at) mail (dot) com")),
+               5002: ("host 1[.]2[.]3[.]4 is up", ("ip", "1[.]2[.]3[.]4"))}
+    d = spark.createDataFrame(rows + [(i, t) for i, (t, _) in planted.items()], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find_personal_data(d).collect()}
+    for i, (text, (kind, form)) in planted.items():
+        assert not got[i].base
+        assert [(pii.KINDS[s.kind], text[s.start:s.end]) for s in got[i].spans] == [(kind, form)]
+    assert all(got[i].spans == got[i].base for i, _ in rows)
+
+
 def test_isotonic_steps_never_fall():
     import numpy as np
 
