@@ -62,16 +62,20 @@ def fit_boosted(rows: DataFrame, rounds: int, depth: int, seed: int) -> BoostedT
     return BoostedTrees(tuple(_tree(t._call_java("rootNode")) for t in model.trees), tuple(model.treeWeights))
 
 
-def isotonic(score: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pooled steps (lowest score, share of label 1) that never fall as the score rises."""
+def isotonic(score: np.ndarray, label: np.ndarray, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pooled steps (lowest score, share of label 1) that never fall as the score rises.
+
+    With ``rows``, an entry stands for so many rows and ``label`` is their sum.
+    """
+    rows = np.ones(len(score)) if rows is None else rows
     order = np.argsort(score, kind="stable")
     steps: list[list[float]] = []          # lowest score, sum of labels, rows
-    for s, y in zip(score[order].tolist(), label[order].tolist(), strict=True):
+    for s, y, n in zip(score[order].tolist(), label[order].tolist(), rows[order].tolist(), strict=True):
         if steps and steps[-1][0] == s:
             steps[-1][1] += y
-            steps[-1][2] += 1
+            steps[-1][2] += n
         else:
-            steps.append([s, y, 1.0])
+            steps.append([s, y, float(n)])
         while len(steps) > 1 and steps[-2][1] * steps[-1][2] >= steps[-1][1] * steps[-2][2]:
             _, y1, n1 = steps.pop()
             steps[-1][1] += y1

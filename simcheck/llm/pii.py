@@ -14,13 +14,15 @@ of their kind, and each base span once more rewritten into a looser form in its
 place.  Counter-examples are only proposals with evidence against their kind
 (``contradicted``) and those on a base span of another kind.  The rest, from
 which spans are added, has no label and takes no part in fitting.  Scores are calibrated by isotonic regression
-on proposals that the trees did not see, and a kind's threshold is the lowest
+on all proposals that the trees did not see, and a kind's threshold is the lowest
 score with a calibrated precision of ``precision`` and at least ``support``
 examples; without one the kind gets no spans beside its base spans.  Accepted
 proposals that overlap a base span or a better proposal give way.
 
-Trees and thresholds are fitted on at most ``max_rows`` proposals, those with
-the smallest hash of document and place.  Every document is searched whole.
+Trees are fitted on at most ``max_rows`` proposals, those with the smallest
+hash of document and place.  Thresholds come from all other labelled ones,
+counted per kind and score in steps of 1 / ``STEPS``, so the table that reaches
+the driver is bounded.  Every document is searched whole.
 
 Defined results: a null or empty text has no spans; places are code points, the
 end exclusive; repeated rows are searched each; an empty table gives no rows;
@@ -48,6 +50,7 @@ KINDS = ("email", "ip", "card", "phone")
 MAX_ROWS = 20_000
 ROUNDS, DEPTH, SEED = 10, 3, 11
 PRECISION, SUPPORT = 0.98, 30
+STEPS = 1000
 ROWS_OUT = 2048
 
 # Fixed patterns of the base spans, in a form that is linear in the text: a run
@@ -279,30 +282,43 @@ class PiiModel:
 
 def fit(found: DataFrame, max_rows: int = MAX_ROWS, rounds: int = ROUNDS, depth: int = DEPTH, seed: int = SEED,
         precision: float = PRECISION, support: int = SUPPORT) -> PiiModel:
-    """Trees and thresholds from a bounded sample of the proposals."""
-    rows = (found.select("doc_id", F.explode("proposed").alias("p"))
-            .select("doc_id", "p.kind", "p.start", F.col("p.label").cast("double").alias("label"), "p.x")
-            .withColumn("draw", F.xxhash64("doc_id", "start", "kind"))
-            .filter("label >= 0").orderBy("draw", "doc_id", "start", "kind", "label", "x").limit(max_rows))
+    """Trees from a bounded sample of the labelled proposals, thresholds from all others."""
+    labelled = (found.select("doc_id", F.explode("proposed").alias("p"))
+                .select("doc_id", "p.kind", "p.start", F.col("p.label").cast("double").alias("label"), "p.x")
+                .filter("label >= 0").withColumn("draw", F.xxhash64("doc_id", "start", "kind")))
+    rows = labelled.orderBy("draw", "doc_id", "start", "kind", "label", "x").limit(max_rows)
     sample = materialize(rows.coalesce(1)).coalesce(1)
     seen = F.pmod(F.col("draw"), F.lit(10)) < 7
-    n, ones = sample.filter(seen).agg(F.count(F.lit(1)), F.sum("label")).first()
+    n, ones, last = sample.filter(seen).agg(F.count(F.lit(1)), F.sum("label"), F.max("draw")).first()
     if not n or ones in (0, n):
         return PiiModel(None, {})
     trees = fit_boosted(materialize(sample.filter(seen).sort("draw", "doc_id", "start", "kind", "label", "x").coalesce(1)
                                     .select("label", array_to_vector("x").alias("x"))).coalesce(1), rounds, depth, seed)
-    rest = sample.filter(~seen).select("kind", "label", "x").toPandas()   # below max_rows rows
+    counts = score_counts(labelled.filter(~(seen & (F.col("draw") <= last))), trees)
     bounds = {}
-    for kind, part in rest.groupby("kind"):
-        score = trees.probability(np.array(part["x"].tolist()))
-        label = part["label"].to_numpy()
-        low, share = isotonic(score, label)
-        enough = np.array([label[score >= s].sum() >= support for s in low])
+    for kind, part in counts.groupby("kind"):
+        part = part.sort_values("step")
+        low, share = isotonic(part["step"].to_numpy(), part["examples"].to_numpy(), part["n"].to_numpy())
+        enough = np.array([part.loc[part["step"] >= s, "examples"].sum() >= support for s in low])
         if (ok := (share >= precision) & enough).any():
-            bounds[int(kind)] = float(low[np.argmax(ok)])
+            bounds[int(kind)] = float(low[np.argmax(ok)]) / STEPS
     return PiiModel(trees, bounds)
 
 
+def score_counts(labelled: DataFrame, trees: BoostedTrees) -> pd.DataFrame:
+    """(kind, step, examples, n) over all rows, scores rounded down: at most (STEPS + 1) rows a kind."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                score = trees.probability(np.array(pdf["x"].tolist()))
+                step = np.floor(score * STEPS).astype(np.int64)
+                one = pd.DataFrame({"kind": pdf["kind"], "step": step, "examples": pdf["label"], "n": 1.0})
+                yield one.groupby(["kind", "step"], as_index=False).sum()
+
+    return (labelled.select("kind", "label", "x").mapInPandas(run, "kind int, step long, examples double, n double")
+            .groupBy("kind", "step").agg(F.sum("examples").alias("examples"), F.sum("n").alias("n")).toPandas())
+
+
 def choose(found: DataFrame, model: PiiModel) -> DataFrame:
     """(doc_id, base, spans): base spans and the accepted proposals, by kind and start."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -314,9 +330,10 @@ def choose(found: DataFrame, model: PiiModel) -> DataFrame:
                 free = [p for p in proposed if p["kind"] in model.bounds and not taken.meets(p["start"], p["end"])]
                 if free:
                     score = model.trees.probability(np.array([p["x"] for p in free]))
-                    ranked = sorted(zip(-score, [(p["start"], p["end"], p["kind"]) for p in free], strict=True))
-                    for low, (start, end, kind) in ranked:
-                        if -low >= model.bounds[kind] and not taken.meets(start, end):
+                    step = np.floor(score * STEPS) / STEPS
+                    ranked = sorted(zip(-score, step, [(p["start"], p["end"], p["kind"]) for p in free], strict=True))
+                    for _, low, (start, end, kind) in ranked:
+                        if low >= model.bounds[kind] and not taken.meets(start, end):
                             taken.add(start, end)
                             all_spans.append((kind, start, end))
                 spans.append([dict(zip(("kind", "start", "end"), s)) for s in sorted(all_spans)])

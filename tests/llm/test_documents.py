@@ -369,6 +369,19 @@ def test_boosted_trees_add_planted_look_alikes(spark):
     assert all(got[i].spans == got[i].base for i, _ in rows)
 
 
+def test_thresholds_count_all_proposals(spark):
+    """A kind that is rare beside the others gets its bound from the whole table, not from the sample."""
+    rng = random.Random(15)
+    digits = lambda n: "".join(rng.choice("123456789") for _ in range(n))
+    rows = [(i, f"order {digits(8)} shipped, order {digits(8)} not") for i in range(2000)]
+    rows += [(5000 + i, f"call +1 ({digits(3)}) {digits(3)}-{digits(4)} today") for i in range(300)]
+    found = pii.materialize(pii.search(spark.createDataFrame(rows, "doc_id long, text string")))
+    phone = pii.KINDS.index("phone")
+    # 30 % of 400 of some 4600 labelled proposals hold far fewer than 100 examples
+    assert phone in pii.fit(found, max_rows=400, support=100).bounds
+    assert phone not in pii.fit(found, max_rows=400, support=700).bounds
+
+
 def test_isotonic_steps_never_fall():
     import numpy as np
 
