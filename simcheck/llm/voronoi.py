@@ -72,9 +72,10 @@ def _cells(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def summaries(vectors: DataFrame, sent, dim: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k members of every cell nearest to its pivot, with their ids.
+    """The k members of every cell nearest to its pivot, with their ids, one member an id.
 
-    Batches keep k a cell before anything is shuffled, so at most pivots * k
+    An id on several rows counts once, over all cells too: all its rows fall
+    away together when a query of that id is asked.  Batches keep k a cell before anything is shuffled, so at most pivots * k
     rows of each task meet in the window and pivots * k rows reach the driver.
     """
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -82,11 +83,15 @@ def summaries(vectors: DataFrame, sent, dim: int, k: int) -> tuple[np.ndarray, n
             x = _matrix(pdf["v"], dim)
             cell, far = _cells(x, sent.value)
             part = pd.DataFrame({"cell": cell, "far": far, "vec_id": pdf["vec_id"], "v": pdf["v"]})
-            yield part.sort_values(["cell", "far", "vec_id"]).groupby("cell").head(k)
+            part = part.sort_values(["cell", "far", "vec_id"]).drop_duplicates(["cell", "vec_id"])
+            yield part.groupby("cell").head(k)
 
-    rows = vectors.mapInPandas(near, "cell int, far double, vec_id long, v array<int>")
+    rows = (vectors.mapInPandas(near, "cell int, far double, vec_id long, v array<int>")
+            .groupBy("cell", "vec_id").agg(F.min(F.struct("far", "v")).alias("best"))
+            .select("cell", "best.far", "vec_id", "best.v"))
     nearest = F.row_number().over(Window.partitionBy("cell").orderBy("far", "vec_id"))
     kept = rows.withColumn("rank", nearest).filter(F.col("rank") <= k).select("vec_id", "v").collect()
+    kept = list({r["vec_id"]: r for r in kept}.values())
     return np.array([r["vec_id"] for r in kept], np.int64), _matrix([r["v"] for r in kept], dim)
 
 
@@ -106,7 +111,7 @@ def query_radii(queries: DataFrame, sent, dim: int, n_groups: int) -> np.ndarray
 def floors(pivots: np.ndarray, radius: np.ndarray, members: np.ndarray, k: int) -> np.ndarray:
     """The score that the k-th best of every query of a group reaches at least.
 
-    One member more is asked for, as a query is no candidate of its own.
+    The members' ids differ; one more is asked for, as a query is no candidate of its own.
     """
     least = pivots @ members.T - radius[:, None] * np.linalg.norm(members, axis=1)[None, :]
     if members.shape[0] <= k:

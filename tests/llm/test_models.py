@@ -112,6 +112,17 @@ def test_top_k(spark, n_pivots, n_groups):
     assert len(got) == len(set(got)) and set(got) == top_by_force(rows)
 
 
+@pytest.mark.parametrize("n_pivots,n_groups", [(64, 16), (6, 4)])
+def test_top_k_with_repeated_query_ids(spark, n_pivots, n_groups):
+    """A query id on eight rows in a tight cell: its own copies must not raise the floor."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(c) for c in 3 * rng.normal(size=8)]) for i in range(1, 48)]
+    rows += [(50, [9.0] * 8)] * 8
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = [tuple(r) for r in voronoi.top_k(d, n_pivots=n_pivots, n_groups=n_groups).collect()]
+    assert len(got) == 5 and set(got) == top_by_force(rows)
+
+
 def test_top_k_of_few_and_large(spark):
     schema = "vec_id long, embedding array<float>"
     assert voronoi.top_k(spark.createDataFrame([], schema)).count() == 0
