@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simcheck.llm import bpe
+from simcheck.llm import bpe, html_extraction, merkle
 from simcheck.llm import exact_dedup as exact
 from simcheck.llm import line_dedup as lines
-from simcheck.llm import mixing, pii, quality, sharding, voronoi
+from simcheck.llm import mixing, pii, quality, sharding, voronoi, whitening
 from simcheck.llm import near_dedup as near
 from simcheck.llm import suffix_dedup as suffix
 from simcheck.llm.common import table
@@ -197,3 +197,59 @@ SELECT d.doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coal
   sha256(unhex(kept)) AS kept_sha256
 FROM d JOIN t ON t.doc_id = d.doc_id LEFT JOIN x ON x.doc_id = d.doc_id
 """
+
+
+@query
+def op11_pointer_jumping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_of(table(spark, sf_dir, "documents"))
+
+
+# the inner list_reduce is one byte of the CRC, bit by bit; runs are the groups of eight, up their members' siblings
+ORACLES["op11_pointer_jumping"] = r"""
+WITH RECURSIVE f AS (SELECT doc_id, lang, text, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-')
+    || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+    || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS front,
+    list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda r, i: xor(r >> 1, 3988292384 * (r & 1)))) AS crc
+  FROM documents),
+h AS (SELECT doc_id, lang, sha256(front || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(front || coalesce(strlen(text) || ':' || CASE WHEN xor(crc, 4294967295) % 3 = 0 THEN
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END, '-')) AS seen FROM f),
+l AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+    count(*) OVER (PARTITION BY lang) AS n FROM h),
+low AS (SELECT tree, 0 AS level, pos, n, leaf AS d FROM l
+  UNION ALL SELECT tree, level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(d, '' ORDER BY pos)) FROM low WHERE n > 1
+  GROUP BY tree, level, pos // 8, n),
+sub AS (SELECT tree, level, d FROM low WHERE n = 1),
+top AS (SELECT 0 AS level, tree AS pos, (SELECT count(*) FROM sub) AS n, d FROM sub
+  UNION ALL SELECT level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(d, '' ORDER BY pos)) FROM top WHERE n > 1
+  GROUP BY level, pos // 8, n),
+nodes AS (SELECT tree, level, pos, n, d FROM low UNION ALL SELECT -1, level, pos, n, d FROM top),
+runs AS (SELECT tree, level, pos // 8 AS up, list(d ORDER BY pos) AS ds FROM nodes WHERE n > 1 GROUP BY ALL),
+sides AS (SELECT nodes.tree, nodes.level, nodes.pos, array_to_string(ds[:pos % 8], '') AS before,
+    array_to_string(ds[pos % 8 + 2:], '') AS after
+  FROM nodes JOIN runs ON runs.tree = nodes.tree AND runs.level = nodes.level AND up = pos // 8),
+walk AS (SELECT tree AS own, pos AS id, tree, 0::BIGINT AS level, pos, n, seen AS d, '' AS proof FROM l
+  UNION ALL SELECT own, id, CASE WHEN w.n > 1 THEN w.tree ELSE -1 END, CASE WHEN w.n > 1 THEN w.level + 1 ELSE 1 END,
+    CASE WHEN w.n > 1 THEN w.pos ELSE w.tree END // 8, (CASE WHEN w.n > 1 THEN w.n ELSE (SELECT count(*) FROM sub) END + 7) // 8,
+    sha256(before || w.d || after), proof || before || after
+  FROM walk w JOIN sides s ON s.tree = CASE WHEN w.n > 1 THEN w.tree ELSE -1 END
+    AND s.level = CASE WHEN w.n > 1 THEN w.level ELSE 0 END AND s.pos = CASE WHEN w.n > 1 THEN w.pos ELSE w.tree END
+  WHERE w.n > 1 OR w.tree >= 0),
+ends AS (SELECT own, id, d, proof FROM walk w WHERE n = 1 AND (tree < 0 OR (SELECT count(*) FROM sub) = 1))
+SELECT doc_id, leaf, sub.d AS subroot, r.d AS root, sha256(proof) AS proof_sha256, ends.d AS folded_root,
+  ends.d = r.d AS verified
+FROM l JOIN sub ON sub.tree = l.tree JOIN ends ON ends.own = l.tree AND ends.id = l.pos
+  CROSS JOIN (SELECT d FROM top WHERE n = 1) r
+"""
+
+
+@query
+def op12_weighted_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_rows(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
