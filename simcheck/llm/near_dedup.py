@@ -29,7 +29,8 @@ Full sets are computed from whole texts, only for nodes that share enough.
 
 Defined results: a text without words (null, empty, blank) has an empty set
 and no link; a text of fewer than five words has its whole sequence as one
-shingle; rows that repeat a doc_id are one node; a null doc_id comes after all
+shingle; rows that repeat a doc_id are one document, which links the sets of
+all its texts; rows without a doc_id are documents of their own, after all
 others; an empty table gives no rows; columns beside doc_id and text are
 ignored.
 """
@@ -45,6 +46,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from simcheck.functions.ordering import global_row_number
 from simcheck.llm.common import small_or_shuffled
 from simcheck.llm.components import components
 from simcheck.llm.textwords import chunks, mix64, per_text, stream, words_of
@@ -114,7 +116,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 sigs = [signature(s) if len(s) else None for s in sets]
                 yield pd.DataFrame({
                     "doc": part["doc"].to_numpy(), "n": [len(s) for s in sets],
-                    "set_id": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
+                    "set_id": [_set_id(s.tobytes()) if len(s) else None for s in sets],
                     "sig": [None if g is None else g.tobytes() for g in sigs],
                     "posts": [None if g is None else _PLACE | g[:POSTED].astype(np.int64) for g in sigs]})
 
@@ -122,18 +124,28 @@ def sketches(docs: DataFrame) -> DataFrame:
             .mapInPandas(run, "doc long, n long, set_id binary, sig binary, posts array<long>"))
 
 
-def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, hashes): the packed shingle set of every node, from its whole text."""
+def full_sets(docs: DataFrame, nodes: DataFrame, several: bool) -> DataFrame:
+    """(node, hashes): the packed shingle set of every node (node, doc, set_id), from its whole text.
+
+    ``several``: a document may have several sets; the node's own is the one with its set_id.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for k in range(0, len(pdf), ROWS_OUT):
                 part = pdf.iloc[k:k + ROWS_OUT]
                 sets = shingle_sets([t.encode() if t else b"" for t in part["text"]])
-                yield pd.DataFrame({"node": part["doc"].to_numpy(), "hashes": [s.tobytes() for s in sets]})
+                packed = [s.tobytes() for s in sets]
+                yield pd.DataFrame({"node": part["node"].to_numpy(), "hashes": packed,
+                                    "own": [_set_id(h) == want for h, want in zip(packed, part["set_id"])] if several else True})
+
+    wanted = small_or_shuffled(nodes.select("node", "doc", "set_id"), 64)
+    found = (docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text").join(wanted, "doc")
+             .select("node", "text", "set_id").mapInPandas(run, "node long, hashes binary, own boolean").filter("own"))
+    return (found.dropDuplicates(["node"]) if several else found).select("node", "hashes")
+
 
-    wanted = small_or_shuffled(nodes.select(F.col("node").alias("doc")), 24)
-    return (docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text").join(wanted, "doc", "left_semi")
-            .mapInPandas(run, "node long, hashes binary"))
+def _set_id(packed: bytes) -> bytes:
+    return hashlib.blake2b(packed, digest_size=16).digest()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -238,9 +250,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     need = least_matches(POSTED, percent / 100)
     match = least_matches(COORDINATES, percent / 100)
     all_docs = materialize(sketches(docs))
-    nodes = materialize(all_docs.filter("set_id is not null").groupBy("set_id")
-                        .agg(F.min("doc").alias("node"), F.first("sig").alias("sig"), F.first("posts").alias("posts"),
-                             F.first("n").alias("n")))
+    several = all_docs.groupBy("doc").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high"),
+                                          F.count("set_id").alias("sets"), F.count(F.lit(1)).alias("all"))
+    several = bool(several.filter("low <> high or (sets > 0 and sets < all)").head(1))
+    nodes = (all_docs.filter("set_id is not null").groupBy("set_id")
+             .agg(F.min("doc").alias("doc"), F.first("sig").alias("sig"), F.first("posts").alias("posts"),
+                  F.first("n").alias("n")))
+    # a set is named by its smallest document, or, where that may have other sets too, by a number in this order
+    nodes = materialize(global_row_number(nodes, ["doc", "set_id"], "node") if several
+                        else nodes.withColumn("node", F.col("doc")))
 
     # nodes that share enough of their posted coordinates, and their posting lists
     posted = nodes.select("node", F.explode("posts").alias("post"))
@@ -249,9 +267,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     alive = materialize(shared.groupBy("node").agg(F.count(F.lit(1)).alias("met"), F.sum("size").alias("weight"))
                         .filter(F.col("met") >= need).select("node", "weight"))
     posts = materialize(shared.join(small_or_shuffled(alive, 32), "node").select("post", "size", "node", "weight"))
-    sets = materialize(full_sets(docs, alive))
+    sets = materialize(full_sets(docs, nodes.select("node", "doc", "set_id").join(
+        small_or_shuffled(alive, 32), "node", "left_semi"), several))
 
-    links, comps = None, None
+    links = same_document(all_docs, nodes) if several else None
+    comps = materialize(components(links)) if several else None
     for order in ("struct(weight, ~node)", "struct(xxhash64(node), node)"):
         found = confirmed(materialize(star_pairs(with_component(posts, comps), order)), sets, percent)
         links = materialize(found if links is None else links.unionByName(found))
@@ -269,13 +289,26 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = materialize(links.unionByName(confirmed(materialize(pairs.distinct()), sets, percent)))
     comps = materialize(components(links))
 
-    by_set = nodes.select("set_id", "node").join(comps, "node", "left") \
-        .select("set_id", F.coalesce("root", "node").alias("comp"))
-    by_set = small_or_shuffled(materialize(by_set), 48)
-    component = F.coalesce("comp", "doc")
-    return (all_docs.select("doc", "n", "set_id").join(by_set, "set_id", "left")
-            .select(F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), F.col("n").alias("n_shingles"),
-                    F.nullif(component, F.lit(NO_ID)).alias("component_id"), (F.col("doc") == component).alias("kept")))
+    by_set = nodes.select("set_id", "doc", "node").join(comps, "node", "left") \
+        .select("set_id", "doc", F.coalesce("root", "node").alias("comp"))
+    if several:
+        first = by_set.groupBy("comp").agg(F.min("doc").alias("first"))
+        by_set = by_set.join(first, "comp").withColumn("comp", F.col("first"))
+    by_set = small_or_shuffled(materialize(by_set.select("set_id", "comp")), 48)
+    rows = all_docs.select("doc", "n", "set_id").join(by_set, "set_id", "left").withColumn("comp", F.coalesce("comp", "doc"))
+    if several:                     # rows of a document go with its texts that have words
+        of_doc = materialize(rows.filter(F.col("doc") != NO_ID).groupBy("doc").agg(F.min("comp").alias("least")))
+        rows = rows.join(small_or_shuffled(of_doc, 24), "doc", "left").withColumn("comp", F.coalesce("least", "comp"))
+    return rows.select(F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), F.col("n").alias("n_shingles"),
+                       F.nullif("comp", F.lit(NO_ID)).alias("component_id"), (F.col("doc") == F.col("comp")).alias("kept"))
+
+
+def same_document(all_docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (u, v) between the sets of one document, each with the document's first; rows without an id have none."""
+    own = materialize(all_docs.filter(f"set_id is not null and doc <> {NO_ID}").select("doc", "set_id").distinct()
+                      .join(nodes.select("set_id", "node"), "set_id").select("doc", "node"))
+    least = materialize(own.groupBy("doc").agg(F.min("node").alias("v"), F.max("node").alias("last")).filter("v <> last"))
+    return materialize(own.join(small_or_shuffled(least, 32), "doc").filter("node <> v").select(F.col("node").alias("u"), "v"))
 
 
 def shared_sizes(sets: DataFrame, percent: int) -> DataFrame:
