@@ -17,15 +17,18 @@ those are kept.  Nothing depends on how full a cell is: a hot cell or one very
 common vector only makes more blocks.
 
 The queries are a stated set (ids divisible by 50); it is spread like any
-table and never collected.  Scores are exact: products are taken in float64
-while all sums stay below 2^53, else in integers.
+table and never collected.  Scores are exact: by the measured size of the
+components, products are taken in float64 while all sums stay below 2^53, in
+64-bit integers while they stay below 2^63, else in Python's integers.
 
 Defined results: vectors that are null, empty, or hold a null or non-finite
-component take no part; a vector shorter than another counts as ending in
-zeros; a null id takes no part; rows that repeat an id are candidates each, but
-not for the query of their own id, which is asked once with its least vector; fewer than k candidates give fewer rows;
-components of more than 2^26 in size are clipped to it, which keeps scores in
-a long up to 2^10 dimensions; columns beside vec_id and embedding are ignored.
+component take no part (nor does one that becomes infinite when scaled); a
+vector shorter than another counts as ending in zeros; a null id takes no part;
+rows that repeat an id are candidates each, but not for a query of their own
+id; different vectors of one query id are asked each, equal ones once; fewer
+than k candidates give fewer rows; a score beyond a long is returned as the
+nearest long, ranked by its true value; columns beside vec_id and embedding are
+ignored.
 """
 
 from __future__ import annotations
@@ -43,18 +46,20 @@ K, STEP = 5, 50
 SCALE = 256
 PIVOTS, GROUPS = 64, 16
 DATA_BLOCK, QUERY_BLOCK = 4096, 512
-LARGEST = 1 << 26
+#: Blocks of data that meet a group's queries under one join key, about.
+BLOCKS_PER_KEY = 16
+#: From here on every double is a whole number.
+WHOLE = float(1 << 53)
+LONG = (1 << 63) - 1
 
 
 def whole_vectors(embeddings: DataFrame) -> DataFrame:
-    """(vec_id, v): integer components of the vectors that take part."""
-    x = F.col("embedding")
-    fine = F.size(x) > 0
-    fine &= ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    scaled = F.transform(x, lambda c: F.greatest(F.lit(-LARGEST), F.least(
-        F.lit(LARGEST), F.floor(c.cast("double") * SCALE))).cast("int"))
+    """(vec_id, v): components of the vectors that take part, whole numbers as doubles."""
+    x = F.transform("embedding", lambda c: c.cast("double") * SCALE)
+    fine = (F.size(x) > 0) & ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
+    whole = F.transform(x, lambda c: F.when(F.abs(c) < WHOLE, F.floor(c).cast("double")).otherwise(c))
     return embeddings.filter("vec_id is not null").filter(F.coalesce(fine, F.lit(False))) \
-        .select("vec_id", scaled.alias("v"))
+        .select("vec_id", whole.alias("v"))
 
 
 def _matrix(rows, dim: int) -> np.ndarray:
@@ -86,7 +91,7 @@ def summaries(vectors: DataFrame, sent, dim: int, k: int) -> tuple[np.ndarray, n
             part = part.sort_values(["cell", "far", "vec_id"]).drop_duplicates(["cell", "vec_id"])
             yield part.groupby("cell").head(k)
 
-    rows = (vectors.mapInPandas(near, "cell int, far double, vec_id long, v array<int>")
+    rows = (vectors.mapInPandas(near, "cell int, far double, vec_id long, v array<double>")
             .groupBy("cell", "vec_id").agg(F.min(F.struct("far", "v")).alias("best"))
             .select("cell", "best.far", "vec_id", "best.v"))
     nearest = F.row_number().over(Window.partitionBy("cell").orderBy("far", "vec_id"))
@@ -119,24 +124,24 @@ def floors(pivots: np.ndarray, radius: np.ndarray, members: np.ndarray, k: int)
     return np.sort(least, axis=1)[:, -(k + 1)] - 1e-6 * (1 + np.abs(least).max())
 
 
-def packed(vectors: DataFrame, choose, dim: int, block: int, names: tuple[str, str]) -> DataFrame:
-    """(grp, ids, values): blocks of vectors; ``choose`` yields (group, rows) of a batch."""
+def packed(vectors: DataFrame, choose, dim: int, block: int, names: tuple[str, str], kind: str) -> DataFrame:
+    """(grp, ids, values, marks): blocks of vectors; ``choose`` yields (group, rows) of a batch."""
     ids, values = names
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             x = _matrix(pdf["v"], dim)
-            own = pdf["vec_id"].to_numpy(np.int64)
+            own, mark = pdf["vec_id"].to_numpy(np.int64), pdf["mark"].to_numpy(np.int64)
             out = []
             for group, at in choose(x):
                 at = at[np.argsort(own[at], kind="stable")]
                 for s in range(0, len(at), block):
                     part = at[s:s + block]
-                    out.append((group, own[part].tobytes(), x[part].astype("<i4").tobytes()))
+                    out.append((group, own[part].tobytes(), x[part].astype(kind).tobytes(), mark[part].tobytes()))
             if out:
-                yield pd.DataFrame(out, columns=["grp", ids, values])
+                yield pd.DataFrame(out, columns=["grp", ids, values, "marks"])
 
-    return vectors.mapInPandas(run, f"grp int, {ids} binary, {values} binary")
+    return vectors.mapInPandas(run, f"grp int, {ids} binary, {values} binary, marks binary")
 
 
 def best_of(scores: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +151,7 @@ def best_of(scores: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int) -> tup
         s = scores[r]
         ok = np.flatnonzero(ids != own[r])
         if len(ok) > k:
-            kth = np.partition(s[ok], len(ok) - k)[len(ok) - k]
+            kth = (np.sort(s[ok]) if s.dtype == object else np.partition(s[ok], len(ok) - k))[len(ok) - k]
             above, equal = ok[s[ok] > kth], ok[s[ok] == kth]
             ok = np.concatenate((above, equal[:k - len(above)]))
         left.append(np.full(len(ok), r))
@@ -159,13 +164,14 @@ def top_k(embeddings: DataFrame, k: int = K, step: int = STEP, n_pivots: int = P
     """(query_id, rank, vec_id, score) of the k best candidates of each query."""
     spark = embeddings.sparkSession
     vectors = materialize(whole_vectors(embeddings))
-    queries = vectors.filter(F.col("vec_id") % step == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    dim, size = vectors.agg(F.max(F.size("v")), F.max(F.aggregate(
-        "v", F.lit(0), lambda m, c: F.greatest(m, F.abs(c))))).first()
-    schema = "query_id long, vec_id long, score long"
+    queries = vectors.filter(F.col("vec_id") % step == 0).distinct()
+    n, dim, size = vectors.agg(F.count(F.lit(1)), F.max(F.size("v")), F.max(F.aggregate(
+        "v", F.lit(0.0), lambda m, c: F.greatest(m, F.abs(c))))).first()
+    schema = "query_id long, mark long, vec_id long, score long, place string"
     if dim is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    exact_float = dim * size * size < 1 << 53
+    most = dim * int(size) ** 2                              # no score is larger in size
+    kind = "<i4" if size < 1 << 31 else "<f8"
 
     def sample(rows: DataFrame, n: int) -> np.ndarray:
         drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(n).collect()      # n vectors at most
@@ -178,13 +184,16 @@ def top_k(embeddings: DataFrame, k: int = K, step: int = STEP, n_pivots: int = P
     sent_pivots, sent_centres = sc.broadcast(pivots), sc.broadcast(centres)
     _, members = summaries(vectors, sent_pivots, dim, k + 1)
     radius = query_radii(queries, sent_centres, dim, len(centres))
-    low = floors(centres, np.maximum(radius, 0), members, k)
+    if most < 10 ** 300:
+        low = floors(centres, np.maximum(radius, 0), members, k)
+    else:                                                    # bounds would overflow: nothing is pruned
+        radius, low = np.where(radius < 0, -1.0, 0.0), np.full(len(centres), -np.inf)
 
     def to_groups(x: np.ndarray):
         """Groups that a vector can reach the floor of."""
         ceiling = x @ centres.T + np.linalg.norm(x, axis=1)[:, None] * radius[None, :]
         for g in np.flatnonzero(radius >= 0):
-            at = np.flatnonzero(ceiling[:, g] + 1e-6 * (1 + np.abs(ceiling[:, g])) >= low[g])
+            at = np.flatnonzero(~(ceiling[:, g] + 1e-6 * (1 + np.abs(ceiling[:, g])) < low[g]))
             if len(at):
                 yield int(g), at
 
@@ -193,20 +202,34 @@ def top_k(embeddings: DataFrame, k: int = K, step: int = STEP, n_pivots: int = P
         for g in np.unique(cell):
             yield int(g), np.flatnonzero(cell == g)
 
-    data = packed(vectors, to_groups, dim, DATA_BLOCK, ("ids", "vs"))
-    asked = packed(queries, own_group, dim, QUERY_BLOCK, ("q_ids", "qs"))
+    # a group's blocks of data are dealt over several keys, each of which gets the group's queries
+    deals = max(1, n // (DATA_BLOCK * BLOCKS_PER_KEY))
+    data = packed(vectors.withColumn("mark", F.lit(0).cast("long")), to_groups, dim, DATA_BLOCK, ("ids", "vs"), kind) \
+        .drop("marks").withColumn("deal", F.pmod(F.xxhash64("ids"), F.lit(deals)))
+    asked = packed(queries.withColumn("mark", F.xxhash64("v")), own_group, dim, QUERY_BLOCK, ("q_ids", "qs"), kind) \
+        .withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(deals - 1).cast("long"))))
+
+    def numbers(raw: bytes, rows: int) -> np.ndarray:
+        x = np.frombuffer(raw, kind).reshape(rows, dim)
+        if most < 1 << 53:
+            return x.astype(np.float64)
+        return x.astype(np.int64) if most < LONG else np.vectorize(int, otypes=[object])(x)
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kind = np.float64 if exact_float else np.int64
+        width = len(str(2 * most))
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 ids, q_ids = np.frombuffer(r.ids, np.int64), np.frombuffer(r.q_ids, np.int64)
-                v = np.frombuffer(r.vs, "<i4").reshape(len(ids), dim).astype(kind)
-                q = np.frombuffer(r.qs, "<i4").reshape(len(q_ids), dim).astype(kind)
-                scores = (q @ v.T).astype(np.int64)
+                scores = numbers(r.qs, len(q_ids)) @ numbers(r.vs, len(ids)).T
                 row, col = best_of(scores, q_ids, ids, k)
-                yield pd.DataFrame({"query_id": q_ids[row], "vec_id": ids[col], "score": scores[row, col]})
-
-    found = data.join(asked, "grp").select("ids", "vs", "q_ids", "qs").mapInPandas(solve, schema)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+                best, place = scores[row, col], [None] * len(row)
+                if most >= LONG:                             # the true order, as text of one width
+                    place = [str(s + most).zfill(width) for s in best]
+                    best = [min(max(s, -LONG - 1), LONG) for s in best]
+                yield pd.DataFrame({"query_id": q_ids[row], "mark": np.frombuffer(r.marks, np.int64)[row],
+                                    "vec_id": ids[col], "score": np.asarray(best, np.int64), "place": pd.Series(place, dtype=object)})
+
+    found = data.join(asked, ["grp", "deal"]).select("ids", "vs", "q_ids", "qs", "marks").mapInPandas(solve, schema)
+    rank = F.row_number().over(Window.partitionBy("query_id", "mark").orderBy(
+        F.col("place").desc(), F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
