@@ -225,7 +225,9 @@ class LineIndex:
         return references(docs, self.min_points, self.n_shards)
 
     def insert(self, docs: DataFrame) -> None:
-        self._append(self.refs(docs).distinct() if self.batches else self.refs(docs), 1)
+        """Add documents; a document stands once in a batch, whether or not rows repeat it."""
+        again = docs.groupBy(doc_key()).count().filter("count > 1").head(1)
+        self._append(self.refs(docs).distinct() if again else self.refs(docs), 1)
 
     def delete(self, docs: DataFrame) -> None:
         """Forget documents; ``docs`` holds them as they were inserted."""
@@ -247,16 +249,15 @@ class LineIndex:
                 was.join(shared, ["shard", "key"], "left_anti")))
 
     def _count(self) -> DataFrame:
-        """Exact table (shard, key, n_docs, min_doc) of the documents that are there now."""
-        rows = self.spark.read.parquet(*[f"{self.path}/refs/batch={b}" for b in range(self.batches)])
+        """Exact table (shard, key, n_docs, min_doc) of the documents that are there now.
+
+        What the last batch that names a document and key did to them holds.
+        """
+        rows = (self.spark.read.option("basePath", f"{self.path}/refs")
+                .parquet(*[f"{self.path}/refs/batch={b}" for b in range(self.batches)]))
         if self.batches > 1:
-            rows = (rows.groupBy("shard", "key", "doc").agg(F.sum("step").alias("live")).filter("live > 0"))
-            return rows.groupBy("shard", "key").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc").alias("min_doc"))
-        # one batch: a document has a key once, unless rows repeat the document
-        return (rows.groupBy("shard", "key")
-                .agg(F.count(F.lit(1)).alias("n_rows"), F.min("doc").alias("min_doc"), F.max("doc").alias("max_doc"))
-                .select("shard", "key", F.when(F.col("min_doc") == F.col("max_doc"), 1)
-                        .otherwise(F.col("n_rows")).cast("long").alias("n_docs"), "min_doc"))
+            rows = rows.groupBy("shard", "key", "doc").agg(F.max_by("step", "batch").alias("last")).filter("last > 0")
+        return rows.groupBy("shard", "key").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc").alias("min_doc"))
 
     def drops(self, refs: DataFrame) -> DataFrame:
         """(doc, keys): the line keys that each of the documents loses."""
