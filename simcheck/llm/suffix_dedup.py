@@ -26,9 +26,10 @@ while their ids fit a measured broadcast, else of all.
 
 Defined results: a null text is empty; texts below 100 bytes lose nothing;
 spans never cross documents; a null doc_id comes after all others; rows that
-repeat a doc_id are one document, so that a place found in one is taken out
-of each; an empty table gives no rows; columns beside doc_id and text are
-ignored.  Very long texts are read in pieces with an overlap.
+repeat a doc_id with another text (or lack one) are documents of their own, in
+the order of their texts' digests; rows equal in both are one document and get
+the same result; an empty table gives no rows; columns beside doc_id and text
+are ignored.  Very long texts are read in pieces with an overlap.
 """
 
 from __future__ import annotations
@@ -41,8 +42,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from simcheck.functions.ordering import global_row_number
 from simcheck.llm.bwt import repeated_blocks
-from simcheck.llm.common import BROADCAST_BYTES, small_or_shuffled
+from simcheck.llm.common import BROADCAST_BYTES, small_or_shuffled, text_of
 from simcheck.llm.textwords import mix64
 from simcheck.session import materialize
 
@@ -349,8 +351,32 @@ def _arrays(rows: DataFrame, **columns: str) -> DataFrame:
     return packed.select("doc", *[F.col(f"all.{c}").alias(name) for c, name in columns.items()])
 
 
+def ambiguous_ids(docs: DataFrame) -> bool:
+    """Whether an id (or its lack) stands for different texts, or NO_ID is an id."""
+    by_id = (docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.col("doc_id").alias("id"),
+                         F.md5(text_of().cast("binary")).alias("digest"))
+             .groupBy("doc").agg(F.min("digest").alias("low"), F.max("digest").alias("high"), F.max("id").alias("id")))
+    return bool(by_id.filter(f"low <> high or id = {NO_ID}").head(1))
+
+
 def suffix_dedup(docs: DataFrame, n_buckets: int | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) of every row; kept is binary."""
+    docs = docs.select("doc_id", "text")
+    if not ambiguous_ids(docs):
+        return _by_document(docs, n_buckets)
+    # every different row is numbered in the order of ids and takes its number as id
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("text"), F.md5(text_of().cast("binary")).alias("digest"))
+    numbers = materialize(global_row_number(rows.select("id", "digest").distinct(),
+                                            [F.asc_nulls_last("id"), F.asc("digest")], "doc_id"))
+    of = small_or_shuffled(numbers.select(F.col("id").alias("n_id"), F.col("digest").alias("n_digest"), "doc_id"), 64)
+    numbered = materialize(rows.join(of, F.col("id").eqNullSafe(F.col("n_id")) & (F.col("digest") == F.col("n_digest")))
+                           .select("doc_id", "text"))
+    done = _by_document(numbered, n_buckets).withColumnRenamed("doc_id", "number")
+    back = small_or_shuffled(numbers.select(F.col("doc_id").alias("number"), F.col("id").alias("doc_id")), 24)
+    return done.join(back, "number").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept")
+
+
+def _by_document(docs: DataFrame, n_buckets: int | None) -> DataFrame:
     spark: SparkSession = docs.sparkSession
     n_buckets = n_buckets or BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     anchored = materialize(shared_anchors(docs, n_buckets))
