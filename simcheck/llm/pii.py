@@ -93,7 +93,8 @@ def accepted(kind: str, match: str) -> bool:
     if kind == "email":
         return True
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in match.split("."))
+        parts = [p.lstrip("0") or "0" for p in match.split(".")]
+        return all(len(p) <= 3 and int(p) <= 255 for p in parts)
     digits = "".join(c for c in match if "0" <= c <= "9")
     if kind == "card":
         return 16 <= len(digits) <= 19 and luhn(digits)
