@@ -7,8 +7,12 @@ edited slots move.  The map has one row per slot: its size is set by
 ``n_slots``, never by the data, which bounds what the driver sees and what is
 broadcast.
 
+A record's slot follows from its id, size and checksum, so rows that share an id
+spread; more than ``HOT_ROWS`` equal rows (or a ``HOT_SHARE``-th of the table)
+are dealt over slots by their place in it.
+
 Defined results: a null text has size 1 (no bytes, plus one) and the checksum
-of an empty text; a null doc_id is hashed by its text; repeated rows keep one
+of an empty text; a null doc_id is hashed like an id; repeated rows keep one
 position each; an empty table gives no rows and a map without load; columns
 beside doc_id and text are ignored.
 """
@@ -24,20 +28,28 @@ from simcheck.llm.common import text_of
 from simcheck.session import materialize, scratch_dir
 
 N_SLOTS = 4096
+HOT_ROWS, HOT_SHARE = 1000, 1000
+RECORD = ("doc_id", "size", "text_crc32")
 MAP_SCHEMA = "virtual_slot int, shard int, slot_bytes long, slot_rows long, first_position long"
 
 
-def virtual_slot(n_slots: int = N_SLOTS) -> Column:
-    key = F.coalesce(F.col("doc_id").cast("string"), text_of())
-    return F.pmod(F.xxhash64(key), F.lit(n_slots)).cast("int")
+def virtual_slot(dealt: Column, n_slots: int = N_SLOTS) -> Column:
+    return F.pmod(F.xxhash64(*RECORD, dealt), F.lit(n_slots)).cast("int")
 
 
 def sized(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
     """(doc_id, size, text_crc32, virtual_slot), written once without the texts."""
-    return materialize(docs.select(
+    rows = materialize(docs.select(
         "doc_id", (F.octet_length(text_of()) + 1).cast("long").alias("size"),
-        F.crc32(F.encode(text_of(), "UTF-8")).alias("text_crc32"),
-        virtual_slot(n_slots).alias("virtual_slot")))
+        F.crc32(F.encode(text_of(), "UTF-8")).alias("text_crc32")))
+    often = materialize(rows.groupBy(*RECORD).count().filter(
+        F.col("count") > max(HOT_ROWS, rows.count() // HOT_SHARE))
+        .select(F.xxhash64(*RECORD).alias("often")).distinct())      # at most HOT_SHARE rows
+    if not often.head(1):
+        return rows.withColumn("virtual_slot", virtual_slot(F.lit(0).cast("long"), n_slots))
+    dealt = F.when(F.col("often").isNotNull(), F.monotonically_increasing_id()).otherwise(F.lit(0).cast("long"))
+    return materialize(rows.join(F.broadcast(often), F.xxhash64(*RECORD) == F.col("often"), "left")
+                       .withColumn("virtual_slot", virtual_slot(dealt, n_slots)).drop("often"))
 
 
 def slot_loads(rows: DataFrame, n_slots: int = N_SLOTS) -> list[tuple[int, int]]:
