@@ -39,7 +39,6 @@ from simcheck.session import materialize
 WEIGHTS = (3, 1, 2)
 TILTS = (-0.5, 0.0, 0.5)
 BUDGET, CAP = 1.5, 2.0
-NO_ID = (1 << 63) - 1
 
 
 def word_count(col: str = "text") -> Column:
@@ -130,20 +129,25 @@ def assemble(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     texts stay whole.  Rows that share a doc_id are told apart by source and
     text; equal ones are interchangeable.
     """
-    # Rows are numbered within an id and joined on the id; the number is a
-    # condition beside the key, so the join keeps the windows' partitioning and
-    # texts are shuffled once before the final sort.
-    def numbered(df: DataFrame, name: str, *order) -> DataFrame:
-        key = F.coalesce("doc_id", F.lit(NO_ID))
-        return (df.withColumn(f"{name}_id", key)
-                .withColumn(f"{name}_nth", F.row_number().over(Window.partitionBy(f"{name}_id").orderBy(*order))))
+    # Equal rows are numbered and joined on what makes them equal; the number is
+    # a condition beside the key, so the join keeps the windows' partitioning and
+    # texts are shuffled once before the final sort.  The row itself is one
+    # column, so its columns may have any name.
+    def numbered(df: DataFrame, key: str, nth: str, order: list[str]) -> DataFrame:
+        return df.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+
+    def same(text_key: Column) -> Column:
+        part = [F.coalesce(F.concat(F.char_length(c).cast("string"), F.lit(":"), c), F.lit("-"))
+                for c in (F.col("doc_id").cast("string"), F.col("source"))]
+        return F.md5(F.concat(*part, text_key.cast("string")).cast("binary"))
 
     passes = F.filter(F.array(F.when((F.col("first") > 0) & (F.col("first") * 2 >= F.col("size")), F.col("position")),
                               F.when((F.col("second") > 0) & (F.col("second") * 2 >= F.col("size")), F.col("second_position"))),
                       lambda p: p.isNotNull())
-    due_rows = (numbered(mixed, "__m", "source", "text_key", "position", "second_position")
-                .select("__m_id", "__m_nth", passes.alias("__passes")).filter(F.size("__passes") > 0))
-    return (numbered(docs, "__d", "source", F.xxhash64(text_of()))
-            .join(due_rows, (F.col("__d_id") == F.col("__m_id")) & (F.col("__d_nth") - F.col("__m_nth") == 0))
-            .withColumn("__position", F.explode("__passes"))
-            .orderBy("__position", "doc_id").select(*docs.columns))
+    due_rows = (numbered(mixed.withColumn("m_key", same(F.col("text_key"))), "m_key", "m_nth", ["position", "second_position"])
+                .select("m_key", "m_nth", passes.alias("passes")).filter(F.size("passes") > 0))
+    whole = docs.select(same(F.xxhash64(text_of())).alias("d_key"), F.struct("*").alias("row"))
+    return (numbered(whole, "d_key", "d_nth", ["d_key"])
+            .join(due_rows, (F.col("d_key") == F.col("m_key")) & (F.col("d_nth") - F.col("m_nth") == 0))
+            .select("row", F.explode("passes").alias("position"))
+            .orderBy("position", "row.doc_id").select("row.*"))
