@@ -53,7 +53,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup: the text is what is left of it, n_chars its new length."""
     other = [c for c in docs.columns if c.lower() not in ("doc_id", "text")]
-    done = line_dedup.line_dedup(docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *other).alias("row")))
+    row = F.struct(*[F.col(f"`{c}`") for c in other]) if other else F.lit(0)
+    done = line_dedup.line_dedup(docs.select("doc_id", "text", row.alias("row")))
     cut = F.col("n_dropped") > 0
     new = {"doc_id": F.col("doc_id"), "text": F.when(cut, F.col("kept_text")).otherwise(F.col("text"))}
     new |= {c: F.col("row")[c] for c in other}
@@ -66,10 +67,11 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """MinHash near-dedup at similarity 0.8: the document with the smallest id of each component stays."""
     found = near_dedup.near_duplicates(docs.select("doc_id", "text"), percent=NEAR_PERCENT)
-    gone = materialize(found.filter("not kept").select(F.coalesce("doc_id", F.lit(near_dedup.NO_ID)).alias("__gone"))
+    gone = materialize(found.filter("not kept").select(F.coalesce("doc_id", F.lit(near_dedup.NO_ID)).alias("gone"))
                        .distinct())
-    key = F.coalesce("doc_id", F.lit(near_dedup.NO_ID))
-    return docs.join(small_or_shuffled(gone, 24), key == F.col("__gone"), "left_anti")
+    key = F.coalesce("row.doc_id", F.lit(near_dedup.NO_ID))
+    rows = docs.select(F.struct("*").alias("row"))
+    return rows.join(small_or_shuffled(gone, 24), key == F.col("gone"), "left_anti").select("row.*")
 
 
 @stage
