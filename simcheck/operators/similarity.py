@@ -1,4 +1,4 @@
-"""Exact cosine similarity operators without cross joins (J1, J2, J8 kernels).
+"""Exact cosine similarity operators without cross joins.
 
 A cosine predicate has no equi-key, so Catalyst would plan it as a
 BroadcastNestedLoopJoin or a CartesianProduct.  These operators supply the
@@ -10,10 +10,7 @@ physical strategy themselves:
   emits it once, so at most k rows per query and partition are shuffled.  A
   larger query side is cut into parts that each fit the guard, and the corpus
   is scanned once per part; the corpus is never copied or shuffled.
-* **pair kernel** — identical vectors are one class; classes get block ids and
-  each pair of blocks meets in one ``cogroup`` group of bounded size.  Only
-  class pairs above the threshold leave the task, and they are expanded to
-  their members afterwards.
+* **pairs** — the prefix-filter join of ``prefix_join``.
 
 Scores are cosines computed in float64 and rounded to 6 decimals before they
 are ranked or compared with a threshold, so ties (exact copies) are broken by
@@ -33,12 +30,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from simcheck import params as P
-from simcheck.functions import vectors as V
-from simcheck.session import materialize
+from simcheck.operators import prefix_join as J
 
 SCORE_DECIMALS = 6
-# float32 screening margin before the exact float64 check in all-pairs kernels
-SCREEN_MARGIN = 1e-4
 # largest score matrix (entries) a kernel holds at once
 MAX_MATRIX_ENTRIES = 8_000_000
 
@@ -151,125 +145,23 @@ def _scan_top_k(qpdf, c, q_keys, c_keys, k, threshold, q_filter, c_filter, schem
     return c.mapInPandas(kernel, schema)
 
 
-def vector_classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Classes (cd, ci, vec) of identical vectors, named by the first (doc, idx), and
-    members (cd, ci, doc, idx), both written once."""
-    s = materialize(vectors)
-    classes = materialize(s.groupBy("vec").agg(F.min(F.struct("doc", "idx")).alias("c"))
-                          .select(F.col("c.doc").alias("cd"), F.col("c.idx").alias("ci"), "vec"))
-    return classes, materialize(s.join(classes, "vec").select("cd", "ci", "doc", "idx"))
-
-
-def side(df: DataFrame, tag: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Columns renamed for one side of a self-join."""
-    return df.select(*[F.col(c).alias(c if c in keep else f"{c}_{tag}") for c in df.columns])
-
-
-def expand_classes(linked: DataFrame, classes: DataFrame, members: DataFrame, keep) -> DataFrame:
-    """Pairs of rows of different documents from linked class pairs.
-
-    ``linked``: (cd_a, ci_a, cd_b, ci_b, score), each pair of classes once.
-    Every class is linked with itself; ``keep`` is the condition on the score.
-    """
-    keys = ["cd_a", "ci_a", "cd_b", "ci_b"]
-    own = classes.select(F.col("cd").alias("cd_a"), F.col("ci").alias("ci_a"), F.col("cd").alias("cd_b"),
-                         F.col("ci").alias("ci_b"), F.round(V.cosine("vec", "vec"), SCORE_DECIMALS).alias("score"))
-    pairs = (linked.select(*keys, "score").unionByName(own).where(keep(F.col("score")))
-             .join(side(members, "a"), keys[:2]).join(side(members, "b"), keys[2:]))
-    same = (F.col("cd_a") == F.col("cd_b")) & (F.col("ci_a") == F.col("ci_b"))
-    # within one class both orders come out of the join, across classes one does
-    pairs = pairs.where(F.when(same, F.col("doc_a") < F.col("doc_b")).otherwise(F.col("doc_a") != F.col("doc_b")))
-    swap = F.col("doc_a") > F.col("doc_b")
-    pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
-    return pairs.select(pick("doc_a", "doc_b").alias("doc_a"), pick("idx_a", "idx_b").alias("idx_a"),
-                        pick("doc_b", "doc_a").alias("doc_b"), pick("idx_b", "idx_a").alias("idx_b"), "score")
-
-
-def similar_pairs(sentences: DataFrame, doc_col: str, idx_col: str, threshold: float,
-                  vec: str = "vec", blocks: int | None = None,
+def similar_pairs(sentences: DataFrame, doc_col: str, idx_col: str, threshold: float, vec: str = "vec",
                   strict: bool = False) -> DataFrame:
     """All sentence pairs of *different* documents with cosine >= threshold.
 
-    Output ``doc_a, idx_a, doc_b, idx_b, score`` with ``doc_a < doc_b``.
-    Identical vectors are scored once, as a class.  The self-join of classes
-    is blocked: block b is paired with every block j >= b inside one cogroup
-    group, so each unordered pair is scored exactly once and no task holds
-    more than two blocks.  A float32 matmul screens, float64 confirms.
-    ``strict`` keeps ``score > threshold`` instead of ``>=``.
+    Output ``doc_a, idx_a, doc_b, idx_b, score`` with ``doc_a < doc_b``, found by
+    the prefix-filter join; ``strict`` keeps ``score > threshold`` instead of ``>=``.
     """
-    classes, members = vector_classes(sentences.select(F.col(doc_col).alias("doc"), F.col(idx_col).alias("idx"),
-                                                       F.col(vec).alias("vec")))
-    s = classes.select(F.col("cd").alias("doc"), F.col("ci").alias("idx"), F.col("vec").alias("__vec"))
-    if blocks is None:
-        _, nbytes = _side_bytes(s, "__vec")
-        blocks = max(4, math.ceil(nbytes / P.BLOCK_TARGET_BYTES))
-    nb = int(blocks)
-    s = s.withColumn("__b", F.pmod(F.xxhash64("doc", "idx"), F.lit(nb)))
-    left = (s.withColumn("__j", F.explode(F.sequence(F.col("__b"), F.lit(nb - 1))))
-            .select(F.col("__b").alias("__pi"), F.col("__j").alias("__pj"), "doc", "idx", "__vec"))
-    # distinct names on the right: a self-cogroup must not share attribute ids
-    right = (s.withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__b"))))
-             .select(F.col("__i").alias("__ri"), F.col("__b").alias("__rj"),
-                     F.col("doc").alias("rdoc"), F.col("idx").alias("ridx"),
-                     F.col("__vec").alias("__rvec")))
-    schema = T.StructType([
-        T.StructField("cd_a", sentences.schema[doc_col].dataType),
-        T.StructField("ci_a", sentences.schema[idx_col].dataType),
-        T.StructField("cd_b", sentences.schema[doc_col].dataType),
-        T.StructField("ci_b", sentences.schema[idx_col].dataType),
-        T.StructField("score", T.DoubleType()),
-    ])
-    cols = schema.fieldNames()
+    found = J.vector_classes(sentences, [doc_col, idx_col], vec)
+    return J.expand(J.class_links(found, threshold, strict), found, own_links=threshold < 1 or not strict)
+
 
-    def kernel(key, lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
-        if len(lpdf) == 0 or len(rpdf) == 0:
-            return pd.DataFrame(columns=cols)
-        pi, pj = int(key[0]), int(key[1])
-        if pi == pj:
-            # same rows on both sides: align their order so self-pairs sit on the diagonal
-            lpdf = lpdf.sort_values(["doc", "idx"], kind="stable").reset_index(drop=True)
-            rpdf = rpdf.sort_values(["rdoc", "ridx"], kind="stable").reset_index(drop=True)
-        L = _matrix(lpdf["__vec"])
-        R = _matrix(rpdf["__rvec"])
-        Ln = L / np.maximum(np.linalg.norm(L, axis=1, keepdims=True), 1e-300)
-        Rn = R / np.maximum(np.linalg.norm(R, axis=1, keepdims=True), 1e-300)
-        L32, R32 = Ln.astype(np.float32), Rn.astype(np.float32)
-        ld, li = lpdf["doc"].to_numpy(), lpdf["idx"].to_numpy()
-        rd, ri = rpdf["rdoc"].to_numpy(), rpdf["ridx"].to_numpy()
-        outs = []
-        chunk = max(1, MAX_MATRIX_ENTRIES // max(1, len(rpdf)))
-        for s0 in range(0, len(lpdf), chunk):
-            if pi == pj:
-                # same rows on both sides: only columns j >= s0, and inside the
-                # chunk's own square only j > i, so each unordered pair is scored once
-                sc = L32[s0:s0 + chunk] @ R32[s0:].T
-                n = sc.shape[0]
-                sc[:, :n][np.tril_indices(n)] = -1.0
-                col0 = s0
-            else:
-                sc = L32[s0:s0 + chunk] @ R32.T
-                col0 = 0
-            # row maxima first: most rows have no partner, so only candidate
-            # rows are scanned element by element
-            rows = np.nonzero(sc.max(axis=1) >= threshold - SCREEN_MARGIN)[0]
-            if len(rows) == 0:
-                continue
-            a_rel, b = np.nonzero(sc[rows] >= threshold - SCREEN_MARGIN)
-            a = rows[a_rel] + s0
-            b = b + col0
-            exact = np.round(np.einsum("ij,ij->i", L[a], R[b])
-                             / (np.linalg.norm(L[a], axis=1) * np.linalg.norm(R[b], axis=1)),
-                             SCORE_DECIMALS)
-            ok = exact > threshold if strict else exact >= threshold
-            a, b, exact = a[ok], b[ok], exact[ok]
-            outs.append(pd.DataFrame({"cd_a": ld[a], "ci_a": li[a], "cd_b": rd[b], "ci_b": ri[b], "score": exact}))
-        if not outs:
-            return pd.DataFrame(columns=cols)
-        return pd.concat(outs, ignore_index=True)
-
-    linked = materialize(left.groupBy("__pi", "__pj").cogroup(right.groupBy("__ri", "__rj"))
-                         .applyInPandas(kernel, schema))
-    return expand_classes(linked, classes, members, lambda c: c > threshold if strict else c >= threshold)
+def pair_matches(sentences: DataFrame, doc_col: str, idx_col: str, threshold: float, vec: str = "vec",
+                 strict: bool = False) -> DataFrame:
+    """(doc1, doc2, matches), doc1 < doc2: sentences of doc2 with a match in doc1."""
+    found = J.vector_classes(sentences, [doc_col, idx_col], vec)
+    links = J.class_links(found, threshold, strict, scores=False)
+    return J.document_matches(links, found, own_links=threshold < 1 or not strict)
 
 
 def best_per_group(queries: DataFrame, corpus: DataFrame, q_keys: list[str], group_col: str,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from simcheck import params as P
 from simcheck.operators import sentences as S
-from simcheck.operators.similarity import best_per_group, similar_pairs
+from simcheck.operators.similarity import best_per_group, pair_matches
 from simcheck.plans import check as C
 from simcheck.plans import sql as Q
 from simcheck.plans import index as IX
@@ -27,9 +27,7 @@ def pair_counts(spark, sf_dir, threshold: float = P.MATCH_THRESHOLD, strict: boo
     """(doc1, doc2, matches, n2): sentences of doc2 whose best match in doc1 reaches t."""
     cv = IX.corpus_table(spark, sf_dir)
     cs = cv.select("doc_id", "sentence_index")
-    pairs = similar_pairs(cv, "doc_id", "sentence_index", threshold, strict=strict)
-    m = (pairs.select(F.col("doc_a").alias("doc1"), F.col("doc_b").alias("doc2"), "idx_b")
-         .distinct().groupBy("doc1", "doc2").agg(F.count(F.lit(1)).alias("matches")))
+    m = pair_matches(cv, "doc_id", "sentence_index", threshold, strict=strict)
     return m.join(_doc_totals(cs).withColumnRenamed("doc_id", "doc2"), "doc2")
 
 

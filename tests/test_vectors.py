@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from simcheck.functions import vectors as V
-from simcheck.operators.similarity import best_per_group, nearest, similar_pairs
+from simcheck.operators.similarity import best_per_group, nearest
 
 
 def _frame(spark, mat, prefix, extra=None):
@@ -72,23 +72,6 @@ def test_nearest_threshold_and_filter(spark, data):
         assert r["score"] >= 0.5 and abs(s[r["q_idx"], r["c_idx"]] - r["score"]) < 1e-9
 
 
-def test_similar_pairs_equals_dense_matrix(spark, data):
-    _, c = data
-    rng = np.random.default_rng(3)
-    c = np.vstack([c, c[:20] + 0.05 * rng.standard_normal((20, 16)).astype(np.float32)])
-    cdf = spark.createDataFrame([(i // 4, i, [float(x) for x in v]) for i, v in enumerate(c)],
-                                "doc long, idx int, vec array<float>")
-    got = {(r["doc_a"], r["idx_a"], r["doc_b"], r["idx_b"])
-           for r in similar_pairs(cdf, "doc", "idx", 0.9, blocks=3).collect()}
-    s = _cos(c, c)
-    want = set()
-    for i in range(len(c)):
-        for j in range(len(c)):
-            if i // 4 < j // 4 and s[i, j] >= 0.9:
-                want.add((i // 4, i, j // 4, j))
-    assert got == want and len(want) > 0
-
-
 def test_top_k_emits_k_rows_per_query_and_partition(spark, data, monkeypatch):
     """Whatever the number of batches and chunks, a partition yields its running top-k once."""
     from simcheck.operators import similarity as M
