@@ -14,12 +14,13 @@ that is repeated after a crash overwrites what it left.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from simcheck.functions.ordering import global_running_sum
 from simcheck.operators import sentences as S
 from simcheck.session import materialize
+from simcheck.sources.store import BatchStore
 
 
 def file_listing(documents: DataFrame) -> DataFrame:
@@ -70,7 +71,7 @@ def stored_names(listing: DataFrame, registry: DataFrame) -> DataFrame:
     return listing.join(registry.select("doc_id"), "doc_id", "left_semi").select("filename").distinct()
 
 
-class CorpusStore:
+class CorpusStore(BatchStore):
     """Document, sentence and vector tables under one folder, one commit marker per batch."""
 
     SCHEMAS = {
@@ -80,31 +81,6 @@ class CorpusStore:
         "vectors": "sentence_id long, pdf_id long, sentence_index long, sentence_vector array<float>",
     }
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _folders(self, path: str) -> list[str]:
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
-
-    def batches(self) -> list[int]:
-        """Numbers of the committed batches."""
-        return sorted(int(n.removeprefix("batch=")) for n in self._folders(f"{self.path}/commits")
-                      if "_SUCCESS" in self._folders(f"{self.path}/commits/{n}"))
-
-    def read(self, table: str) -> DataFrame:
-        """One table over the committed batches."""
-        paths = [f"{self.path}/{table}/batch={b}" for b in self.batches()]
-        if not paths:
-            return self.spark.createDataFrame([], self.SCHEMAS[table])
-        return self.spark.read.schema(self.SCHEMAS[table]).parquet(*paths)
-
-    def _write(self, rows: DataFrame, table: str, batch: int) -> DataFrame:
-        where = f"{self.path}/{table}/batch={batch}"
-        rows.write.mode("overwrite").parquet(where)
-        return self.spark.read.parquet(where)
-
     def append(self, batch: int, docs: DataFrame, encoder=None) -> None:
         """Add the new files among ``docs`` (doc_id, text, source); a committed batch is left as it is."""
         if batch in self.batches():
@@ -118,4 +94,4 @@ class CorpusStore:
                            .withColumn("created_at", F.current_timestamp()), "documents", batch)
         srows = self._write(sentence_rows(rows, sent), "sentences", batch)
         self._write(vector_rows(srows, encoder), "vectors", batch)
-        self._write(self.spark.createDataFrame([(batch,)], "n long"), "commits", batch)
+        self._commit(batch)

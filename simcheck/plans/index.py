@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from simcheck import params as P
 from simcheck.operators import sentences as S
+from simcheck.operators.spell import SpellIndex
 from simcheck.session import checkpoint_root
 from simcheck.sources.tables import load, table_path
 
@@ -89,3 +90,11 @@ def corpus_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_table(spark, sf_dir).select("doc_id", "sentence_index", "sentence")
+
+
+def spell_index(spark: SparkSession, sf_dir: str) -> SpellIndex:
+    """Word counts and deletion keys of the corpus sentences, written once."""
+    path = corpus_index_path(spark, sf_dir).replace("/corpus-index/", "/spell-index/")
+    index = SpellIndex(spark, path)
+    index.add(0, corpus_sentences(spark, sf_dir))
+    return index
