@@ -15,6 +15,9 @@ SEARCH_TOP_K = 5
 # Vector index shape: number of cells and cells probed.
 IVF_NLIST = 1024
 IVF_NPROBE_SEARCH = 16
+IVF_TRAIN_ROWS = 100_000       # vectors that train the cells, at most
+IVF_CELL_ROWS = 2              # vectors a cell of the registered searches, until IVF_NLIST cells are reached
+IVF_PROBED_SHARE = 4           # one in so many cells is probed by the registered searches
 # Minimum words in a kept sentence (fewer are excluded), chunk size in subtokens.
 MIN_SENTENCE_WORDS = 10
 PAPER_MIN_PIECES = 6          # keep sentences with more than this many pieces

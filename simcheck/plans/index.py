@@ -16,9 +16,11 @@ from __future__ import annotations
 import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from simcheck import params as P
 from simcheck.operators import sentences as S
+from simcheck.operators.ann import VectorStore
 from simcheck.operators.spell import SpellIndex
 from simcheck.session import checkpoint_root
 from simcheck.sources.tables import load, table_path
@@ -98,3 +100,14 @@ def spell_index(spark: SparkSession, sf_dir: str) -> SpellIndex:
     index = SpellIndex(spark, path)
     index.add(0, corpus_sentences(spark, sf_dir))
     return index
+
+
+def vector_store(spark: SparkSession, sf_dir: str) -> VectorStore:
+    """The vectors of ``embeddings`` by cell, trained and written once."""
+    src = table_path(sf_dir, "embeddings")
+    store = VectorStore(spark, f"{checkpoint_root(spark).rstrip('/')}/vector-store/{_signature(spark, src)}", "vec_id")
+    rows = load(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    if store.version() is None:
+        store.train(rows, nlist=max(2, min(P.IVF_NLIST, rows.count() // P.IVF_CELL_ROWS)))
+    store.add(0, rows)
+    return store
