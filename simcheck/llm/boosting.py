@@ -55,9 +55,9 @@ def _tree(root) -> Tree:
     return Tree(np.array(feature), np.array(bound), np.array(left), np.array(right), np.array(value))
 
 
-def fit_boosted(rows: DataFrame, rounds: int, depth: int, seed: int) -> BoostedTrees:
+def fit_boosted(rows: DataFrame, rounds: int, depth: int, seed: int, min_leaf: int = 20) -> BoostedTrees:
     """Trees on rows (label, x); the sample must be bounded by the caller."""
-    model = GBTClassifier(labelCol="label", featuresCol="x", maxIter=rounds, maxDepth=depth, seed=seed,
+    model = GBTClassifier(labelCol="label", featuresCol="x", maxIter=rounds, maxDepth=depth, seed=seed, minInstancesPerNode=min_leaf,
                           stepSize=0.3).fit(rows)
     return BoostedTrees(tuple(_tree(t._call_java("rootNode")) for t in model.trees), tuple(model.treeWeights))
 

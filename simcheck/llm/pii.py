@@ -9,20 +9,27 @@ addresses with spelled-out signs, four numbers with other separators, digit
 groups with brackets, dots or slashes.  Proposals may overlap one another and
 the base spans.  Boosted trees score a proposal by its format (digits,
 separators, lengths, parts, Luhn) and context (the words and marks around it).
-They learn from the corpus itself.  Examples are the proposals on a base span
-of their kind, and each base span once more rewritten into a looser form in its
-place.  Counter-examples are only proposals with evidence against their kind
-(``contradicted``) and those on a base span of another kind.  The rest, from
-which spans are added, has no label and takes no part in fitting.  Scores are calibrated by isotonic regression
-on all proposals that the trees did not see, and a kind's threshold is the lowest
-score with a calibrated precision of ``precision`` and at least ``support``
-examples; without one the kind gets no spans beside its base spans.  Accepted
-proposals that overlap a base span or a better proposal give way.
-
-Trees are fitted on at most ``max_rows`` proposals, those with the smallest
-hash of document and place.  Thresholds come from all other labelled ones,
-counted per kind and score in steps of 1 / ``STEPS``, so the table that reaches
-the driver is bounded.  Every document is searched whole.
+They learn from the corpus itself, as positive and unlabelled examples.
+Examples are the proposals on a base span of their kind, and each base span
+once more rewritten into a looser form in its place.  Counter-examples are
+proposals with evidence against their kind (``contradicted``), those on a base
+span of another kind, and those open ones that are not like the examples.  The
+last are found with spies: a fifth of the rewritten spans is hidden among the open
+proposals, trees are fitted, and an open proposal that scores below half of what
+nearly all spies of its kind reach (all but the share ``NOISE``) is a
+counter-example; a second fit then learns from these.  Open proposals like the examples have no label.
+
+Scores are calibrated by isotonic regression on the proposals that the trees
+did not see, and a kind's threshold is the lowest score whose calibrated
+precision, and the lower confidence bound of the precision from there on, reach
+``precision``; without one the kind gets no spans beside its base spans.
+Accepted proposals that overlap a base span or a better proposal give way.
+
+Trees are fitted on at most ``max_rows`` proposals, half of them examples, those
+with the smallest hash of document and place among seven tenths of all.
+Thresholds come from all of the other three tenths, counted per kind and score
+in steps of 1 / ``STEPS``, so the table that reaches the driver is bounded.
+Every document is searched whole.
 
 Defined results: a null or empty text has no spans; places are code points, the
 end exclusive; repeated rows are searched each; an empty table gives no rows;
@@ -49,7 +56,9 @@ from simcheck.session import materialize
 KINDS = ("email", "ip", "card", "phone")
 MAX_ROWS = 20_000
 ROUNDS, DEPTH, SEED = 10, 3, 11
-PRECISION, SUPPORT = 0.98, 30
+PRECISION, SUPPORT = 0.95, 1
+#: Open proposals below half of the score that all spies but this share reach are counter-examples; normal quantile.
+NOISE, CONFIDENCE = 0.01, 1.645
 STEPS = 1000
 ROWS_OUT = 2048
 
@@ -160,7 +169,7 @@ FEATURES = ("is_email", "is_ip", "is_card", "is_phone", "length", "digits", "let
 
 def features(text: str, kind: int, start: int, end: int) -> list[float]:
     s = text[start:end]
-    groups = re.findall(r"[0-9]+", s)
+    groups = re.findall(r"[0-9]+", s) if KINDS[kind] != "email" else []      # digits say nothing about an address
     sizes = [len(g) for g in groups] or [0]
     digits = "".join(groups)
     before, after = text[start - 1:start], text[end:end + 1]
@@ -184,8 +193,8 @@ def features(text: str, kind: int, start: int, end: int) -> list[float]:
 def proposals(text: str, good: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, list[float]]]:
     """Loose spans (kind, start, end, label, features).
 
-    Label 1: on a base span of the kind, or such a span rewritten (at the base
-    span's place, so it is never added).  0: against the evidence.  -1: open.
+    Label 1: on a base span of the kind; 2: such a span rewritten (at the base
+    span's place, so it is never added); 0: against the evidence; -1: open.
     """
     out = []
     has_digit = bool(good) or _DIGITS.search(text) is not None
@@ -199,7 +208,7 @@ def proposals(text: str, good: list[tuple[int, int, int]]) -> list[tuple[int, in
             out.append((k, s, e, label, features(text, k, s, e)))
         for s, e in ((s, e) for g, s, e in good if g == k):
             before, form, after = text[max(0, s - 256):s], looser(k, text[s:e]), text[e:e + 256]
-            out.append((k, s, e, 1, features(before + form + after, k, len(before), len(before) + len(form))))
+            out.append((k, s, e, 2, features(before + form + after, k, len(before), len(before) + len(form))))
     return out
 
 
@@ -281,42 +290,87 @@ class PiiModel:
     bounds: dict[int, float]        # lowest accepted score of a kind
 
 
+@dataclass(frozen=True)
+class Spies:
+    """Trees of the first fit, and the score of a kind below which an open proposal is a counter-example."""
+    trees: BoostedTrees | None
+    limits: dict[int, float]
+
+    def against(self, kind: np.ndarray, x: np.ndarray) -> np.ndarray:
+        if self.trees is None:
+            return np.zeros(len(kind), bool)
+        limit = np.array([self.limits.get(int(k), -1.0) for k in kind])
+        return self.trees.probability(x) < limit
+
+
+def lower_bound(examples: np.ndarray, n: np.ndarray, z: float = CONFIDENCE) -> np.ndarray:
+    """Lower end of the score interval of a share."""
+    share = examples / n
+    middle, spread = share + z * z / (2 * n), z * np.sqrt(share * (1 - share) / n + z * z / (4 * n * n))
+    return (middle - spread) / (1 + z * z / n)
+
+
 def fit(found: DataFrame, max_rows: int = MAX_ROWS, rounds: int = ROUNDS, depth: int = DEPTH, seed: int = SEED,
         precision: float = PRECISION, support: int = SUPPORT) -> PiiModel:
-    """Trees from a bounded sample of the labelled proposals, thresholds from all others."""
-    labelled = (found.select("doc_id", F.explode("proposed").alias("p"))
-                .select("doc_id", "p.kind", "p.start", F.col("p.label").cast("double").alias("label"), "p.x")
-                .filter("label >= 0").withColumn("draw", F.xxhash64("doc_id", "start", "kind")))
-    rows = labelled.orderBy("draw", "doc_id", "start", "kind", "label", "x").limit(max_rows)
-    sample = materialize(rows.coalesce(1)).coalesce(1)
-    seen = F.pmod(F.col("draw"), F.lit(10)) < 7
-    n, ones, last = sample.filter(seen).agg(F.count(F.lit(1)), F.sum("label"), F.max("draw")).first()
-    if not n or ones in (0, n):
+    """Trees from a bounded sample of the proposals, thresholds from all that the sample is not drawn from."""
+    rows = (found.select("doc_id", F.explode("proposed").alias("p"))
+            .select("doc_id", "p.kind", "p.start", F.col("p.label").cast("double").alias("label"), "p.x")
+            .withColumn("draw", F.xxhash64("doc_id", "start", "kind")))
+    tenth = F.pmod(F.col("draw"), F.lit(10))
+    drawn = rows.filter(tenth < 7).orderBy("draw", "doc_id", "start", "kind", "label", "x")
+    half = max_rows // 2
+    sample = materialize(drawn.filter("label >= 1").limit(half).unionByName(drawn.filter("label < 1").limit(max_rows - half))
+                         .coalesce(1)).toPandas()                       # max_rows at most
+    sample = sample.sort_values(["draw", "doc_id", "start", "kind", "label"], kind="stable", ignore_index=True)
+    label = sample["label"].to_numpy()
+    example = label >= 1
+    if example.all() or not example.any():
+        return PiiModel(None, {})
+    spark, x = found.sparkSession, np.array(sample["x"].tolist())
+
+    def trees_on(keep: np.ndarray, ones: np.ndarray) -> BoostedTrees:
+        part = pd.DataFrame({"label": ones[keep].astype(float), "x": sample["x"][keep]})
+        frame = materialize(spark.createDataFrame(part, "label double, x array<double>").coalesce(1)
+                            .select("label", array_to_vector("x").alias("x"))).coalesce(1)
+        return fit_boosted(frame, rounds, depth, seed)
+
+    spies = Spies(None, {})
+    if (label < 0).any():
+        spy = (label == 2) & (sample["draw"].to_numpy() // 10 % 5 == 0)
+        first = trees_on(np.ones(len(label), bool), example & ~spy)
+        score, kind = first.probability(x), sample["kind"].to_numpy()
+        spies = Spies(first, {int(k): float(np.quantile(score[spy & (kind == k)], NOISE)) / 2 for k in np.unique(kind[spy])})
+    keep = (label >= 0) | spies.against(sample["kind"].to_numpy(), x)
+    if example[keep].all():
         return PiiModel(None, {})
-    trees = fit_boosted(materialize(sample.filter(seen).sort("draw", "doc_id", "start", "kind", "label", "x").coalesce(1)
-                                    .select("label", array_to_vector("x").alias("x"))).coalesce(1), rounds, depth, seed)
-    counts = score_counts(labelled.filter(~(seen & (F.col("draw") <= last))), trees)
+    trees = trees_on(keep, example)
+    counts = score_counts(rows.filter(tenth >= 7), trees, spies)
     bounds = {}
     for kind, part in counts.groupby("kind"):
         part = part.sort_values("step")
         low, share = isotonic(part["step"].to_numpy(), part["examples"].to_numpy(), part["n"].to_numpy())
-        enough = np.array([part.loc[part["step"] >= s, "examples"].sum() >= support for s in low])
-        if (ok := (share >= precision) & enough).any():
+        above = [part.loc[part["step"] >= s, ["examples", "n"]].sum() for s in low]
+        examples, n = (np.array([a[c] for a in above]) for c in ("examples", "n"))
+        if (ok := (share >= precision) & (lower_bound(examples, n) >= precision) & (examples >= support)).any():
             bounds[int(kind)] = float(low[np.argmax(ok)]) / STEPS
     return PiiModel(trees, bounds)
 
 
-def score_counts(labelled: DataFrame, trees: BoostedTrees) -> pd.DataFrame:
-    """(kind, step, examples, n) over all rows, scores rounded down: at most (STEPS + 1) rows a kind."""
+def score_counts(rows: DataFrame, trees: BoostedTrees, spies: Spies) -> pd.DataFrame:
+    """(kind, step, examples, n) over all labelled rows and the open ones unlike the spies, scores rounded down.
+
+    At most (STEPS + 1) rows a kind.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                score = trees.probability(np.array(pdf["x"].tolist()))
-                step = np.floor(score * STEPS).astype(np.int64)
-                one = pd.DataFrame({"kind": pdf["kind"], "step": step, "examples": pdf["label"], "n": 1.0})
+                x, label = np.array(pdf["x"].tolist()), pdf["label"].to_numpy()
+                keep = (label >= 0) | spies.against(pdf["kind"].to_numpy(), x)
+                step = np.floor(trees.probability(x) * STEPS).astype(np.int64)
+                one = pd.DataFrame({"kind": pdf["kind"], "step": step, "examples": (label >= 1) * 1.0, "n": 1.0})[keep]
                 yield one.groupby(["kind", "step"], as_index=False).sum()
 
-    return (labelled.select("kind", "label", "x").mapInPandas(run, "kind int, step long, examples double, n double")
+    return (rows.select("kind", "label", "x").mapInPandas(run, "kind int, step long, examples double, n double")
             .groupBy("kind", "step").agg(F.sum("examples").alias("examples"), F.sum("n").alias("n")).toPandas())
 
 

@@ -382,6 +382,32 @@ def test_thresholds_count_all_proposals(spark):
     assert phone not in pii.fit(found, max_rows=400, support=700).bounds
 
 
+def test_look_alikes_against_numbers_of_the_same_make(spark):
+    """Over 1,000 rows of each: loose phones are found; order numbers, scores and versions of open form are left."""
+    rng = random.Random(16)
+    digits = lambda n: "".join(rng.choice("123456789") for _ in range(n))
+    rows, phones, others = [], {}, {}
+    for i in range(1000):
+        rows += [(i, f"please call +1 ({digits(3)}) {digits(3)}-{digits(4)} before noon"),
+                 (10_000 + i, f"write to u{digits(3)}@mail{digits(2)}.com soon")]
+        phones[20_000 + i] = rng.choice(["({}) {}-{}", "{}-{}-{}", "{}.{}.{}"]).format(digits(3), digits(3), digits(4))
+        others[30_000 + i] = f"{digits(2)} {digits(2)} {digits(2)} {digits(2)} {digits(2)}"
+        others[40_000 + i] = f"{digits(4)} {digits(5)}"
+    texts = rows + [(i, f"please call {p} before noon") for i, p in phones.items()]
+    texts += [(i, f"{'scores' if i < 40_000 else 'order'} {p} of the day") for i, p in others.items()]
+    rng.shuffle(texts)
+    found = pii.find_personal_data(spark.createDataFrame(texts, "doc_id long, text string").repartition(4)).collect()
+    added = {r.doc_id for r in found if len(r.spans) > len(r.base)}
+    assert all(len(r.base) == 1 for r in found if r.doc_id < 20_000)
+    assert len(added & set(phones)) >= 900 and len(added & set(others)) <= 20 and not [i for i in added if i < 20_000]
+
+
+def test_lower_bound_of_a_share():
+    import numpy as np
+    got = pii.lower_bound(np.array([30.0, 100, 1000, 0]), np.array([30.0, 100, 1000, 50]))
+    assert (np.diff(got[:3]) > 0).all() and got[2] > 0.99 and got[0] < 0.95 and got[3] == 0
+
+
 def test_isotonic_steps_never_fall():
     import numpy as np
 
