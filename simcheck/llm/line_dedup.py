@@ -19,8 +19,10 @@ State, in a folder of the shared store:
   shared, so only its hits are looked up in the exact table; a false hit costs
   a lookup and never a line.
 
-The filters are broadcast while their measured size is small; beyond that all
-references go to the exact table, with the same result.  A key held by a third
+The filters are broadcast while their measured size is small; beyond that
+references meet their shard's filter in a shuffle, with the same result.  The
+number of shards follows from the bytes of the first batch, so a shard's keys
+stay few.  A key held by a third
 of all documents is one row after the map-side partial aggregate, and its
 references are split by the skew join.
 
@@ -46,7 +48,8 @@ from simcheck.llm.common import BROADCAST_BYTES, LOWER, UPPER, WS, text_of
 from simcheck.session import materialize, scratch_dir
 
 MIN_POINTS = 10
-N_SHARDS = 64
+#: Shards at least, and bytes of text a shard; groups that a shard's references are dealt to for a large filter.
+N_SHARDS, SHARD_BYTES, SALTS = 64, 64 << 20, 8
 NO_ID = (1 << 63) - 1
 SLOTS, KICKS = 4, 500
 
@@ -189,11 +192,16 @@ def update_filters(filters: DataFrame, entering: DataFrame, leaving: DataFrame)
             .applyInPandas(apply, FILTER_SCHEMA))
 
 
-def probe(refs: DataFrame, filters: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """The references whose key a filter has; all of them if the filters are too large to send."""
+def probe(refs: DataFrame, filters: DataFrame, limit: int = BROADCAST_BYTES, salts: int = SALTS) -> DataFrame:
+    """The references whose key a filter has.
+
+    Filters of up to ``limit`` bytes are sent to every task.  Beyond that each
+    reference meets its shard's filter in a shuffle: references of a shard are
+    dealt by document over ``salts`` groups, each of which gets the filter first.
+    """
     size = filters.agg(F.sum(F.octet_length("cells") + 64 + 24 * F.size("spare"))).first()[0] or 0
     if size > limit:
-        return refs
+        return _probe_shuffled(refs, filters, salts)
     sent = refs.sparkSession.sparkContext.broadcast([r.asDict() for r in filters.collect()])
 
     def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -208,13 +216,42 @@ def probe(refs: DataFrame, filters: DataFrame, limit: int = BROADCAST_BYTES) ->
     return refs.mapInPandas(hits, refs.schema)
 
 
+def _probe_shuffled(refs: DataFrame, filters: DataFrame, salts: int) -> DataFrame:
+    parts = filters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    asked = refs.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(salts)).cast("int"))
+    both = (parts.withColumn("asked", F.lit(False)).unionByName(asked.withColumn("asked", F.lit(True)), allowMissingColumns=True)
+            .repartition("shard", "salt").sortWithinPartitions("shard", "salt", "asked"))
+    names = refs.columns
+
+    def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, own = None, None                        # the group, and its filter
+        for pdf in batches:
+            keep = np.zeros(len(pdf), bool)
+            place = pdf[["shard", "salt"]].to_numpy()
+            edge = np.concatenate(([0], np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1, [len(pdf)]))
+            for s, e in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                if s == e:
+                    continue
+                if at != tuple(place[s]):
+                    at, own = tuple(place[s]), None
+                part = pdf.iloc[s:e]
+                asked = part["asked"].to_numpy(bool)
+                if not asked[0]:
+                    own = _load(part.iloc[0])
+                if own is not None and asked.any():
+                    keep[s:e][asked] = own.has(part["key"].to_numpy()[asked])
+            yield pdf.loc[keep, names].astype({"doc": "int64"})
+
+    return both.mapInPandas(hits, refs.schema)
+
+
 # --- index -------------------------------------------------------------------
 
 class LineIndex:
     """Reference counts and filters of the lines of a changing set of documents."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, min_points: int = MIN_POINTS,
-                 n_shards: int = N_SHARDS):
+                 n_shards: int | None = None):
         self.spark, self.min_points, self.n_shards = spark, min_points, n_shards
         self.path = path or scratch_dir(spark, "line-index")
         self.batches = 0
@@ -226,8 +263,10 @@ class LineIndex:
 
     def insert(self, docs: DataFrame) -> None:
         """Add documents; a document stands once in a batch, whether or not rows repeat it."""
-        again = docs.groupBy(doc_key()).count().filter("count > 1").head(1)
-        self._append(self.refs(docs).distinct() if again else self.refs(docs), 1)
+        per_doc = docs.groupBy(doc_key()).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text")).alias("bytes"))
+        most, size = per_doc.agg(F.max("rows"), F.sum("bytes")).first()
+        self.n_shards = self.n_shards or max(N_SHARDS, (size or 0) // SHARD_BYTES)
+        self._append(self.refs(docs).distinct() if (most or 0) > 1 else self.refs(docs), 1)
 
     def delete(self, docs: DataFrame) -> None:
         """Forget documents; ``docs`` holds them as they were inserted."""
@@ -307,7 +346,7 @@ def _key(line: str) -> bytes:
     return line.encode().strip(WS.encode()).lower()
 
 
-def line_dedup(docs: DataFrame, min_points: int = MIN_POINTS, n_shards: int = N_SHARDS) -> DataFrame:
+def line_dedup(docs: DataFrame, min_points: int = MIN_POINTS, n_shards: int | None = None) -> DataFrame:
     """``docs`` with n_lines (before dropping), n_dropped and kept_text, through a fresh index."""
     index = LineIndex(docs.sparkSession, None, min_points, n_shards)
     index.insert(docs.select("doc_id", "text"))

@@ -111,6 +111,31 @@ def test_line_index_forgets_a_document_on_two_rows(spark):
     assert {r["doc"] for r in index.drops(index.refs(frame([2, 3]))).collect()} == {3}
 
 
+@pytest.mark.parametrize("salts", [1, 3])
+def test_large_filters_are_met_in_a_shuffle(spark, monkeypatch, salts):
+    rng = random.Random(6)
+    rows = [(i, "\n".join([f"a line of its own {i}", f"one of a few lines {rng.randint(0, 9)}", "the hot line of all"])) for i in range(300)]
+    index = line_dedup.LineIndex(spark, n_shards=5)
+    docs = spark.createDataFrame(rows, DOCS).repartition(4)
+    index.insert(docs)
+    refs = index.refs(docs)
+    small = Counter((bytes(r["key"]), r["doc"]) for r in line_dedup.probe(refs, index.filters).collect())
+    large = Counter((bytes(r["key"]), r["doc"]) for r in line_dedup.probe(refs, index.filters, 0, salts).collect())
+    assert small == large and 600 <= sum(small.values()) < 900
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(line_dedup.probe, "__defaults__", (0, salts))
+    done = line_dedup.line_dedup(docs).collect()
+    assert sum(r["n_dropped"] for r in done) == 300 - 1 + 300 - 10
+    assert line_dedup.probe(refs.limit(0), index.filters, 0, salts).count() == 0
+
+
+def test_shards_follow_the_bytes(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_BYTES", 10)
+    index = line_dedup.LineIndex(spark)
+    index.insert(spark.createDataFrame([(1, "x" * 2000), (2, "x" * 2000), (3, None)], DOCS))
+    assert index.n_shards == 400 and index.drops(index.refs(spark.createDataFrame([(2, "x" * 2000)], DOCS))).count() == 1
+
+
 def brute_knn(rows, k=5, step=50):
     import math
     whole = [(i, [math.floor(256 * c) for c in v]) for i, v in rows]
