@@ -16,8 +16,9 @@
 4. Bytes covered by a window that starts earlier are taken out of each text.
 
 Buckets hold anchors or distinct strings, packed by Arrow batch after equal
-ones of a batch are joined; their number follows the shuffle partitions, so
-buckets stay small on large inputs.  An anchor that occurs more than ``HOT``
+ones of a batch are joined; their number and that of the tasks follow from the
+bytes of the texts (and the shuffle partitions, if those are more), so both stay
+small on large inputs.  An anchor that occurs more than ``HOT``
 times (the edge of a passage that very many documents hold, each going on in
 its own way) would still fill one bucket: its windows are sent one by one, by
 their own hash, so equal ones meet and the others spread.  The texts are joined with the places
@@ -39,7 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from simcheck.functions.ordering import global_row_number
@@ -54,6 +55,8 @@ DEPTH = (LENGTH - (BLOCK - 1)) // BLOCK
 PIECE = 1 << 20
 SHARD_SYMBOLS = 1 << 15
 BUCKETS_PER_PARTITION = 8
+#: Bytes of text a task of the bucket stages.
+TASK_BYTES = 256 << 20
 HOT = 50_000
 ROWS_OUT = 2048
 NO_ID = (1 << 63) - 1
@@ -128,7 +131,7 @@ ANCHORS = "bucket long, known boolean, n long, codes binary, doc_low long, docs
           "lows binary, counts binary"
 
 
-def shared_anchors(docs: DataFrame, n_buckets: int) -> DataFrame:
+def shared_anchors(docs: DataFrame, n_buckets: int, n_tasks: int) -> DataFrame:
     """(doc, at, code) of anchors whose hash occurs again; at = place, windows before it and number, packed."""
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -178,7 +181,7 @@ def shared_anchors(docs: DataFrame, n_buckets: int) -> DataFrame:
         at = (place << 16) | (low.astype(np.int64) << 8) | count
         return pd.DataFrame({"doc": doc[keep], "at": at[keep], "code": code[keep].astype(np.int64)})
 
-    return (_doc(docs).mapInPandas(read, ANCHORS).groupBy("bucket")
+    return (_doc(docs).mapInPandas(read, ANCHORS).repartition(n_tasks, "bucket").groupBy("bucket")
             .applyInPandas(meet, "doc long, at long, code long"))
 
 
@@ -290,7 +293,7 @@ def late_windows(spans: list[bytes], low: np.ndarray, count: np.ndarray, rank: n
     return string[order][again], window[order][again]
 
 
-def late_runs(rows: DataFrame) -> DataFrame:
+def late_runs(rows: DataFrame, n_tasks: int) -> DataFrame:
     """(doc, first, count): runs of windows that start earlier somewhere else."""
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         if pdf["bucket"].iloc[0] < 0:
@@ -329,7 +332,7 @@ def late_runs(rows: DataFrame) -> DataFrame:
             found.append(np.stack([doc[string], first[string] + window, np.ones(len(string), np.int64)], axis=1))
         return _joined_runs(*np.concatenate(found).T)
 
-    return rows.groupBy("bucket").applyInPandas(solve, RUNS)
+    return rows.repartition(n_tasks, "bucket").groupBy("bucket").applyInPandas(solve, RUNS)
 
 
 def joined_with(docs: DataFrame, places: DataFrame, how: str) -> DataFrame:
@@ -351,19 +354,24 @@ def _arrays(rows: DataFrame, **columns: str) -> DataFrame:
     return packed.select("doc", *[F.col(f"all.{c}").alias(name) for c, name in columns.items()])
 
 
-def ambiguous_ids(docs: DataFrame) -> bool:
-    """Whether an id (or its lack) stands for different texts, or NO_ID is an id."""
+def survey(docs: DataFrame) -> tuple[bool, int]:
+    """Whether an id (or its lack) stands for different texts, or NO_ID is an id; and the bytes of all texts."""
     by_id = (docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.col("doc_id").alias("id"),
-                         F.md5(text_of().cast("binary")).alias("digest"))
-             .groupBy("doc").agg(F.min("digest").alias("low"), F.max("digest").alias("high"), F.max("id").alias("id")))
-    return bool(by_id.filter(f"low <> high or id = {NO_ID}").head(1))
+                         F.md5(text_of().cast("binary")).alias("digest"), F.octet_length("text").alias("bytes"))
+             .groupBy("doc").agg(F.min("digest").alias("low"), F.max("digest").alias("high"), F.max("id").alias("id"),
+                                 F.sum("bytes").alias("bytes")))
+    several, size = by_id.agg(F.bool_or(F.expr(f"low <> high or id <=> {NO_ID}")), F.sum("bytes")).first()
+    return bool(several), size or 0
 
 
 def suffix_dedup(docs: DataFrame, n_buckets: int | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) of every row; kept is binary."""
     docs = docs.select("doc_id", "text")
-    if not ambiguous_ids(docs):
-        return _by_document(docs, n_buckets)
+    several, size = survey(docs)
+    n_tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    n_buckets = n_buckets or BUCKETS_PER_PARTITION * n_tasks
+    if not several:
+        return _by_document(docs, n_buckets, n_tasks)
     # every different row is numbered in the order of ids and takes its number as id
     rows = docs.select(F.col("doc_id").alias("id"), F.col("text"), F.md5(text_of().cast("binary")).alias("digest"))
     numbers = materialize(global_row_number(rows.select("id", "digest").distinct(),
@@ -371,22 +379,20 @@ def suffix_dedup(docs: DataFrame, n_buckets: int | None = None) -> DataFrame:
     of = small_or_shuffled(numbers.select(F.col("id").alias("n_id"), F.col("digest").alias("n_digest"), "doc_id"), 64)
     numbered = materialize(rows.join(of, F.col("id").eqNullSafe(F.col("n_id")) & (F.col("digest") == F.col("n_digest")))
                            .select("doc_id", "text"))
-    done = _by_document(numbered, n_buckets).withColumnRenamed("doc_id", "number")
+    done = _by_document(numbered, n_buckets, n_tasks).withColumnRenamed("doc_id", "number")
     back = small_or_shuffled(numbers.select(F.col("doc_id").alias("number"), F.col("id").alias("doc_id")), 24)
     return done.join(back, "number").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept")
 
 
-def _by_document(docs: DataFrame, n_buckets: int | None) -> DataFrame:
-    spark: SparkSession = docs.sparkSession
-    n_buckets = n_buckets or BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    anchored = materialize(shared_anchors(docs, n_buckets))
+def _by_document(docs: DataFrame, n_buckets: int, n_tasks: int) -> DataFrame:
+    anchored = materialize(shared_anchors(docs, n_buckets, n_tasks))
     hot = materialize(anchored.groupBy("code").count().filter(F.col("count") > HOT)
                       .select("code", F.lit(True).alias("hot")))
     marked = (anchored.join(small_or_shuffled(hot, 24), "code", "left")
               .withColumn("hot", F.coalesce("hot", F.lit(False))))
     shared = materialize(_arrays(marked, at="ats", code="codes", hot="hots"))
     spans = span_rows(joined_with(docs, shared, "inner"), n_buckets)
-    runs = materialize(_arrays(late_runs(spans), first="firsts", count="counts"))
+    runs = materialize(_arrays(late_runs(spans, n_tasks), first="firsts", count="counts"))
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
