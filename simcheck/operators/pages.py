@@ -2,9 +2,8 @@
 
 A document row carries its whole text, so its page layout (lines, offsets,
 page texts) is computed inside that row with higher-order functions — no
-shuffle.  Only locating sentences on pages joins, and that join is an
-equi-join on the document key (plus a ``contains`` / span-overlap condition),
-never a cross product.
+shuffle.  Only locating sentences on pages joins: an equi-join on the document
+key and words of the sentence, then on the page, never a cross product.
 
 Layout rule (a stand-in for a PDF extractor): lines are the text split on
 newline; 40 lines per page, pages 0-based; a line box is
@@ -22,6 +21,8 @@ from simcheck.functions import text as TX
 
 LINES_PER_PAGE = 40
 X0, CHAR_W, Y0, LINE_H, BOX_H = 72.0, 6.0, 72.0, 14.0, 12.0
+#: Words in a row by which sentences meet pages.
+GRAM = 6
 
 
 def _clean_lines(text) -> F.Column:
@@ -73,19 +74,47 @@ def page_text(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
             .select(id_col, "p.page_num", "p.text").where(F.col("text") != ""))
 
 
+def page_sizes(lines: DataFrame, id_col: str) -> DataFrame:
+    """(id, width, height) of the first page: A4, or as far as its lines and the margins reach.
+
+    A document whose first page has no line has no row and takes A4.
+    """
+    return (lines.where("page_num = 0").groupBy(id_col)
+            .agg(F.greatest(F.lit(P.PAGE_WIDTH), F.max("x1") + X0).alias("width"),
+                 F.greatest(F.lit(P.PAGE_HEIGHT), F.max("y1") + Y0).alias("height")))
+
+
+def _gram(words: str, at) -> F.Column:
+    return F.xxhash64(F.array_join(F.slice(F.col(words), at, GRAM), " "))
+
+
 def locate(sentences: DataFrame, pages: DataFrame, id_col: str, index_col: str,
            first_only: bool = True) -> DataFrame:
     """Pages whose text contains the sentence; the first one when ``first_only``.
 
-    Equi-join on the document key with a ``contains`` condition; a sentence
-    split across two pages is found on neither (it still counts elsewhere).
+    A page that contains a sentence has the words behind its first one in a row
+    (the first and the last may be parts of longer words there), so sentences
+    meet pages on the document and the hash of ``GRAM`` such words, and
+    ``contains`` confirms.  Sentences are not set against all pages of their
+    document; only those too short for that are.  A sentence split across two
+    pages is found on neither (it still counts elsewhere).
     """
-    j = sentences.join(pages.withColumnRenamed("text", "page_text"), id_col) \
-        .where(F.col("page_text").contains(F.col("sentence")))
+    # explode keeps the words one column; as an expression they would be cut anew for every word
+    cut = lambda df, col: df.withColumn("__w", F.explode(F.array(F.split(col, " "))))
+    words = cut(sentences.select(id_col, index_col, "sentence"), "sentence")
+    held = cut(pages.select(id_col, "page_num", "text"), "text").where(F.size("__w") >= GRAM)
+    grams = F.transform(F.sequence(F.lit(1), F.size("__w") - GRAM + 1), lambda i: _gram("__w", i))
+    held = held.select(id_col, "page_num", F.explode(F.array_distinct(grams)).alias("__g"))
+    long = F.size("__w") >= GRAM + 2
+    met = (words.where(long).select(id_col, index_col, "sentence", _gram("__w", F.lit(2)).alias("__g"))
+           .join(held, [id_col, "__g"]).select(id_col, index_col, "sentence", "page_num"))
+    texts = pages.select(id_col, "page_num", F.col("text").alias("page_text"))
+    short = words.where(~long).drop("__w").join(texts, id_col)
+    j = (met.join(texts, [id_col, "page_num"]).select(short.columns).unionByName(short)
+         .where(F.col("page_text").contains(F.col("sentence"))))
     if not first_only:
         return j.select(id_col, index_col, "sentence", "page_num", "page_text")
-    first = j.groupBy(id_col, index_col).agg(F.min("page_num").alias("page_num"))
-    return first
+    return j.groupBy(id_col, index_col).agg(F.min("page_num").alias("page_num"))
 
 
 def occurrences(text: str, part: str) -> F.Column:

@@ -7,7 +7,7 @@ Each report covers one submission, so no group grows with the corpus.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from simcheck import params as P
@@ -28,13 +28,14 @@ def nest_pages(rows: DataFrame, key: str, doc_col: str | None, page_col: str,
                  .alias("page_result")))
 
 
-def check_report(boxes: DataFrame, docs: DataFrame, totals: DataFrame, created_at: str,
-                 duration: float | None = None) -> DataFrame:
+def check_report(boxes: DataFrame, docs: DataFrame, totals: DataFrame, sizes: DataFrame, created_at: Column,
+                 duration: float) -> DataFrame:
     """K4: one JSON report per file_check_id.
 
     ``boxes``: (item_id, doc_id, page_num, sentence, q_index, box_no, x0, y0, x1, y1)
     ``docs``: (item_id, doc_id, rank, similarity_value)
     ``totals``: (item_id, total_percent)
+    ``sizes``: (item_id, width, height) of first pages; A4 where there is none
     """
     b = boxes.repartition("item_id")
     content = (b.groupBy("item_id", "doc_id", "page_num", "sentence", "q_index")
@@ -52,16 +53,16 @@ def check_report(boxes: DataFrame, docs: DataFrame, totals: DataFrame, created_a
         ).alias("d"))
     data = (per_doc.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("rank", "d"))).alias("dd"))
             .select("item_id", F.transform("dd", lambda x: x["d"]).alias("data_result")))
-    rep = totals.join(data, "item_id", "left").select(
+    rep = totals.join(data, "item_id", "left").join(sizes, "item_id", "left").select(
         F.concat(F.lit("chk_"), F.col("item_id").cast("string")).alias("file_check_id"),
         F.struct(
             F.concat(F.lit("chk_"), F.col("item_id").cast("string")).alias("file_check_id"),
             F.coalesce("data_result", F.array().cast(data.schema["data_result"].dataType)).alias("data_result"),
-            F.lit(created_at).alias("create_at"),
+            created_at.alias("create_at"),
             F.col("total_percent").alias("total_similarity_percent"),
-            F.lit(P.PAGE_HEIGHT).alias("height"),
-            F.lit(P.PAGE_WIDTH).alias("width"),
-            F.lit(duration).cast("double").alias("duration"),
+            F.coalesce("height", F.lit(P.PAGE_HEIGHT)).alias("height"),
+            F.coalesce("width", F.lit(P.PAGE_WIDTH)).alias("width"),
+            F.lit(float(duration)).alias("duration"),
         ).alias("report"))
     return rep.select("file_check_id", F.to_json("report").alias("report_json"))
 

@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 
 from simcheck import params as P
 from simcheck.operators import prefix_join as J
+from simcheck.session import materialize
 
 SCORE_DECIMALS = 6
 # largest score matrix (entries) a kernel holds at once
@@ -58,13 +59,23 @@ def _side_bytes(df: DataFrame, vec: str) -> tuple[int, int]:
     return int(stats["n"]), int(stats["d"]) * 16 + int(stats["n"]) * 256
 
 
-def _query_parts(q: DataFrame, keys: list[str], guard_bytes: int, parts: int | None = None):
-    """The query side as pandas frames that each fit the guard."""
+def _by_parts(q: DataFrame, keys: list[str], guard_bytes: int, parts: int | None, scan) -> DataFrame:
+    """``scan`` of the query side in pandas frames that each fit the guard.
+
+    ``scan`` returns rows and the broadcast they need.  With several parts each
+    one's rows are written and its broadcast is dropped before the next part is
+    collected, so neither driver nor workers hold more than one part.
+    """
     if parts is None:
         parts = max(1, math.ceil(_side_bytes(q, "__vec")[1] / max(1, guard_bytes)))
+    if parts == 1:
+        return scan(q.toPandas().reset_index(drop=True))[0]
+    found = []
     for i in range(parts):
-        part = q if parts == 1 else q.where(F.pmod(F.xxhash64(*keys), F.lit(parts)) == i)
-        yield part.toPandas().reset_index(drop=True)
+        rows, sent = scan(q.where(F.pmod(F.xxhash64(*keys), F.lit(parts)) == i).toPandas().reset_index(drop=True))
+        found.append(materialize(rows))
+        sent.destroy()
+    return reduce(DataFrame.unionByName, found)
 
 
 def _final_top_k(partial: DataFrame, q_keys: list[str], c_keys: list[str], k: int) -> DataFrame:
@@ -112,9 +123,9 @@ def nearest(queries: DataFrame, corpus: DataFrame, q_keys: list[str], c_keys: li
     schema = T.StructType(
         [queries.schema[x] for x in q_keys] + [corpus.schema[x] for x in c_keys]
         + [T.StructField("score", T.DoubleType())])
-    found = [_scan_top_k(qpdf, c, q_keys, c_keys, k, threshold, q_filter, c_filter, schema)
-             for qpdf in _query_parts(q, q_keys, guard_bytes, parts)]
-    return _final_top_k(reduce(DataFrame.unionByName, found), q_keys, c_keys, k)
+    found = _by_parts(q, q_keys, guard_bytes, parts, lambda qpdf: _scan_top_k(
+        qpdf, c, q_keys, c_keys, k, threshold, q_filter, c_filter, schema))
+    return _final_top_k(found, q_keys, c_keys, k)
 
 
 def _scan_top_k(qpdf, c, q_keys, c_keys, k, threshold, q_filter, c_filter, schema):
@@ -142,7 +153,7 @@ def _scan_top_k(qpdf, c, q_keys, c_keys, k, threshold, q_filter, c_filter, schem
                 best[key] = qmeta[key].to_numpy()[at]
             yield best[schema.fieldNames()]
 
-    return c.mapInPandas(kernel, schema)
+    return c.mapInPandas(kernel, schema), bq
 
 
 def similar_pairs(sentences: DataFrame, doc_col: str, idx_col: str, threshold: float, vec: str = "vec",
@@ -195,8 +206,7 @@ def best_per_group(queries: DataFrame, corpus: DataFrame, q_keys: list[str], gro
         df = pd.DataFrame(res).sort_values(["score", "arg"], ascending=[False, True], kind="stable")
         return df.drop_duplicates([*q_keys, group_col])[cols]
 
-    found = [_scan_groups(qpdf, c, schema, reduce_chunk) for qpdf in _query_parts(q, q_keys, guard_bytes, parts)]
-    partial = reduce(DataFrame.unionByName, found)
+    partial = _by_parts(q, q_keys, guard_bytes, parts, lambda qpdf: _scan_groups(qpdf, c, schema, reduce_chunk))
     best = F.max(F.struct(F.col("score"), (-F.col("arg")).alias("neg"))).alias("b")
     return (partial.groupBy(*q_keys, group_col).agg(best)
             .select(*q_keys, group_col, F.col("b.score").alias("score"),
@@ -216,4 +226,4 @@ def _scan_groups(qpdf, c, schema, reduce_chunk):
                 if out is not None:
                     yield out
 
-    return c.mapInPandas(kernel, schema)
+    return c.mapInPandas(kernel, schema), bq

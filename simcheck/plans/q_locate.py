@@ -143,15 +143,17 @@ def page_report(spark, sf_dir):
 
 
 def report_boxes(spark, sf_dir, hits=None):
-    """Merged boxes of the matched sentences of every submission's top-5 documents:
-    (item_id, doc_id, page_num, sentence, q_index, box_no, x0, y0, x1, y1)."""
-    inp = C.Inputs.read(spark, sf_dir)
-    h = C.hits(spark, sf_dir) if hits is None else hits
-    qs = S.query_sentences(inp.benchmark)
+    """Merged boxes of the matched sentences of every submission's top-5 documents."""
+    return boxes_of(C.Inputs.read(spark, sf_dir).benchmark, C.hits(spark, sf_dir) if hits is None else hits)
+
+
+def boxes_of(benchmark, h):
+    """(item_id, doc_id, page_num, sentence, q_index, box_no, x0, y0, x1, y1) for the matches ``h`` of submissions."""
+    qs = S.query_sentences(benchmark)
     top = C.top_documents(h).select("item_id", "doc_id")
     ms = (h.join(top, ["item_id", "doc_id"]).join(qs, ["item_id", "q_index"])
           .groupBy("item_id", "doc_id", "sentence").agg(F.min("q_index").alias("q_index")))
-    bench = inp.benchmark.select("item_id", "text")
+    bench = benchmark.select("item_id", "text")
     pt = PG.page_text(bench, "item_id")
     pl = PG.page_lines(bench, "item_id")
     # the sentence key carries doc_id, so one sentence is located once per document
@@ -196,8 +198,8 @@ def highlight_assign(spark, sf_dir):
           .select("item_id", "doc_id", "rank", "sentence").distinct())
     bench = inp.benchmark.select("item_id", "text")
     pt = PG.page_text(bench, "item_id")
-    onp = ms.join(pt.withColumnRenamed("text", "page_text"), "item_id") \
-        .where(F.col("page_text").contains(F.col("sentence")))
+    onp = (PG.locate(ms.withColumn("of", F.struct("doc_id", "rank")), pt, "item_id", "of", first_only=False)
+           .select("item_id", "page_num", "sentence", "of.doc_id", "of.rank"))
     w = Window.partitionBy("item_id", "page_num", "sentence").orderBy("rank")
     own = materialize(onp.withColumn("rn", F.row_number().over(w)).where("rn = 1")
                       .select("item_id", "page_num", "sentence", F.col("sentence").alias("sk"), "doc_id",

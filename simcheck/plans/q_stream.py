@@ -6,7 +6,8 @@ from simcheck.plans import index as IX
 from simcheck.plans import sql as Q
 from simcheck.plans.catalog import register
 from simcheck.sources.tables import table_path
-from simcheck.streaming.jobs import check_stream, ingest_stream
+from simcheck.plans.q_reports import _REPORT_SQL
+from simcheck.streaming.jobs import check_stream, ingest_stream, read_reports
 
 _INGEST = (
     f"WITH cs AS ({Q.kept_sentences('documents', 'doc_id')}), "
@@ -44,3 +45,10 @@ def stream_check(spark, sf_dir):
     """
     out = check_stream(spark, table_path(sf_dir, "benchmark"), IX.corpus_table(spark, sf_dir))
     return spark.read.parquet(f"{out}/results").drop("batch_id").fillna({"rank": 0, "doc_id": -1, "n_matches": 0})
+
+
+@register("stream_reports", sql=_REPORT_SQL)
+def stream_reports(spark, sf_dir):
+    """R2/K4: the nested reports that the check stream writes, with a clock that stands still."""
+    out = check_stream(spark, table_path(sf_dir, "benchmark"), IX.corpus_table(spark, sf_dir), clock=lambda: 0.0)
+    return read_reports(spark, out)

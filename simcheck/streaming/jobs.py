@@ -4,7 +4,7 @@ Both read a file source with ``trigger(availableNow=True)`` (no server, no
 port), process each micro-batch with ``foreachBatch`` and write into the
 shared checkpoint folder.  Replays are safe: ingest appends through
 ``CorpusStore``, whose commit markers make a repeated batch a no-op, and a
-check batch writes only its own ``batch_id=N`` sub-folder in overwrite mode.
+check batch overwrites only its own partition of results and reports.
 Ids are the store's, the same for batch and stream.  How many files a
 micro-batch takes is the caller's choice; unset, it takes all there are.
 """
@@ -12,12 +12,17 @@ micro-batch takes is the caller's choice; unset, it takes all there are.
 from __future__ import annotations
 
 import os
+import time
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from simcheck import params as P
+from simcheck.functions.text import utc_iso
 from simcheck.operators.ingest import CorpusStore
+from simcheck.operators.report import write_reports
 from simcheck.plans import check as C
+from simcheck.plans.q_reports import reports_of
 from simcheck.session import materialize, scratch_dir
 from simcheck.sources.tables import SCHEMAS
 
@@ -48,22 +53,29 @@ def ingest_stream(spark: SparkSession, documents_path: str, out: str | None = No
 
 def check_stream(spark: SparkSession, requests_path: str, corpus: DataFrame,
                  out: str | None = None, threshold: float = P.MATCH_THRESHOLD,
-                 max_files: int | None = None) -> str:
+                 max_files: int | None = None, clock=time.time) -> str:
     """R2: a stream of submissions checked against a static corpus (stream-static).
 
     ``corpus`` is the written index (doc_id, sentence_index, sentence, vec);
-    every micro-batch reads it, nothing is encoded again.
+    every micro-batch reads it, nothing is encoded again.  A batch writes flat
+    results and the nested reports (K4) of its submissions, each into the
+    batch's own partition.  ``clock`` gives seconds since 1970; a report is
+    stamped with its batch's start and carries the seconds its matches and
+    boxes took.
     """
     out = out or scratch_dir(spark, "stream-check")
     res_out = f"{out}/results"
 
     def batch(df: DataFrame, batch_id: int) -> None:
+        start = clock()
         h = materialize(C.top1_hits(C.query_vectors(df), corpus, threshold))
         top = C.top_documents(h)
         tot = C.total_percent(h, df)
         res = (tot.join(top, "item_id", "left")
                .select("item_id", "n_sentences", "total_percent", "rank", "doc_id", "n_matches"))
         res.write.mode("overwrite").parquet(f"{res_out}/batch_id={batch_id}")
+        created = utc_iso(F.timestamp_seconds(F.lit(start)))
+        write_reports(reports_of(df, h, created, lambda: round(clock() - start, 3)), f"{out}/reports", str(batch_id))
 
     q = (_stream(spark, requests_path, SCHEMAS["benchmark"], max_files)
          .writeStream.foreachBatch(batch)
@@ -71,3 +83,9 @@ def check_stream(spark: SparkSession, requests_path: str, corpus: DataFrame,
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return out
+
+
+def read_reports(spark: SparkSession, out: str) -> DataFrame:
+    """(file_check_id, report_json) of all batches of a check stream."""
+    return spark.read.text(f"{out}/reports").select(
+        F.get_json_object("value", "$.file_check_id").alias("file_check_id"), F.col("value").alias("report_json"))

@@ -84,6 +84,27 @@ def test_top_k_emits_k_rows_per_query_and_partition(spark, data, monkeypatch):
     assert rows and max(r["count"] for r in rows) <= 2
 
 
+def test_query_parts_are_held_one_at_a_time(spark, data, monkeypatch):
+    """Five parts: a part is collected and sent only after the one before it is written and dropped."""
+    q, c = data
+    qdf, cdf = _frame(spark, q, "q"), _frame(spark, c, "c")
+    whole = sorted(map(tuple, nearest(qdf, cdf, ["q_idx"], ["c_idx"], k=3).collect()))
+    context, held, most = type(spark.sparkContext), [], []
+    send = context.broadcast
+
+    def counted(self, value):
+        sent = send(self, value)
+        drop = sent.destroy
+        held.append(sent)
+        most.append(len(held))
+        sent.destroy = lambda *a: (held.remove(sent), drop(*a))
+        return sent
+    monkeypatch.setattr(context, "broadcast", counted)
+    assert sorted(map(tuple, nearest(qdf, cdf, ["q_idx"], ["c_idx"], k=3, parts=5).collect())) == whole
+    best_per_group(qdf, cdf, ["q_idx"], "c_doc", "c_idx", 0.3, parts=5).collect()
+    assert len(most) == 10 and max(most) == 1 and not held
+
+
 @pytest.mark.parametrize("guard", [64 << 20, 2000])
 def test_best_per_group_first_argmax(spark, data, guard):
     q, c = data
