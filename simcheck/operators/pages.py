@@ -204,3 +204,21 @@ def assemble(pages: DataFrame, doc_col: str, page_col: str, text_col: str, raw:
     joined = F.array_join(F.transform("pp", lambda x: x["t"]), "" if raw else " ")
     return g.select(doc_col, (joined if raw else F.trim(joined)).alias("text"),
                     F.size("pp").alias("n_pages"))
+
+
+def assemble_with_status(pages: DataFrame, doc_col: str, page_col: str, text_col: str, status_col: str) -> DataFrame:
+    """Clean-mode assembly that carries failed pages: (doc, text, n_pages, n_failed, failed_pages, status).
+
+    A failed page (status other than ``ok``) adds no text and stays counted; the
+    document is ``ok``, ``partial`` or, with no page left, ``error``.
+    """
+    ok = F.coalesce(F.col(status_col) == "ok", F.lit(False))
+    rows = pages.select(doc_col, F.struct(F.col(page_col).alias("p"), F.when(ok, TX.clean_text(text_col)).alias("t"),
+                                          ok.alias("ok")).alias("page"))
+    g = rows.groupBy(doc_col).agg(F.sort_array(F.collect_list("page")).alias("pp"))
+    good, bad = F.filter("pp", lambda x: x["ok"]), F.filter("pp", lambda x: ~x["ok"])
+    n_bad = F.size(bad)
+    return g.select(doc_col, F.trim(F.array_join(F.transform(good, lambda x: x["t"]), " ")).alias("text"),
+                    F.size("pp").alias("n_pages"), n_bad.alias("n_failed"),
+                    F.transform(bad, lambda x: x["p"]).alias("failed_pages"),
+                    F.when(n_bad == 0, "ok").when(n_bad < F.size("pp"), "partial").otherwise("error").alias("status"))

@@ -22,6 +22,7 @@ from simcheck import params as P
 from simcheck.operators import sentences as S
 from simcheck.operators.ann import VectorStore
 from simcheck.operators.spell import SpellIndex
+from simcheck.operators.word_vectors import WordVectorStore, train
 from simcheck.session import checkpoint_root
 from simcheck.sources.tables import load, table_path
 
@@ -111,3 +112,12 @@ def vector_store(spark: SparkSession, sf_dir: str) -> VectorStore:
         store.train(rows, nlist=max(2, min(P.IVF_NLIST, rows.count() // P.IVF_CELL_ROWS)))
     store.add(0, rows)
     return store
+
+
+def word_vectors(spark: SparkSession, sf_dir: str) -> WordVectorStore:
+    """Word vectors of the documents, trained and written once."""
+    src = table_path(sf_dir, "documents")
+    store = WordVectorStore(spark, f"{checkpoint_root(spark).rstrip('/')}/word-vectors/{_signature(spark, src)}")
+    if store.version() is None:
+        store.publish(train(load(spark, sf_dir, "documents").select("text")))
+    return store

@@ -17,7 +17,8 @@ from simcheck.operators import sentences as S
 from simcheck.plans import sql as Q
 from simcheck.plans import index as IX
 from simcheck.plans.catalog import register
-from simcheck.session import materialize
+from simcheck.session import materialize, scratch_dir
+from simcheck.sources.files import load_sentence_list, write_parts
 from simcheck.sources.tables import load
 
 SEED = "42"
@@ -64,6 +65,19 @@ def split_parts(spark, sf_dir):
     return numbered.select("sentence", ntile_from_position("pos", total, P.SPLIT_PARTS).alias("part"))
 
 
+@register("part_files", sql=_CS + _SEEDS_SQL + (
+    f"SELECT sentence, ntile({P.SPLIT_PARTS}) OVER (ORDER BY sentence)::INTEGER AS part FROM seeds"))
+def part_files(spark, sf_dir):
+    """K6: the parts written as ten files and read back."""
+    s = seeds(_cs(spark, sf_dir))
+    numbered = global_row_number(s, [F.col("sentence")], "pos")
+    total = numbered.count()
+    out = scratch_dir(spark, "parts")
+    write_parts(numbered.withColumn("part", ntile_from_position("pos", total, P.SPLIT_PARTS)), out, "part", "pos")
+    return load_sentence_list(spark, f"{out}/part=*").select(
+        "sentence", F.regexp_extract("file", "/part=([0-9]+)/", 1).cast("int").alias("part"))
+
+
 def _hash_key(*cols):
     return F.md5(F.concat_ws("|", F.lit(SEED), *[F.col(c).cast("string") for c in cols]))
 

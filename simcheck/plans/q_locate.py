@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from simcheck import params as P
+from simcheck.functions import text as TX
 from simcheck.operators import pages as PG
 from simcheck.operators import sentences as S
 from simcheck.plans import check as C
@@ -227,3 +228,18 @@ def assemble_document_raw(spark, sf_dir):
     """Pages concatenated without separator."""
     conv = load(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     return PG.assemble(conv, "conv_id", "turn", "text", raw=True)
+
+
+@register("assemble_status", sql=(
+    f"WITH p AS (SELECT conv_id, turn, {Q.clean('text')} AS t, text IS NOT NULL AND {Q.clean('text')} <> '' "
+    "AND role = 'user' AS ok FROM conversations) "
+    "SELECT conv_id, coalesce(trim(string_agg(t, ' ' ORDER BY turn) FILTER (ok)), '') AS text, count(*)::INTEGER AS n_pages, "
+    "(count(*) FILTER (NOT ok))::INTEGER AS n_failed, "
+    "CASE WHEN bool_and(ok) THEN 'ok' WHEN bool_or(ok) THEN 'partial' ELSE 'error' END AS status "
+    "FROM p GROUP BY conv_id"))
+def assemble_status(spark, sf_dir):
+    """Conversation turns as pages; those without text or not by the user stand for pages that failed."""
+    conv = load(spark, sf_dir, "conversations")
+    ok = F.coalesce((TX.clean_text("text") != "") & (F.col("role") == "user"), F.lit(False))
+    pages = conv.select("conv_id", "turn", "text", F.when(ok, "ok").otherwise("error: no text").alias("status"))
+    return PG.assemble_with_status(pages, "conv_id", "turn", "text", "status").drop("failed_pages")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from simcheck import params as P
@@ -113,3 +114,38 @@ def context_window(spark, sf_dir, w: int = CONTEXT_WINDOW):
     return want.join(cs, ["doc_id", "sentence_index"]).select(
         "item_id", "q_index", "hit_index", "doc_id", "sentence_index",
         F.lit(1.0).alias("score"))
+
+
+def expand_hits(found, sentences, q_keys, doc_col: str, index_col: str, w: int):
+    """Hits (q_keys, doc, index, score, rank) followed by their neighbours: one ordered list per query.
+
+    Every hit brings itself and the positions index - w .. index + w that its
+    document has; the join is on (document, index).  ``position`` counts from 0:
+    by rank the hit, then its neighbours in text order, which score 1.0.
+    """
+    offsets = F.array(*[F.lit(d) for d in range(-w, w + 1)])
+    want = found.select(*q_keys, "rank", "score", doc_col, F.explode(offsets).alias("off"),
+                        F.col(index_col).alias("at")).withColumn(index_col, (F.col("at") + F.col("off")).cast("int"))
+    rows = want.join(sentences.select(doc_col, index_col, "sentence"), [doc_col, index_col])
+    hit = F.col("off") == 0
+    order = Window.partitionBy(*q_keys).orderBy("rank", F.when(hit, 0).otherwise(1), index_col)
+    return rows.select(*q_keys, (F.row_number().over(order) - 1).alias("position"), "rank", hit.alias("is_hit"), doc_col,
+                       index_col, "sentence", F.when(hit, F.col("score")).otherwise(F.lit(1.0)).alias("score"))
+
+
+@register("search_with_context", sql=(
+    f"WITH {Q.base_ctes()}, hits AS (SELECT * FROM (SELECT q.item_id, q.q_index, c.doc_id, c.sentence_index AS hit_at, "
+    f"{Q.cos('q.vec', 'c.vec')} AS score, row_number() OVER (PARTITION BY q.item_id, q.q_index ORDER BY "
+    f"{Q.cos('q.vec', 'c.vec')} DESC, c.doc_id, c.sentence_index)::INTEGER AS rank FROM qv q, cv c) "
+    f"WHERE rank <= {P.SEARCH_TOP_K}) "
+    "SELECT h.item_id, h.q_index, (row_number() OVER (PARTITION BY h.item_id, h.q_index ORDER BY rank, "
+    "CASE WHEN c.sentence_index = hit_at THEN 0 ELSE 1 END, c.sentence_index) - 1)::INTEGER AS position, rank, "
+    "c.sentence_index = hit_at AS is_hit, c.doc_id, c.sentence_index, c.sentence, "
+    "CASE WHEN c.sentence_index = hit_at THEN score ELSE 1.0::DOUBLE END AS score "
+    f"FROM hits h JOIN cs c ON c.doc_id = h.doc_id AND abs(c.sentence_index - hit_at) <= {CONTEXT_WINDOW}"))
+def search_with_context(spark, sf_dir, k: int = P.SEARCH_TOP_K, w: int = CONTEXT_WINDOW):
+    """The k nearest corpus sentences of every submitted sentence, each followed by its neighbours."""
+    corpus = IX.corpus_table(spark, sf_dir)
+    found = nearest(C.query_vectors(load(spark, sf_dir, "benchmark")), corpus, ["item_id", "q_index"],
+                    ["doc_id", "sentence_index"], k=k)
+    return expand_hits(found, corpus, ["item_id", "q_index"], "doc_id", "sentence_index", w)

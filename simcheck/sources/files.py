@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Sentences in a line of a part file, at most.
+PART_LINE = 1000
+
 
 def scan_files(spark: SparkSession, root: str, glob: str = "*.pdf", recursive: bool = True,
                with_content: bool = False) -> DataFrame:
@@ -120,23 +123,29 @@ def read_requested_objects(spark: SparkSession, root: str, requests: DataFrame,
 
 
 def extract_pages(files: DataFrame, extractor) -> DataFrame:
-    """U8 hook: ``extractor(path, content) -> list[str]`` (one text per page),
-    applied per file on the executors; errors become a ``status`` column
-    instead of failing the job.  Output (path, page_num, text, status)."""
+    """U8 hook: ``extractor(path, content)`` yields one text per page, applied
+    per file on the executors.  A page that cannot be read is data: an extractor
+    that yields an exception in its place goes on with the next page, one that
+    raises ends the file there; either leaves a row with the page's number, no
+    text and the error as status.  Output (path, page_num, text, status)."""
     schema = T.StructType([T.StructField("path", T.StringType()),
                            T.StructField("page_num", T.IntegerType()),
                            T.StructField("text", T.StringType()),
                            T.StructField("status", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        failed = lambda e: f"error: {type(e).__name__}"
         for pdf in batches:
             rows = []
             for path, content in zip(pdf["path"], pdf["content"]):
+                page = 0
                 try:
-                    for i, text in enumerate(extractor(path, content)):
-                        rows.append((path, i, text, "ok"))
-                except Exception as e:  # noqa: BLE001 - per-file failure is data
-                    rows.append((path, None, None, f"error: {type(e).__name__}"))
+                    for text in extractor(path, content):
+                        bad = isinstance(text, Exception)
+                        rows.append((path, page, None if bad else text, failed(text) if bad else "ok"))
+                        page += 1
+                except Exception as e:  # noqa: BLE001 - per-page failure is data
+                    rows.append((path, page, None, failed(e)))
             yield pd.DataFrame(rows, columns=schema.fieldNames())
 
     return files.select("path", "content").mapInPandas(run, schema)
@@ -151,6 +160,20 @@ def write_sentence_list(sentences: DataFrame, path: str, group_col: str,
     lists.select("value").write.mode("overwrite").text(path)
 
 
+def write_parts(rows: DataFrame, path: str, part_col: str, order_col: str, sentence_col: str = "sentence",
+                per_line: int = PART_LINE) -> None:
+    """K6: exactly one file per part, under ``part=N``, its sentences in order.
+
+    ``order_col`` counts the sentences; a file holds one JSON array of at most ``per_line`` of them per line, so
+    no row holds a part; ``load_sentence_list`` reads it back.
+    """
+    lines = (rows.groupBy(part_col, F.expr(f"{order_col} div {per_line}").alias("__block")).agg(F.to_json(F.transform(
+        F.sort_array(F.collect_list(F.struct(order_col, sentence_col))), lambda x: x[sentence_col])).alias("value")))
+    (lines.select(F.col(part_col).alias("part"), "__block", "value").repartitionByRange("part")
+     .sortWithinPartitions("part", "__block").select("part", "value")
+     .write.mode("overwrite").partitionBy("part").text(path))
+
+
 def write_word_counts(counts: DataFrame, path: str) -> None:
     """K5: word counts as JSON rows, highest count first."""
     counts.orderBy(F.col("cnt").desc(), F.col("word")).write.mode("overwrite").json(path)

@@ -67,17 +67,34 @@ def test_evaluation_documents_hold_their_share(spark):
     assert len({(7 + k * E._step(n)) % n for k in range(n)}) == n
 
 
-def test_word_vectors_survive_saving(spark):
-    """A trained model is saved, loaded and asked for one word."""
-    from pyspark.ml.feature import Word2VecModel
-
-    from simcheck.plans.q_ml import word_model, word_vector
+def test_word_vectors_are_stored_and_looked_up(spark, monkeypatch):
+    """A trained table is published, read without training and asked for words; versions stand beside each other."""
+    from simcheck.operators import word_vectors as W
     from simcheck.session import scratch_dir
-    docs = spark.createDataFrame([("red green blue red",), ("green blue sky",)], "text string")
-    model = word_model(docs)
-    path = scratch_dir(spark, "test-w2v")
-    model.save(path)
-    again = Word2VecModel.load(path)
-    (row,) = word_vector(again, "green").collect()
-    assert len(row["vector"]) == 100 and row["vector"] == word_vector(model, "green").first()["vector"]
-    assert word_vector(again, "absent").count() == 0
+    docs = spark.createDataFrame([(1, "red green blue red"), (2, "green blue sky"), (3, "other words")], "d long, text string")
+    store = W.WordVectorStore(spark, scratch_dir(spark, "test-w2v"))
+    words = spark.createDataFrame([("green",), ("absent",)], "word string")
+    assert store.version() is None and store.lookup(words).where("vec is not null").count() == 0
+    assert store.publish(W.train(docs.where("d < 3"))) == 1
+    monkeypatch.setattr(W, "Word2Vec", None)
+    first = {r["word"]: r["vec"] for r in store.lookup(words).collect()}
+    assert len(first["green"]) == 100 and first["absent"] is None
+    table = {r["word"]: r["vec"] for r in store.vectors().collect()}
+    assert set(table) == {"red", "green", "blue", "sky"} and first["green"] == table["green"]
+    means = {r["d"]: r["dv"] for r in store.document_vectors(docs, "d").collect()}
+    want = [sum(x) / 4 for x in zip(*[table[w] for w in ("red", "green", "blue", "red")])]
+    assert set(means) == {1, 2} and max(abs(x - y) for x, y in zip(means[1], want)) < 1e-12
+    store._write(store.vectors(), "vectors", 2)                     # no commit
+    assert store.version() == 1
+    assert store.publish(spark.createDataFrame([("green", [1.0, 2.0])], "word string, vec array<double>")) == 2
+    assert {r["word"]: r["vec"] for r in store.lookup(words).collect()}["green"] == [1.0, 2.0]
+    assert len(store.lookup(words, 1).where("word = 'green'").first()["vec"]) == 100
+
+
+def test_word_vectors_are_trained_once_per_corpus(spark, monkeypatch):
+    from simcheck.operators import word_vectors as W
+    from simcheck.plans import index as IX
+    sf = "/root/testdata/sf0.001"
+    IX.word_vectors(spark, sf)
+    monkeypatch.setattr(W, "Word2Vec", None)
+    assert IX.word_vectors(spark, sf).version() == 1

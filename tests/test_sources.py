@@ -74,3 +74,44 @@ def test_word_count_map(spark):
         f.write('{\n  "và": 3,\n  "b": 0\n}\n')
     got = sorted((r.word, r.cnt) for r in FS.load_word_count_map(spark, d).collect())
     assert got == [("b", 0), ("và", 3)]
+
+
+def test_a_bad_page_leaves_a_row(spark):
+    """Pages that fail keep their number and error, later pages are read, and the document is marked."""
+    from simcheck.operators import pages as PG
+    files = spark.createDataFrame([("a", b"x|y|z"), ("b", b"x|!|z"), ("c", b"x|?|z"), ("d", b"?")], "path string, content binary")
+
+    def extractor(path, content):
+        for part in content.decode().split("|"):
+            if part == "?":
+                raise OSError("lost")
+            yield ValueError("bad page") if part == "!" else f" {part}  {part} "
+
+    pages = FS.extract_pages(files, extractor)
+    assert sorted((r.path, r.page_num, r.status) for r in pages.collect() if r.status != "ok") == [
+        ("b", 1, "error: ValueError"), ("c", 1, "error: OSError"), ("d", 0, "error: OSError")]
+    got = {r.path: (r.text, r.n_pages, r.n_failed, r.failed_pages, r.status)
+           for r in PG.assemble_with_status(pages, "path", "page_num", "text", "status").collect()}
+    assert got == {"a": ("x x y y z z", 3, 0, [], "ok"), "b": ("x x z z", 3, 1, [1], "partial"),
+                   "c": ("x x", 2, 1, [1], "partial"), "d": ("", 1, 1, [0], "error")}
+
+
+def test_ten_files_one_per_part(spark):
+    out = tempfile.mkdtemp(prefix="simcheck-parts-") + "/p"
+    rows = [(i, i % 10 + 1, f"s {i} \"q\"") for i in range(203)]
+    FS.write_parts(spark.createDataFrame(rows, "pos long, part int, sentence string").repartition(7), out, "part", "pos", per_line=4)
+    files = {}
+    for base, _, names in os.walk(out):
+        files.update({os.path.basename(base): sum(n.startswith("part-") for n in names)} if "part=" in base else {})
+    assert files == {f"part={k}": 1 for k in range(1, 11)}
+    back = {}
+    for r in FS.load_sentence_list(spark, f"{out}/part=*").orderBy("file", "list_no", "pos").collect():
+        assert r.status == "ok"
+        back.setdefault(int(r.file.split("part=")[1].split("/")[0]), []).append(r.sentence)
+    assert back == {k: [s for _, p, s in rows if p == k] for k in range(1, 11)}
+
+
+def test_word_counts_come_back(spark):
+    out = tempfile.mkdtemp(prefix="simcheck-counts-") + "/c"
+    FS.write_word_counts(spark.createDataFrame([("b", 2), ("a", 2), ("c", 9)], "word string, cnt long"), out)
+    assert [(r.word, r.cnt) for r in spark.read.json(out).orderBy(F.col("cnt").desc(), "word").collect()] == [("c", 9), ("a", 2), ("b", 2)]
