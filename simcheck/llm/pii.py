@@ -23,7 +23,8 @@ Scores are calibrated by isotonic regression on the proposals that the trees
 did not see, and a kind's threshold is the lowest score whose calibrated
 precision, and the lower confidence bound of the precision from there on, reach
 ``precision``; without one the kind gets no spans beside its base spans.
-Accepted proposals that overlap a base span or a better proposal give way.
+Accepted proposals that overlap a base span or a better proposal give way, and
+one with evidence against it is never added.
 
 Trees are fitted on at most ``max_rows`` proposals, half of them examples, those
 with the smallest hash of document and place among seven tenths of all.
@@ -382,7 +383,7 @@ def choose(found: DataFrame, model: PiiModel) -> DataFrame:
             for base, proposed in zip(pdf["base"], pdf["proposed"], strict=True):
                 all_spans = [(s["kind"], s["start"], s["end"]) for s in base]
                 taken = Taken([(s, e) for _, s, e in all_spans])
-                free = [p for p in proposed if p["kind"] in model.bounds and not taken.meets(p["start"], p["end"])]
+                free = [p for p in proposed if p["label"] and p["kind"] in model.bounds and not taken.meets(p["start"], p["end"])]
                 if free:
                     score = model.trees.probability(np.array([p["x"] for p in free]))
                     step = np.floor(score * STEPS) / STEPS
