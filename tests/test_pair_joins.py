@@ -50,8 +50,8 @@ def pairs_of(df):
 
 
 @pytest.mark.parametrize("threshold,most,block,strict", [
-    (0.9, 1, None, False), (0.9, 2, None, False), (0.9, 3, None, False), (0.9, 3, 7, False), (0.6, 1, 16, False),
-    (0.6, 2, 5, True), (0.99, 2, None, False), (1.0, 2, None, False), (1.0, 2, None, True), (0.3, 3, None, False)])
+    (0.9, 1, None, False), (0.9, 2, None, False), (0.9, 3, 7, False), (0.6, 1, 16, False), (0.6, 2, 5, True),
+    (1.0, 2, None, False), (1.0, 2, None, True), (0.3, 3, None, False)])
 def test_prefix_join_equals_the_dense_matrix(spark, monkeypatch, threshold, most, block, strict):
     monkeypatch.setattr(J, "PACK", 5)
     monkeypatch.setattr(J, "CHUNK", 6)
