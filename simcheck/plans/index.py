@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 from simcheck import params as P
 from simcheck.operators import sentences as S
+from simcheck.operators import sparse as SP
 from simcheck.operators.ann import VectorStore
 from simcheck.operators.spell import SpellIndex
+from simcheck.operators.topics import TopicStore
 from simcheck.operators.word_vectors import WordVectorStore, train
 from simcheck.session import checkpoint_root
 from simcheck.sources.tables import load, table_path
@@ -121,3 +123,19 @@ def word_vectors(spark: SparkSession, sf_dir: str) -> WordVectorStore:
     if store.version() is None:
         store.publish(train(load(spark, sf_dir, "documents").select("text")))
     return store
+
+
+def topic_model(spark: SparkSession, sf_dir: str, k: int = P.LDA_TOPICS, passes: int = P.LDA_PASSES) -> TopicStore:
+    """Topics of the corpus sentences, fitted and written once.
+
+    Dictionary: tokens seen more than once, minus the 40 most frequent.
+    """
+    path = corpus_index_path(spark, sf_dir).replace("/corpus-index/", "/topic-model/")
+    store = TopicStore(spark, f"{path}-{k}-{passes}")
+    if not store.batches():
+        keys = ["doc_id", "sentence_index"]
+        tok = SP.tokens(corpus_sentences(spark, sf_dir), keys)
+        stop = SP.stopwords(tok, P.STOPWORDS_LDA).select("token")
+        vocabulary = SP.frequent_tokens(tok).select("token").join(F.broadcast(stop), "token", "left_anti")
+        store.train(tok, keys, vocabulary, k, passes)
+    return store

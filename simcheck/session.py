@@ -94,7 +94,7 @@ def materialized() -> Iterator[list[str]]:
     try:
         yield made
     finally:
-        _WATCHED.remove(made)
+        _WATCHED[:] = [w for w in _WATCHED if w is not made]      # by identity: nested blocks may hold equal lists
 
 
 def drop_folders(spark: SparkSession, paths: list[str]) -> None:
