@@ -268,7 +268,7 @@ PROPOSAL = "struct<kind: int, start: int, end: int, label: int, x: array<double>
 
 
 def search(docs: DataFrame) -> DataFrame:
-    """(doc_id, base, proposed) of every row."""
+    """(doc_id, base, proposed) of every row; ids pass as text, which pandas holds exactly beside nulls."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ("kind", "start", "end", "label", "x")
         for pdf in batches:
@@ -282,7 +282,9 @@ def search(docs: DataFrame) -> DataFrame:
                     proposed.append([dict(zip(names, p)) for p in proposals(text, good)])
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "base": base, "proposed": proposed})
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id long, base array<{SPAN}>, proposed array<{PROPOSAL}>")
+    found = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(
+        run, f"doc_id string, base array<{SPAN}>, proposed array<{PROPOSAL}>")
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 @dataclass(frozen=True)
@@ -395,7 +397,9 @@ def choose(found: DataFrame, model: PiiModel) -> DataFrame:
                 spans.append([dict(zip(("kind", "start", "end"), s)) for s in sorted(all_spans)])
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "base": pdf["base"], "spans": spans})
 
-    return found.mapInPandas(run, f"doc_id long, base array<{SPAN}>, spans array<{SPAN}>")
+    done = found.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(
+        run, f"doc_id string, base array<{SPAN}>, spans array<{SPAN}>")
+    return done.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def find_personal_data(docs: DataFrame, **options) -> DataFrame:
@@ -404,6 +408,12 @@ def find_personal_data(docs: DataFrame, **options) -> DataFrame:
     return choose(found, fit(found, **options))
 
 
+def count_of(spans: str, kind: str) -> Column:
+    """Number of spans of a kind; the function has one parameter, as Spark gives a second one the index."""
+    k = KINDS.index(kind)
+    return F.size(F.filter(spans, lambda s: s["kind"] == k)).cast("long")
+
+
 def spans_text(spans: Column) -> Column:
     """``kind:start:end`` joined by commas."""
     names = F.array(*map(F.lit, KINDS))

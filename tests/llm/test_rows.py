@@ -207,3 +207,14 @@ def test_rows_without_an_id_are_assembled_apart(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     out = mixing.assemble(docs, mixing.mix(docs)).collect()
     assert set(r["text"] for r in out) == set(r[1] for r in rows)
+
+
+def test_registered_personal_data_counts_by_kind(spark, tmp_path):
+    from simcheck.llm import queries
+    far = 1 << 60                                          # not exact beside a null as a float
+    texts = {None: "a@b.cc", far + 1: "1.2.3.4 and 10.0.0.1 and x@y.zz", far + 2: "+44 20 7946 0123", far + 3: None,
+             far + 4: "4111 1111 1111 1111 or 4111-1111-1111-1111"}
+    spark.createDataFrame(list(texts.items()), DOCS).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.QUERIES["op9_boosted_pii"](spark, str(tmp_path)).collect()}
+    want = {None: (1, 0, 0, 0), far + 1: (1, 2, 0, 0), far + 2: (0, 0, 0, 1), far + 3: (0, 0, 0, 0), far + 4: (0, 0, 2, 0)}
+    assert {i: (r.n_email, r.n_ip, r.n_card, r.n_phone) for i, r in got.items()} == want
