@@ -18,3 +18,14 @@ def test_location_follows_files_and_parameters(spark, monkeypatch):
     now = IX.corpus_index_path(spark, sf)
     monkeypatch.setattr(P, "MIN_SENTENCE_WORDS", 20)
     assert IX.corpus_index_path(spark, sf) != now
+
+
+def test_sentences_alone_write_no_vectors(spark):
+    sf = scratch_dir(spark, "test-index")
+    text = " ".join(["word"] * 12) + ". " + " ".join(["other"] * 11) + "."
+    spark.createDataFrame([(n, text, "en", "s", 60) for n in (5, 3, 4)], "doc_id long, text string, lang string, source string, "
+                          "n_chars long").coalesce(1).write.parquet(f"{sf}/documents.parquet")
+    got = IX.corpus_sentences(spark, sf)
+    assert not IX._exists(spark, IX.corpus_index_path(spark, sf))
+    assert got.columns == ["doc_id", "sentence_index", "sentence"] and got.count() == 6
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, IX.corpus_table(spark, sf).select(got.columns).collect()))
