@@ -94,7 +94,7 @@ def expand_archives(spark, sf_dir):
         "source", F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), "text")
     out = scratch_dir(spark, "archives")
     FS.write_zip_archives(docs, "source", "name", "text", out)
-    arch = FS.scan_files(spark, out, glob="*.zip", with_content=True)
+    arch = FS.scan_files(spark, out, glob="*.zip")
     return FS.expand_archives(arch).select(TX.basename("archive").alias("archive"), "member", "size")
 
 

@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 
 #: Sentences in a line of a part file, at most.
 PART_LINE = 1000
+#: Bytes of archive members that leave a task at once, and what a member takes beside its content.
+MEMBER_BYTES, MEMBER_OVERHEAD = 16 << 20, 512
 
 
 def scan_files(spark: SparkSession, root: str, glob: str = "*.pdf", recursive: bool = True,
@@ -39,50 +41,80 @@ MEMBER_SCHEMA = T.StructType([
 ])
 
 
+def _file_system(path: str):
+    """The file system of a path and the path in it."""
+    from pyarrow import fs as pafs
+    if "://" in path:
+        return pafs.FileSystem.from_uri(path)
+    return pafs.LocalFileSystem(), path.replace("file:", "", 1)
+
+
 def expand_archives(archives: DataFrame) -> DataFrame:
-    """S3: one row per member of every zip archive (path, content) row."""
+    """S3: one row per member of every zip archive.
+
+    Rows with (path, content) are opened from their content, rows with a path
+    alone are read where they lie, member by member.  Members leave a task in
+    batches of about ``MEMBER_BYTES``.
+    """
+    def opened(path, content):
+        if content is not None:
+            return io.BytesIO(content)
+        filesystem, name = _file_system(path)
+        return filesystem.open_input_file(name)
+
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
             for path, content in zip(pdf["path"], pdf["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as zf:
+                rows, held = [], 0
+                with opened(path, content) as file, zipfile.ZipFile(file) as zf:
                     for info in zf.infolist():
                         if info.is_dir():
                             continue
                         rows.append((path, info.filename, info.file_size, zf.read(info)))
-            yield pd.DataFrame(rows, columns=MEMBER_SCHEMA.fieldNames())
+                        held += info.file_size + MEMBER_OVERHEAD
+                        if held > MEMBER_BYTES:
+                            yield pd.DataFrame(rows, columns=MEMBER_SCHEMA.fieldNames())
+                            rows, held = [], 0
+                if rows:
+                    yield pd.DataFrame(rows, columns=MEMBER_SCHEMA.fieldNames())
 
-    return archives.select("path", "content").mapInPandas(expand, MEMBER_SCHEMA)
+    content = F.col("content") if "content" in archives.columns else F.lit(None).cast("binary").alias("content")
+    return archives.select("path", content).mapInPandas(expand, MEMBER_SCHEMA)
 
 
 def write_zip_archives(df: DataFrame, key_col: str, name_col: str, text_col: str, out_dir: str) -> int:
     """Pack rows into zip archives (one per ``key_col`` group) under ``out_dir``.
 
-    Runs inside the executors (``applyInPandas``) and writes through
-    ``pyarrow.fs``, so ``out_dir`` may be a shared HDFS/S3 URI as well as a
-    local path.  A retried task rewrites the same archive name (idempotent).
-    Returns the number of archives.
+    Runs inside the executors and writes through ``pyarrow.fs``, so ``out_dir``
+    may be a shared HDFS/S3 URI as well as a local path.  The rows of an archive
+    come to its task in order and go into it as they come, so no group is held.
+    A retried task rewrites the same archive name (idempotent).  Returns the
+    number of archives.
     """
-    schema = T.StructType([T.StructField("archive", T.StringType())])
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        from pyarrow import fs as pafs
-        if "://" in out_dir:
-            filesystem, base = pafs.FileSystem.from_uri(out_dir)
-        else:
-            filesystem, base = pafs.LocalFileSystem(), out_dir.replace("file:", "", 1)
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        filesystem, base = _file_system(out_dir)
         filesystem.create_dir(base, recursive=True)
-        key = str(pdf[key_col].iloc[0])
-        buf = io.BytesIO()
-        with zipfile.ZipFile(buf, "w", compression=zipfile.ZIP_DEFLATED) as zf:
-            for name, text in zip(pdf[name_col], pdf[text_col]):
+        done, file, zf = [], None, None
+        for pdf in batches:
+            for key, name, text in zip(pdf[key_col].astype(object), pdf[name_col], pdf[text_col]):
+                path = f"{base.rstrip('/')}/{key}.zip"
+                if not done or done[-1] != path:
+                    if zf:
+                        zf.close()
+                        file.close()
+                    file = filesystem.open_output_stream(path)
+                    zf = zipfile.ZipFile(file, "w", compression=zipfile.ZIP_DEFLATED)
+                    done.append(path)
                 zf.writestr(str(name), (text or "").encode("utf-8"))
-        path = f"{base.rstrip('/')}/{key}.zip"
-        with filesystem.open_output_stream(path) as f:
-            f.write(buf.getvalue())
-        return pd.DataFrame({"archive": [path]})
-
-    return df.groupBy(key_col).applyInPandas(pack, schema).count()
+        if zf:
+            zf.close()
+            file.close()
+        if done:
+            yield pd.DataFrame({"archive": done})
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (df.select(key_col, name_col, text_col).repartition(parts, key_col).sortWithinPartitions(key_col)
+            .mapInPandas(pack, "archive string").count())
 
 
 def load_sentence_list(spark: SparkSession, path: str) -> DataFrame:

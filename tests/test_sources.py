@@ -115,3 +115,22 @@ def test_word_counts_come_back(spark):
     out = tempfile.mkdtemp(prefix="simcheck-counts-") + "/c"
     FS.write_word_counts(spark.createDataFrame([("b", 2), ("a", 2), ("c", 9)], "word string, cnt long"), out)
     assert [(r.word, r.cnt) for r in spark.read.json(out).orderBy(F.col("cnt").desc(), "word").collect()] == [("c", 9), ("a", 2), ("b", 2)]
+
+
+def test_archives_are_packed_and_expanded_in_pieces(spark, monkeypatch):
+    from simcheck.session import scratch_dir
+    from simcheck.sources import files as FS
+    rows = [(s, f"{s}_{i}.txt", None if i == 3 else f"é text {s} {i} " * i) for s in ("a", "b c", None) for i in range(40)]
+    df = spark.createDataFrame(rows, "source string, name string, text string").repartition(5)
+    monkeypatch.setattr(FS, "MEMBER_BYTES", 2000)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = scratch_dir(spark, "zips")
+        assert FS.write_zip_archives(df, "source", "name", "text", out) == 3
+        want = sorted((f"{s}.zip", n, (t or "").encode()) for s, n, t in rows)
+        for content in (False, True):
+            got = FS.expand_archives(FS.scan_files(spark, out, glob="*.zip", with_content=content)).collect()
+            assert sorted((r.archive.split("/")[-1], r.member, bytes(r.content)) for r in got) == want
+            assert all(r.size == len(r.content) for r in got)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
