@@ -123,8 +123,8 @@ def tfidf_top1(spark, sf_dir):
 def _tfidf_top1(spark, sf_dir):
     """Inverted-index join on ``token``.
 
-    The submissions' tokens go first: only corpus sentences that hold one of
-    them are weighted, and only those tokens leave the row.  A partial sum per
+    The submissions' tokens go first: only corpus sentences that may reach the
+    threshold by these tokens are weighted, and only those tokens leave the row.  A partial sum per
     (query, corpus sentence) is followed by a top-1 window that Spark
     pre-limits before its shuffle.
     """
@@ -132,7 +132,8 @@ def _tfidf_top1(spark, sf_dir):
     qs = S.query_sentences(load(spark, sf_dir, "benchmark"))
     # unknown query tokens drop out (the dictionary does not grow)
     qw = materialize(SP.weighted_tokens(qs, ["item_id", "q_index"], idf).withColumnRenamed("weight", "qw"))
-    cw = SP.weighted_tokens(_cs(spark, sf_dir), KEYS, idf, only=qw.select("token").distinct())
+    near = materialize(SP.likely(_cs(spark, sf_dir), KEYS, idf, qw, ["item_id", "q_index"], P.MATCH_THRESHOLD))
+    cw = SP.weighted_tokens(near, KEYS, idf, only=qw.select("token").distinct())
     sc = (cw.join(broadcast_if_small(qw), "token")
           .groupBy("item_id", "q_index", "doc_id", "sentence_index")
           .agg(F.round(F.sum(F.col("qw") * F.col("weight")), 6).alias("score"))

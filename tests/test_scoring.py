@@ -2,6 +2,7 @@
 from pyspark.sql import functions as F
 
 from simcheck.functions.ordering import global_row_number, ntile_from_position
+from simcheck.operators import sparse as SP
 from simcheck.plans.q_pairs import band_of
 
 
@@ -98,3 +99,42 @@ def test_word_vectors_are_trained_once_per_corpus(spark, monkeypatch):
     IX.word_vectors(spark, sf)
     monkeypatch.setattr(W, "Word2Vec", None)
     assert IX.word_vectors(spark, sf).version() == 1
+
+
+KEYS = ["doc_id", "sentence_index"]
+
+
+def test_large_dictionaries_meet_blocks_of_sentences(spark, monkeypatch):
+    far = 1 << 60
+    rows = [(None, 0, "red fox red"), (far + 1, 0, "blue fox sky"), (far + 1, 1, "sky"), (far + 1, 1, "sky red odd"),
+            (far + 2, 0, "none"), (far + 3, 0, "")]
+    cs = spark.createDataFrame(rows, "doc_id long, sentence_index int, sentence string").coalesce(1)
+    vocabulary = spark.createDataFrame([("red",), ("fox",), ("sky",)], "token string")
+    want = {(None, 0, "red", 2), (None, 0, "fox", 1), (far + 1, 0, "fox", 1), (far + 1, 0, "sky", 1), (far + 1, 1, "sky", 2),
+            (far + 1, 1, "red", 1)}
+    monkeypatch.setattr(SP, "BLOCK_ROWS", 2)
+    for guard in (0, 1 << 20):
+        bow = SP.bag_of_words(cs, KEYS, vocabulary, guard_bytes=guard)
+        assert sorted(map(tuple, bow.collect()), key=str) == sorted(want, key=str)
+        plan = bow._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(doc_id" not in plan        # counted in the rows, not in a shuffle by sentence and token
+
+
+def test_likely_sentences_are_all_that_can_reach_the_threshold(spark):
+    import random
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(i % 50, i // 50, " ".join(rng.choices(words[:12] if i % 3 else words, k=rng.randint(1, 6)))) for i in range(400)]
+    rows += [(7, 3, "w1 w2"), (None, 0, "w3 w4 w5")]
+    cs = spark.createDataFrame(rows, "doc_id long, sentence_index int, sentence string")
+    idf = SP.materialize(SP.idf_table(SP.token_stats(cs), cs.count()))
+    qs = cs.where("doc_id < 5").selectExpr("doc_id as item_id", "sentence_index as q_index", "sentence")
+    qw = SP.materialize(SP.weighted_tokens(qs, ["item_id", "q_index"], idf).withColumnRenamed("weight", "qw"))
+    near = SP.likely(cs, KEYS, idf, qw, ["item_id", "q_index"], 0.9)
+
+    def found(some):
+        s = (SP.weighted_tokens(some, KEYS, idf).join(qw, "token").groupBy("item_id", "q_index", *KEYS)
+             .agg(F.round(F.sum(F.col("qw") * F.col("weight")), 6).alias("score")).where("score >= 0.9"))
+        return sorted(map(str, s.collect()))
+    assert found(near) == found(cs) != []
+    assert near.count() < cs.count() / 2
