@@ -126,12 +126,15 @@ def near_copy(sentence: str = "sentence"):
 
 
 def eval_lists(spark, sf_dir):
-    """The three sentence lists, each numbered from 0 in text order."""
-    cs = _cs(spark, sf_dir)
+    """The three sentence lists, each numbered from 0 in text order.
+
+    Lists meet the different corpus sentences, so a frequent one is a single row of its task.
+    """
+    cs = materialize(_cs(spark, sf_dir).select("sentence").distinct())
     seed = materialize(seeds(cs))
     conv = load(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     fresh = S.kept_sentences(PG.assemble(conv, "conv_id", "turn", "text"), "conv_id", min_words=1)
-    lists = {"in": cs.select("sentence").distinct().join(seed, "sentence", "left_anti"), "near": seed,
+    lists = {"in": cs.join(seed, "sentence", "left_anti"), "near": seed,
              "fresh": fresh.select("sentence").distinct().join(cs, "sentence", "left_anti")}
     out = {p: global_row_number(df, [F.col("sentence")], "pos").withColumn("pos", F.col("pos") - 1)
            for p, df in lists.items()}
