@@ -10,6 +10,10 @@ physical strategy themselves:
   emits it once, so at most k rows per query and partition are shuffled.  A
   larger query side is cut into parts that each fit the guard, and the corpus
   is scanned once per part; the corpus is never copied or shuffled.
+* **sentences as corpus** — with ``c_text`` the corpus is a text column.  A task
+  encodes its batches itself, so no vector is written, read or sent between
+  JVM and Python, and a float32 product leaves out sentences that are below the
+  threshold for every query by more than its error; the rest is scored as above.
 * **pairs** — the prefix-filter join of ``prefix_join``.
 
 Scores are cosines computed in float64 and rounded to 6 decimals before they
@@ -30,12 +34,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from simcheck import params as P
+from simcheck.functions import vectors as V
 from simcheck.operators import prefix_join as J
 from simcheck.session import materialize
 
 SCORE_DECIMALS = 6
 # largest score matrix (entries) a kernel holds at once
 MAX_MATRIX_ENTRIES = 8_000_000
+# sentences encoded at once, and how far a float32 product of unit vectors may be off, with room to spare
+ENCODE_ROWS = 4096
+SCREEN_SLACK = 1e-3
 
 
 def _matrix(series: pd.Series) -> np.ndarray:
@@ -53,6 +61,34 @@ def _cos(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.round(s, SCORE_DECIMALS)
 
 
+def _corpus_side(corpus: DataFrame, columns: list[str], vec: str, text: str | None, threshold: float | None) -> DataFrame:
+    """``columns`` with the vector, or with the lower-case sentence that tasks encode."""
+    if text is None:
+        return corpus.select(*columns, F.col(vec).alias("__vec"))
+    if threshold is None:
+        raise ValueError("a corpus of sentences is screened by a threshold")
+    return corpus.select(*columns, F.lower(text).cast("binary").alias("__text"))
+
+
+def _encoded(batches: Iterator[pd.DataFrame], qmat: np.ndarray, threshold: float | None) -> Iterator[pd.DataFrame]:
+    """Batches with a vector a row; of sentences, those that can reach the threshold for some query."""
+    known: dict[bytes, int] = {}
+    unit = None
+    for pdf in batches:
+        if "__text" not in pdf:
+            yield pdf
+            continue
+        if unit is None:
+            unit = (qmat / np.sqrt(np.einsum("ij,ij->i", qmat, qmat))[:, None]).astype(np.float32)
+        step = max(1, min(ENCODE_ROWS, MAX_MATRIX_ENTRIES // len(unit)))
+        for s in range(0, len(pdf), step):
+            part = pdf.iloc[s:s + step]
+            vecs = V.hashed_matrix(part["__text"], known)
+            near = np.flatnonzero((unit @ vecs.T).max(axis=0) >= threshold - SCREEN_SLACK)
+            if len(near):
+                yield part.iloc[near].drop(columns="__text").assign(__vec=list(vecs[near]))
+
+
 def _side_bytes(df: DataFrame, vec: str) -> tuple[int, int]:
     """Rows, and bytes a side takes on the driver: pandas objects and a float64 matrix."""
     stats = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size(vec)), F.lit(0)).alias("d")).first()
@@ -108,7 +144,8 @@ def _keep_top(found: pd.DataFrame, c_keys: list[str], k: int) -> pd.DataFrame:
 def nearest(queries: DataFrame, corpus: DataFrame, q_keys: list[str], c_keys: list[str],
             k: int = 1, threshold: float | None = None, q_vec: str = "vec",
             c_vec: str = "vec", q_filter: str | None = None, c_filter: str | None = None,
-            guard_bytes: int = P.BROADCAST_GUARD_BYTES, parts: int | None = None) -> DataFrame:
+            guard_bytes: int = P.BROADCAST_GUARD_BYTES, parts: int | None = None,
+            c_text: str | None = None) -> DataFrame:
     """Exact cosine top-k of every query row against the corpus.
 
     Returns ``q_keys + c_keys + [score, rank]``; rows below ``threshold`` are
@@ -116,10 +153,11 @@ def nearest(queries: DataFrame, corpus: DataFrame, q_keys: list[str], c_keys: li
     corpus rows with an equal filter value (the pre-filter of J2): rows are
     grouped by that value first and only equal groups are scored.
     Ties: score desc, then ``c_keys`` ascending.  ``parts`` overrides the
-    number of query parts.
+    number of query parts.  ``c_text`` names a column of sentences that the
+    tasks encode (default encoder), in place of ``c_vec``.
     """
     q = queries.select(*q_keys, *( [q_filter] if q_filter else []), F.col(q_vec).alias("__vec"))
-    c = corpus.select(*c_keys, *([c_filter] if c_filter else []), F.col(c_vec).alias("__vec"))
+    c = _corpus_side(corpus, [*c_keys, *([c_filter] if c_filter else [])], c_vec, c_text, threshold)
     schema = T.StructType(
         [queries.schema[x] for x in q_keys] + [corpus.schema[x] for x in c_keys]
         + [T.StructField("score", T.DoubleType())])
@@ -137,7 +175,7 @@ def _scan_top_k(qpdf, c, q_keys, c_keys, k, threshold, q_filter, c_filter, schem
         everyone = np.arange(len(qmeta))
         rows_of = {} if q_filter is None else {v: np.asarray(r) for v, r in qmeta.groupby(q_filter).indices.items()}
         best = None
-        for pdf in batches if len(qmeta) else ():
+        for pdf in _encoded(batches, qmat, threshold) if len(qmeta) else ():
             groups = [(everyone, pdf)] if q_filter is None else [
                 (rows_of[v], g) for v, g in pdf.groupby(c_filter) if v in rows_of]
             for rows, group in groups:
@@ -177,17 +215,19 @@ def pair_matches(sentences: DataFrame, doc_col: str, idx_col: str, threshold: fl
 
 def best_per_group(queries: DataFrame, corpus: DataFrame, q_keys: list[str], group_col: str,
                    order_col: str, threshold: float, vec: str = "vec",
-                   guard_bytes: int = P.BROADCAST_GUARD_BYTES, parts: int | None = None) -> DataFrame:
+                   guard_bytes: int = P.BROADCAST_GUARD_BYTES, parts: int | None = None,
+                   c_text: str | None = None) -> DataFrame:
     """Per (query row, corpus group): best score >= threshold and its first arg-max.
 
     J10/A11: the column max over one document's sentences and the lowest
     ``order_col`` reaching it.  The corpus is scanned once per query part that
     fits the guard; each batch reduces its own candidates, then a group-by
-    with a partial ``max(struct)`` merges them.
+    with a partial ``max(struct)`` merges them.  ``c_text`` names a column of
+    sentences that the tasks encode, in place of the corpus vectors.
     Returns ``q_keys + [group_col, score, arg]``.
     """
     q = queries.select(*q_keys, F.col(vec).alias("__vec"))
-    c = corpus.select(group_col, order_col, F.col(vec).alias("__vec"))
+    c = _corpus_side(corpus, [group_col, order_col], vec, c_text, threshold)
     schema = T.StructType([queries.schema[x] for x in q_keys] + [
         corpus.schema[group_col],
         T.StructField("score", T.DoubleType()),
@@ -206,21 +246,22 @@ def best_per_group(queries: DataFrame, corpus: DataFrame, q_keys: list[str], gro
         df = pd.DataFrame(res).sort_values(["score", "arg"], ascending=[False, True], kind="stable")
         return df.drop_duplicates([*q_keys, group_col])[cols]
 
-    partial = _by_parts(q, q_keys, guard_bytes, parts, lambda qpdf: _scan_groups(qpdf, c, schema, reduce_chunk))
+    partial = _by_parts(q, q_keys, guard_bytes, parts, lambda qpdf: _scan_groups(
+        qpdf, c, schema, threshold, reduce_chunk))
     best = F.max(F.struct(F.col("score"), (-F.col("arg")).alias("neg"))).alias("b")
     return (partial.groupBy(*q_keys, group_col).agg(best)
             .select(*q_keys, group_col, F.col("b.score").alias("score"),
                     (-F.col("b.neg")).cast(corpus.schema[order_col].dataType).alias("arg")))
 
 
-def _scan_groups(qpdf, c, schema, reduce_chunk):
+def _scan_groups(qpdf, c, schema, threshold, reduce_chunk):
     """One scan of the corpus against a collected query part."""
     bq = c.sparkSession.sparkContext.broadcast((qpdf.drop(columns=["__vec"]), _matrix(qpdf["__vec"])))
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         qmeta, qmat = bq.value
         chunk = max(1, MAX_MATRIX_ENTRIES // max(1, len(qmeta)))
-        for pdf in batches if len(qmeta) else ():
+        for pdf in _encoded(batches, qmat, threshold) if len(qmeta) else ():
             for s0 in range(0, len(pdf), chunk):
                 out = reduce_chunk(qmeta, qmat, pdf.iloc[s0:s0 + chunk])
                 if out is not None:

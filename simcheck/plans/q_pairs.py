@@ -81,9 +81,9 @@ def doc_best(spark, sf_dir, threshold: float = P.PAPER_THRESHOLD):
     """Per (submitted sentence, corpus document): best cosine >= t and first arg-max."""
     inp = C.Inputs.read(spark, sf_dir)
     qv = C.query_vectors(inp.benchmark)
-    cv = IX.corpus_table(spark, sf_dir)
-    return materialize(best_per_group(qv, cv, ["item_id", "q_index"], "doc_id", "sentence_index",
-                                      threshold))
+    cs = IX.corpus_sentences(spark, sf_dir)
+    return materialize(best_per_group(qv, cs, ["item_id", "q_index"], "doc_id", "sentence_index",
+                                      threshold, c_text="sentence"))
 
 
 _PAPER = (
@@ -207,8 +207,8 @@ def _chunk_matches(spark, sf_dir):
     """(item_id, q_index, n_all, sentence) of the submissions' chunks and their matches per document."""
     inp = C.Inputs.read(spark, sf_dir)
     q = materialize(S.paper_chunks(inp.benchmark, "item_id", "q_index"))
-    best = best_per_group(S.encode(q), S.encode(S.paper_chunks(inp.documents, "doc_id")), ["item_id", "q_index"],
-                          "doc_id", "sentence_index", P.PAPER_THRESHOLD)
+    best = best_per_group(S.encode(q), S.paper_chunks(inp.documents, "doc_id"), ["item_id", "q_index"],
+                          "doc_id", "sentence_index", P.PAPER_THRESHOLD, c_text="sentence")
     return q, materialize(best.select("item_id", "q_index", "doc_id"))
 
 

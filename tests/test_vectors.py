@@ -136,3 +136,31 @@ def test_cosine_expression(spark):
     df = spark.createDataFrame([([1.0, 2.0, 3.0], [3.0, 2.0, 1.0])], "a array<double>, b array<double>")
     got = df.select(V.cosine("a", "b").alias("c")).first()["c"]
     assert abs(got - 10 / 14) < 1e-12
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_sentences_as_corpus_match_like_their_vectors(spark, monkeypatch, parts):
+    """Encoded by the tasks: the same vectors bit by bit, the same rows, whatever the size of a piece."""
+    import random
+
+    from simcheck.operators import similarity as SIM
+    from simcheck.operators.sentences import encode
+    rng = random.Random(3)
+    words = ["Straße", "ÉTÉ", "a", "", "the", "x_y", "日本", "İ", *[f"w{i}" for i in range(40)]]
+    texts = [" ".join(rng.choices(words, k=rng.randint(1, 25))) for _ in range(120)]
+    near = [" ".join(t.split(" ")[:-1] + ["other"]).upper() for t in texts[:20]]
+    rows = [(i // 4, i % 4, t) for i, t in enumerate(texts + texts[:5] + near + ["", " "])]
+    c = spark.createDataFrame(rows, "doc long, idx int, sentence string").repartition(3)
+    q = encode(spark.createDataFrame(list(enumerate(texts[:30] + [""])), "q int, sentence string"))
+    cv = encode(c)
+    both = cv.select("vec", F.lower("sentence").cast("binary").alias("low")).collect()
+    own = V.hashed_matrix([bytes(r.low) for r in both], {})
+    assert np.array_equal(own, np.array([r.vec for r in both], np.float32))
+    monkeypatch.setattr(SIM, "ENCODE_ROWS", 7)
+    for limit in (0.8, 0.9, 1.0):
+        for fn, keys in ((lambda s, **k: nearest(q, s, ["q"], ["doc", "idx"], k=2, threshold=limit, parts=parts, **k), 5),
+                         (lambda s, **k: best_per_group(q, s, ["q"], "doc", "idx", limit, parts=parts, **k), 4)):
+            want, got = sorted(map(tuple, fn(cv).collect())), sorted(map(tuple, fn(c, c_text="sentence").collect()))
+            assert got == want and len(got) > 30 and len(got[0]) == keys
+    with pytest.raises(ValueError):
+        nearest(q, c, ["q"], ["doc", "idx"], c_text="sentence")
