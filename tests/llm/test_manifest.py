@@ -278,6 +278,22 @@ def test_differencing_finds_unnamed_templates(spark):
     assert got[9000, copies[0][1]]["n_shared"] == 3
 
 
+def test_prose_of_articles_is_aligned_too(spark):
+    quote = "A passage that every page quotes word for word."
+
+    def page(i, tag):
+        return (f"<div>Top</div><{tag}><p>own {i}</p><p>{quote}</p><p>own end {i}</p></{tag}><div>End</div>")
+    rows = [(i, f"http://a.example/{i}", page(i, "article")) for i in range(5)]
+    rows += [(10 + i, f"http://b.example/{i}", page(i, "section")) for i in range(5)]
+    rows += [(20, "http://c.example/0", page(0, "article")), (21, "http://c.example/1", f"<p>{quote}</p><p>own 0</p>")]
+    got = {k[0]: r for k, r in extracted(spark, rows).items()}
+    for i in range(5):
+        assert (got[i]["text"], got[i]["n_shared"], got[i]["n_quoted"]) == (f"own {i} {quote} own end {i}", 2, 1)
+        assert (got[10 + i]["text"], got[10 + i]["n_shared"], got[10 + i]["n_quoted"]) == (f"own {i} own end {i}", 3, 0)
+    assert [(got[i]["text"], got[i]["n_shared"], got[i]["n_quoted"]) for i in (20, 21)] == [
+        (f"own 0 {quote} own end 0", 0, 0), (f"{quote} own 0", 0, 0)]
+
+
 def test_blocks_of_ranks_do_not_change_the_result(spark, monkeypatch):
     rows = [(i, f"http://h.example/{i:03d}", soup(f"T{i // 3}", [f"own {i}"], f"E{i // 5}", i)) for i in range(80)]
     one = {k: r["text"] for k, r in extracted(spark, rows).items()}
